@@ -99,8 +99,7 @@ def fair_mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
     turns = (
         _finish(lean, cells)
         .where((F.col("target") > 0) & (F.col("size") > 0))
-        .select("size", "target", F.explode(F.array(*[_turn(e) for e in range(max_epochs)])).alias("turn"))
-        .where(F.col("turn.at") - F.col("size") / F.col("target") < 1)
+        .select("size", F.explode(F.array(*[_turn(e) for e in range(max_epochs)])).alias("turn"))
         .select("turn", "size", F.least(F.floor(F.col("turn.at") * SLICES), F.lit(2 * SLICES)).alias("slice"))
     )
     turns = written(turns, "turns")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 from .common import documents
 
 
@@ -12,12 +12,17 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(documents(spark, sf_dir), "doc_id", "text", shards=40)
 
 
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.fair_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op7_simhash_components, op10_fair_mix)}
 
 SQL: dict[str, str] = {
     "op10_fair_mix": """
