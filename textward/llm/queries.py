@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding, simhash
-from .common import documents
+from . import bpe, digests, mixing, sharding, simhash, token_files
+from .common import documents, tokenizer_path
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(documents(spark, sf_dir), "doc_id", "text", shards=40)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.neighbours(documents(spark, sf_dir))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.fair_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op7_simhash_components, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op4_quartile_digests, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
 
 SQL: dict[str, str] = {
     "op10_fair_mix": """
