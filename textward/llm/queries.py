@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, digests, mixing, sharding, simhash, token_files, toxicity
+from . import bpe, digests, extraction, mixing, sharding, simhash, token_files, toxicity
 from .common import documents, tokenizer_path
 
 
@@ -24,6 +24,10 @@ def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,7 +42,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op4_quartile_digests, op5_kneser_ney_toxicity, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
 
 SQL: dict[str, str] = {
     "op10_fair_mix": """
