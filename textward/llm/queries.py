@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, digests, extraction, mixing, sharding, simhash, token_files, toxicity
+from . import bpe, digests, extraction, mixing, repeats, sharding, simhash, token_files, toxicity
 from .common import documents, tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.spans(documents(spark, sf_dir))
+
+
 def op4_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.neighbours(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
 
 SQL: dict[str, str] = {
     "op10_fair_mix": """
