@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, digests, extraction, mixing, repeats, sharding, simhash, token_files, toxicity
+from . import bpe, digests, extraction, mixing, repeats, search, sharding, simhash, token_files, toxicity
 from .common import documents, tokenizer_path
 
 
@@ -41,14 +41,38 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = search.more_like_search(docs, docs.where("doc_id % 20 = 0"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.fair_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op9_block_max_wand, op10_fair_mix)}
 
 SQL: dict[str, str] = {
+    "op9_block_max_wand": """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+each AS (SELECT doc_id, unnest(ws) AS term FROM docs),
+tfs AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM each GROUP BY ALL),
+lens AS (SELECT doc_id, len(ws)::DOUBLE AS dl FROM docs),
+n AS (SELECT count(*)::DOUBLE AS docs, sum(dl) / count(*) AS mean FROM lens),
+idf AS (SELECT term, ln(1.0 + ((SELECT docs FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tfs GROUP BY term),
+asked AS (
+  SELECT doc_id AS query_id, term, w FROM tfs JOIN idf USING (term) WHERE doc_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * w DESC, term) <= 16),
+scored AS (
+  SELECT query_id, t.doc_id, sum(w * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT mean FROM n))) ORDER BY asked.term) AS score
+  FROM asked JOIN tfs t USING (term) JOIN lens USING (doc_id) GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score
+FROM scored QUALIFY rank <= 10
+""",
     "op10_fair_mix": """
 WITH docs AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS src, md5(doc_id::VARCHAR) AS h,
