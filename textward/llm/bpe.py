@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
+from .common import usual
+
 #: Pre-tokens that a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 400_000
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Anything but assigned Basic Latin to Latin Extended-B and general punctuation.
-UNUSUAL = r"[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞]"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,7 +72,6 @@ class PrefixEncoder:
         self.library = Tokenizer.from_file(path)
         self.alphabet = str.maketrans({c: chr(b) for c, b in alphabet.items()})
         self.split = regex.compile(PATTERN).findall
-        self.unusual = regex.compile(UNUSUAL).search
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
@@ -123,7 +122,7 @@ class PrefixEncoder:
         return got
 
     def words(self, text: str) -> list[str]:
-        if not self.unusual(text):
+        if usual(text):
             return self.split(text)
         library = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [w.translate(self.alphabet).encode("latin-1").decode() for w, _ in library]

@@ -59,6 +59,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _unusual_units() -> np.ndarray:
+    """UTF-16 units outside printable Basic Latin to Latin Extended-B and plain white space."""
+    out = np.ones(1 << 16, bool)
+    for lo, hi in ((0x09, 0x0E), (0x20, 0x7F), (0xA0, 0x250)):
+        out[lo:hi] = False
+    return out
+
+
+_UNUSUAL = _unusual_units()
+
+
+def usual(text: str) -> bool:
+    """Whether all characters are among those that every Unicode version classifies alike, composed, and lower-cases one by one."""
+    return not _UNUSUAL[np.frombuffer(text.encode("utf-16-le"), np.uint16)].any()
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files are installed; a default only, every operator takes a path."""
     import public_tokenizers
