@@ -26,32 +26,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, scratch
+from .common import partitions, scratch, usual
 
 #: The dictionary is trained on at most so many documents, each of at most so many bytes; this bounds what the driver gets and changes sizes only.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 65_536, 65_536
 #: A pack is closed when it has so many bytes or documents.
 PACK_BYTES, PACK_DOCUMENTS = 4 << 20, 4096
-#: Pre-tokens that a worker remembers; when full it starts anew.
-REMEMBERED = 600_000
+#: Pieces, and pre-tokens, that a worker remembers; when full it starts anew.
+REMEMBERED = 500_000
 #: The pre-tokenizer's pattern over normalized text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters outside Basic Latin to Latin Extended-B and general punctuation, and controls.
-UNUSUAL = r"[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]"
-
 PACKS = "part int, seq int, before long, n_ids long, dict_sha256 string, first_id long, last_id long, doc_ids array<long>, counts array<long>, ends binary, data binary"
 
 
 class WordEncoder:
-    """The tokenizers library's encoding of lower-case word BPE, remembering pre-tokens.
+    """The tokenizers library's encoding of lower-case word BPE, remembering words.
 
-    A text within the usual characters is normalized and split here, and the library encodes each
-    new pre-token; any other text, and any with a special token's string, goes to the library whole.
+    No pre-token holds white space. A text within the usual characters is lower-cased and cut at white
+    space here, new pieces are split into pre-tokens, and the library encodes each new pre-token; any
+    other text, and any that may hold a special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str):
-        import unicodedata
-
         import regex
         from tokenizers import Tokenizer
 
@@ -61,25 +57,48 @@ class WordEncoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split, self.unusual = regex.compile(PATTERN).findall, regex.compile(UNUSUAL).search
-        self.composed = lambda t: unicodedata.is_normalized("NFC", t)
-        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(PATTERN).findall
+        suffix = self.library.model.end_of_word_suffix
+        self.ending = np.zeros(self.library.get_vocab_size(), bool)
+        self.ending[[i for t, i in self.library.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        got = self.known[word] = self._ids(word)
-        return got
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces. The library gets their new pre-tokens as one text; each ends in a token with the end-of-word suffix."""
+        split, words = self.split, self.words
+        parts = {p: split(p) for p in pieces}
+        new = list({w for ws in parts.values() for w in ws if w not in words})
+        if new:
+            if len(words) + len(new) > REMEMBERED:
+                words.clear()
+                new = list({w for ws in parts.values() for w in ws})
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(new):
+                words.update((w, self._ids(w)) for w in new)
+            else:
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(new, (ends * self.width).tolist(), strict=True):
+                    words[w] = raw[at:end]
+                    at = end
+        if len(self.pieces) + len(parts) > REMEMBERED:
+            self.pieces.clear()
+        self.pieces.update((p, b"".join([words[w] for w in ws])) for p, ws in parts.items())
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``width`` bytes."""
-        if self.unusual(text) or not self.composed(text) or any(s in text for s in self.specials):
+        if not usual(text) or any(s in text for s in self.specials):
             return self._ids(text)
-        known, word = self.known, self._word
-        return b"".join([known.get(w) or word(w) for w in self.split(text.lower())])
+        cut, known = text.lower().split(), self.pieces
+        if new := {p for p in cut if p not in known}:
+            self._learn(list(new))
+            if not all(p in known for p in cut):  # the memory was emptied meanwhile
+                self._learn(list(set(cut)))
+        return b"".join([known[p] for p in cut])
 
 
 @lru_cache(2)
@@ -109,10 +128,12 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id",
 
     spark = df.sparkSession
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCUMENTS)
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = short.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]  # hashes first, so that no task sends texts in vain
+    sample = [] if last is None else short.where(F.col("h") <= last).orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS).select("text").collect()
     encoder = word_encoder(tokenizer)
     tail = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
-    raw = train_dictionary([encoder.encode(r.text) + tail for r in short.select("text").collect()])
+    raw = train_dictionary([encoder.encode(r.text) + tail for r in sample])
     name, width = hashlib.sha256(raw).hexdigest(), encoder.width
     spark.createDataFrame([(name, bytearray(raw), width)], "sha256 string, bytes binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
