@@ -14,10 +14,10 @@ smaller id. The collection is too large for one suffix order, so it is dealt out
    ``width`` bytes, and answers each window's smallest id.
 4. Each chunk marks the bytes to remove.
 
-Bins are as many as shuffle partitions. The windows of an anchor that is in more than ``HOT`` documents
+There are ``BINS`` bins for each shuffle partition, one after the other in a task. The windows of an anchor that is in more than ``HOT`` documents
 go out one by one, to bins by their whole content, so that no anchor, common line or group of copies
 fills a bin: equal ones have been merged in each chunk, different ones are dealt out. Nothing
-is capped or left out. Bins and chunks are all a task ever holds.
+is capped or left out. A bin or a chunk is all that a task ever holds.
 
 Defined results: a null text is empty; texts under ``width`` bytes lose nothing; a null id counts as
 larger than any other, and like equal ids of repeated rows is not smaller than itself; an
@@ -43,6 +43,8 @@ from .common import partitions, text_bytes, written
 
 WIDTH, ANCHOR = 50, 20
 CHUNK_BYTES, CHUNK_DOCUMENTS = 1 << 20, 8192
+#: Bins a shuffle partition; a task has one of them open at a time.
+BINS = 8
 #: From so many documents on, an anchor's windows are dealt out by their whole content.
 HOT = 1000
 #: Bytes whose anchors are found at a time; their positions have to fit in the hashes' low bits.
@@ -322,7 +324,8 @@ def _chunks(df: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame
 
 def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: int, schema: StructType, finish: Callable[[Chunk, np.ndarray, bytes], pa.RecordBatch]) -> DataFrame:
     spark = df.sparkSession
-    bins = partitions(spark)
+    tasks = partitions(spark)
+    bins = tasks * BINS
     chunks = written(_chunks(df, key, text, carried), "chunks", "none")
 
     def opened(rows: list[dict]) -> Chunk:
@@ -357,13 +360,13 @@ def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: in
             yield finish(chunk, gone, rows[0]["d"])
 
     def to_bins(asked: DataFrame) -> DataFrame:
-        return asked.repartitionById(bins, F.col("bin")).sortWithinPartitions("bin", "chunk")
+        return asked.repartitionById(tasks, F.col("bin") % tasks).sortWithinPartitions("bin", "chunk")
 
     def to_chunks(*answers: DataFrame) -> DataFrame:
         found = chunks
         for a in answers:
             found = found.unionByName(a)
-        return found.repartition(bins, "chunk").sortWithinPartitions("chunk", "kind", "bin")
+        return found.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "bin")
 
     common = written(to_bins(chunks.drop("d").withColumn("d", F.lit(None).cast("binary")).mapInArrow(ask_anchors, MESSAGE)).mapInArrow(judge_anchors, MESSAGE), "anchors")
     least = to_bins(to_chunks(common).mapInArrow(ask_windows, MESSAGE)).mapInArrow(judge_windows, MESSAGE)
