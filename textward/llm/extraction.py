@@ -50,7 +50,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""
 class Page:
     """labels and parents of the elements, and the blocks of text that are not left out: (element, text, characters in links)."""
 
-    labels: list[str] = field(default_factory=lambda: [""])
+    labels: list[str] = field(default_factory=lambda: ["html"])
     tags: list[str] = field(default_factory=lambda: ["html"])
     parents: list[int] = field(default_factory=lambda: [-1])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
