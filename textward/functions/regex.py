@@ -105,14 +105,17 @@ def first(s: Column, pattern: str) -> tuple[Column, Column, Column]:
 def every(s: Column, pattern: str, make) -> Column:
     """An array of make(match, start, end) over all matches; offsets are in bytes."""
     java = to_java(pattern)
-    hits, gaps = F.regexp_extract_all(s, F.lit(java), F.lit(0)), F.split(s, java, -1)
-    sizes = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h")), lambda x: F.octet_length(x["g"]) + F.octet_length(x["h"]))
+    hits = F.regexp_extract_all(s, F.lit(java), F.lit(0))
+    parts = F.arrays_zip(F.slice(F.split(s, java, -1), F.lit(1), F.size(hits)).alias("g"), hits.alias("h"))
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<hit:string,start:int,end:int>>").alias("found"))
 
-    def one(hit: Column, k: Column) -> Column:
-        end = F.aggregate(F.slice(sizes, F.lit(1), k + 1), F.lit(0), lambda a, n: a + n)
-        return make(hit, end - F.octet_length(hit), end)
+    def step(seen: Column, part: Column) -> Column:
+        start = seen["end"] + F.octet_length(part["g"])
+        end = start + F.octet_length(part["h"])
+        return F.struct(end.alias("end"), F.concat(seen["found"], F.array(F.struct(part["h"].alias("hit"), start.alias("start"), end.alias("end")))).alias("found"))
 
-    return F.transform(hits, one)
+    found = F.aggregate(parts, nothing, step, lambda seen: seen["found"])
+    return F.transform(found, lambda f: make(f["hit"], f["start"], f["end"]))
 
 
 def replaced(s: Column, pattern: str, make) -> Column:

@@ -26,9 +26,10 @@ THRESHOLD, CAPACITY = 0.8, 10_000
 def signature(text: Column) -> Column:
     """Array of trigrams (with repeats) of the trimmed lower-case text."""
     s = F.regexp_replace(lowered(text), rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
-    letters = F.split(s, "")
-    gram = lambda c, k: F.concat(c, F.get(letters, k + 1), F.get(letters, k + 2))
-    return F.when(F.char_length(s) >= 3, F.array_compact(F.transform(letters, gram))).otherwise(F.array().cast("array<string>"))
+    letters, n = F.split(s, ""), F.char_length(s)
+    # three shifted arrays side by side: a lambda that looked into one array would make it anew for each element
+    shifted = F.arrays_zip(F.slice(letters, F.lit(1), n - 2).alias("a"), F.slice(letters, F.lit(2), n - 2).alias("b"), F.slice(letters, F.lit(3), n - 2).alias("c"))
+    return F.when(n >= 3, F.transform(shifted, lambda g: F.concat(g["a"], g["b"], g["c"]))).otherwise(F.array().cast("array<string>"))
 
 
 def numbered(df: DataFrame, grams: str, keys: list[str]) -> DataFrame:

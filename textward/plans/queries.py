@@ -338,14 +338,16 @@ for _name in POLICIES:
 # --- memory ---
 
 _SIGNED = (
-    f"WITH s AS (SELECT conv_id * 1000 + turn AS id, lower(trim(t, chr(9) || chr(10) || chr(13) || ' ')) AS s, contains(lower(t), 'ignore') OR contains(lower(t), 'prompt') AS stored FROM ({_TALK})), "
+    "WITH s AS (SELECT (conv_id * 1000 + turn) * 2 + c AS id, lower(trim(coalesce(text, '') || CASE c WHEN 1 THEN ' once more' ELSE '' END, chr(9) || chr(10) || chr(13) || ' ')) AS s, (conv_id + turn + c) % 3 <> 0 AS stored FROM conversations, (VALUES (0), (1)) AS x(c)), "
     "g AS (SELECT id, substr(s, i, 3) AS gram, count(*) AS n FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM s) GROUP BY ALL), n AS (SELECT id, sum(n) AS total FROM g GROUP BY id) "
 )
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = text.lowered(F.col("t"))
-    return talk(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "t", (low.contains("ignore") | low.contains("prompt")).alias("stored"))
+    """Each turn twice, the second time with more words; two of three are stored."""
+    c = table(spark, sf_dir, "conversations").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("c") == 1, " once more").otherwise(""))
+    return c.select(((F.col("conv_id") * 1000 + F.col("turn")) * 2 + F.col("c")).alias("id"), t.alias("t"), ((F.col("conv_id") + F.col("turn") + F.col("c")) % 3 != 0).alias("stored"))
 
 
 @query(_SIGNED + "SELECT id, total::BIGINT AS trigrams, (SELECT count(*) FROM g WHERE g.id = n.id) AS kinds FROM n")
