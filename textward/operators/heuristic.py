@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex, text
+from ..functions import literals, regex, text
 from ..functions.fuzzy import fuzzy_keywords
 from ..rules.contexts import RULES
 from ..rules.patterns import PATTERNS
@@ -40,13 +40,13 @@ class Pattern:
     message: str = ""
 
 
-def bank(s: Column, lowered: Column, patterns: list[Pattern], name: str = "heuristic") -> Column:
-    """A threat for the first match of each pattern."""
+def bank(s: Column, gates: Column, patterns: list[Pattern], name: str = "heuristic") -> Column:
+    """A threat for the first match of each pattern; ``gates`` are the numbers of those that may match (``literals.gated``)."""
     found = []
-    for p in patterns:
+    for k, p in enumerate(patterns):
         hit, a, b = regex.first(s, p.pattern)
-        found.append(F.when(regex.matches(s, lowered, p.pattern), threat(p.kind, p.severity, p.message, name, hit, a, b)))
-    return compact(found)
+        found.append(F.when(F.array_contains(gates, k) & s.rlike(regex.to_java(p.pattern)), threat(p.kind, p.severity, p.message, name, hit, a, b)))
+    return F.when(F.size(gates) > 0, compact(found)).otherwise(none())
 
 
 def encodings(s: Column) -> Column:
@@ -86,15 +86,8 @@ def spaced_letters(s: Column) -> Column:
 
 def contexts(form: Column) -> Column:
     """Contextual rules over the fuzzy form. Gates count: without one, the conditions don't apply."""
-    found = []
-    for kind, severity, message, opened_by, conditions in RULES:
-        test = text.contains_all(form, conditions[0])
-        for c in conditions[1:]:
-            test = test | text.contains_all(form, c)
-        if opened_by:
-            test = text.contains_any(form, opened_by) & test
-        found.append(F.when(test, threat(kind, severity, message, "heuristic")))
-    return compact(found, 6)
+    each = F.array(*[threat(kind, severity, message, "heuristic") for kind, severity, message, _, _ in RULES])
+    return F.transform(literals.context_numbers(form), lambda k: F.element_at(each, k + 1))
 
 
 def fuzzy(s: Column, found: Column, compacted: Column) -> Column:
@@ -124,9 +117,10 @@ class Heuristic(Guard):
         names = df.columns
         # shared columns are made once, below the tests that read them
         df = df.withColumns({"_low": regex.for_gate(F.col("input")), "_form": text.fuzzy_form(F.col("input")), "_compact": text.compact_form(F.col("input"))})
-        df = df.withColumn("_words", fuzzy_keywords(F.when(~F.col("halted"), F.col("_form"))))
+        patterns, live = self.patterns(), lambda c: F.when(~F.col("halted"), F.col(c))
+        df = df.withColumns({"_words": fuzzy_keywords(live("_form")), "_gates": literals.gated([p.pattern for p in patterns])(live("_low")), "_rules": contexts(live("_form"))})
         s = F.col("input")
-        found = F.concat(bank(s, F.col("_low"), self.patterns()), encodings(s), contexts(F.col("_form")), fuzzy(s, F.col("_words"), F.col("_compact")))
+        found = F.concat(bank(s, F.col("_gates"), patterns), encodings(s), F.col("_rules"), fuzzy(s, F.col("_words"), F.col("_compact")))
         df = df.withColumn("_found", F.when(F.col("halted"), none()).otherwise(found))
         if self.halt_on_detect:
             # the row stops at its first blocking threat; what follows isn't reported
