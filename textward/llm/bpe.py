@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 from .common import usual
 
 #: Pre-tokens that a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 400_000
+#: Rows that go out at a time.
+ROWS = 128
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -88,7 +92,7 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         if (got := self.fits.get((a, b))) is None:
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
             x, y = self.bytes[a], self.bytes[b]
             got = self.fits[a, b] = self.merged(x + y) == [x, y]
@@ -193,9 +197,32 @@ def _mapped(df: DataFrame, out: str, kind: DataType, source: str, function: Call
     return df.mapInArrow(run, StructType([*[f for f in df.schema.fields if f.name != out], StructField(out, kind)]))
 
 
-def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with the ids of each text; a column named ``out`` is replaced."""
-    return _mapped(df, out, ArrayType(IntegerType()), text, lambda t: encoder(path).encode(t or ""))
+def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids", exact: str | None = None) -> DataFrame:
+    """df with the ids of each text and, if ``exact`` names a column, whether they decode to it; columns of these names are replaced.
+
+    Rows go out a few at a time, their ids as one flat array.
+    """
+    made = {out: ArrayType(IntegerType())} | ({exact: BooleanType()} if exact else {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                flat, ends, same = array("i"), [0], []
+                for t in b.column(text):
+                    t = t.as_py() or ""
+                    ids = e.encode(t)
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    same.append(e.decode(ids) == t if exact else None)
+                cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True) if n not in made}
+                cols[out] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
+                if exact:
+                    cols[exact] = pa.array(same, pa.bool_())
+                yield pa.RecordBatch.from_pydict(cols)
+
+    return df.mapInArrow(run, StructType([*[f for f in df.schema.fields if f.name not in made], *[StructField(n, t) for n, t in made.items()]]))
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
