@@ -234,6 +234,23 @@ def test_search(spark, docs, empty):
     assert search.more_like_search(empty, empty).count() == 0
 
 
+def test_search_asks_for_whole_texts(spark, docs):
+    texts = {r[0]: search.words(r[1]) for r in rows()}
+    mean = sum(map(len, texts.values())) / len(texts)
+    n = {t: sum(t in ws for ws in map(set, texts.values())) for ws in texts.values() for t in ws}
+    got = {}
+    for r in search.more_like_search(docs, docs.where("doc_id % 5 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+    for q in (k for k in texts if k % 5 == 0):
+        scores = []
+        for d, ws in texts.items():
+            norm = search.K1 * (1 - search.B + search.B * len(ws) / mean)
+            s = sum(np.log(1 + (len(texts) - n[t] + 0.5) / (n[t] + 0.5)) * ws.count(t) * (search.K1 + 1) / (ws.count(t) + norm) for t in sorted(set(texts[q])))
+            if s > 0:
+                scores.append((-round(s, 9), d, round(s, 6)))
+        assert got.get(q, []) == [(d, s) for _, d, s in sorted(scores)[:5]]
+
+
 def test_mixing(docs, empty):
     got = [(r.row.doc_id, r.row.source, r.row.h, r.size, r.source_size, r.target, r.epochs) for r in mixing.fair_mix(docs).collect()]
     assert len(got) == len(rows()) and {g[2] for g in got} == {"clash"}
