@@ -193,6 +193,44 @@ def test_deduplicated(spark):
     assert sorted(x.doc_id for x in simhash.deduplicated(df).collect()) == [1, 4, 5]
 
 
+def copies():
+    """Near copies of five kinds around and above the limit, among texts that share a passage."""
+    r = random.Random(8)
+    words = [f"v{k}" for k in range(2000)]
+    out = []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(r.choice((60, 200, 400)))] + (LINE.split() if k % 3 == 0 else [])
+        n, part = len(base), r.choice((0.02, 0.05, 0.1, 0.15, 0.19, 0.22))
+        block, scattered = [*base], [*base]
+        at, m = r.randrange(n // 2), int(n * part / 2)
+        block[at : at + m] = [r.choice(words) for _ in range(m)]
+        for j in r.sample(range(n), max(1, int(n * part / 12))):
+            scattered[j] = r.choice(words)
+        appended = base + [r.choice(words) for _ in range(int(n * part))]
+        out += [base, appended, block, scattered, base[int(n * part) :]]
+    r.shuffle(out)
+    return [" ".join(t) for t in out] + [LINE, LINE.upper(), "", None, " "]
+
+
+def kept(texts, least=0.8):
+    stay = []
+    for k, t in enumerate(texts):
+        if not any(simhash.jaccard(texts[j], t) >= least for j in stay):
+            stay.append(k)
+    return stay
+
+
+def test_deduplicated_meets_every_pair(spark, empty, monkeypatch):
+    texts = copies()
+    likeness = [simhash.jaccard(a, b) for k, a in enumerate(texts) for b in texts[:k]]
+    assert sum(0.8 <= x < 0.85 for x in likeness) > 20 and sum(0.85 <= x < 0.9 for x in likeness) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.deduplicated(df).collect()) == kept(texts)
+    monkeypatch.setattr(simhash, "LARGE", 1)  # thin groups of any size
+    assert sorted(x.doc_id for x in simhash.deduplicated(df).collect()) == kept(texts)
+    assert simhash.deduplicated(empty).count() == 0
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

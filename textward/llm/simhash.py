@@ -21,6 +21,7 @@ fingerprint and come out once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,10 @@ SEED = 42
 SMALL = 512
 #: Where a mask keeps this many bits there is little left to split by, and distances are computed at any size.
 ENOUGH = 44
+#: Documents whose shingles are counted to know common ones, how many of them make one common, and how many are remembered.
+SAMPLE, COMMON, REMEMBERED = 8192, 3, 1 << 18
+#: Groups of this size that share a shingle are thinned by their first rows before all pairs are judged.
+LARGE = 64
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -211,33 +216,152 @@ def jaccard(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 9, parts: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df without near-duplicates: every row that goes is alike (word shingles, Jaccard) to a row that stays.
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """The different XXH64 hashes of the shingles that ``jaccard`` compares, ascending."""
+    import xxhash
 
-    Fingerprints of three-word shingles within ``radius`` bits propose groups. In each group the row
-    with the smallest key leads, rows like it go, and the rest of the group is led by the next, until
-    none is left. Rows with a null key stay.
-    """
-    names = df.columns
-    near = near_duplicates(df, key, text, 3, radius, parts).where("doc_id is not null")
-    groups = written(near.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(near, "component_id").select("component_id", F.col("doc_id").alias("id")), "groups")
-    texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    pool = written(groups.join(texts, "id").select("component_id", "id", "text"), "pool")
+    tokens = (text or "").encode().lower().split()
+    line = b" ".join(tokens)
+    if len(tokens) <= words:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, ascending, and in how many. They only order shingles: any sample gives the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(t.as_py(), words).view(np.int64))], names=["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.col("n").desc(), "h").limit(REMEMBERED).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """row, same (equal for equal sets of shingles), size of the set, and its rarest shingles: of a pair with that likeness some are in both."""
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
         for b in batches:
-            close = [jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(b.column("lead_text"), b.column("text"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component_id", "id", "text")), pa.array(close, pa.bool_())], names=["component_id", "id", "text", "close"])
+            same, sizes, firsts = [], [], []
+            for t in b.column(1):
+                h = _shingles(t.as_py(), words)
+                count = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    count = np.where(known[at] == h, often[at], 0)
+                same.append(xxhash.xxh128_digest(h.tobytes()))
+                sizes.append(len(h))
+                firsts.append(h[np.lexsort((h, count))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "same", "size", "firsts"])
 
-    gone, kind = None, df.schema[key].dataType.simpleString()
+    return rows.select("row", "text").mapInArrow(run, "row long, same binary, size long, firsts array<long>")
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """(h, row, size) to (h, row, size, lead, place): the least row with the same shingle, and how many come before. Shingles of one row drop out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "row", "size", "lead", "place"]
+        held = None  # the last row: whether it has company is known with the next
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, row, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if held is not None:
+                h, row, size = (np.append(x, y) for x, y in zip(held[:3], (h, row, size), strict=True))
+            new = np.append(True, h[1:] != h[:-1])
+            heads = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            lead, place = row[heads], np.arange(len(h)) - heads
+            if held is not None:
+                lead, place = np.where(heads == 0, held[3], lead), np.where(heads == 0, place + held[4], place)
+            keep = (place > 0) | np.append(~new[1:], False)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (h, row, size, lead, place)], names=names)
+            held = h[-1], row[-1], size[-1], lead[-1], place[-1]
+        if held is not None and held[4] > 0:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held], names=names)
+
+    n = partitions(members.sparkSession)
+    return members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(run, "h long, row long, size long, lead long, place long")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (lead, row) whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            close = [jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["lead", "row"]).filter(pa.array(close, pa.bool_()))
+
+    pairs = written(pairs.distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("lead", "row")).alias("row")).distinct()
+    texts = written(rows.select("row", "text").join(asked, "row", "left_semi"), "texts")
+    both = pairs.join(texts.select("row", F.col("text").alias("b")), "row").join(texts.select(F.col("row").alias("lead"), F.col("text").alias("a")), "lead")
+    return written(both.select("lead", "row", "a", "b").mapInArrow(run, "lead long, row long"), "alike")
+
+
+def _losers(edges: DataFrame) -> DataFrame:
+    """Of alike pairs (lead, row), lead < row: the rows that are alike to a lesser row that stays."""
+    gone = None
+    while True:
+        stays = edges.select("lead").distinct().join(edges.select(F.col("row").alias("lead")), "lead", "left_anti")
+        lost = written(edges.join(stays, "lead", "left_semi").select("row").distinct(), "lost")
+        gone = lost if gone is None else gone.union(lost)
+        edges = edges.join(lost, "row", "left_anti").join(lost.withColumnRenamed("row", "lead"), "lead", "left_anti")
+        edges = written(edges, "edges")
+        if not edges.take(1):
+            return gone
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 9, parts: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df without near-duplicates: in the order of the key, a row goes if it is alike (word shingles, Jaccard) to one that stays.
+
+    Every alike pair is met. Shingles have one order, rare ones first; two sets of that likeness share
+    one of their first (1 - similarity) x size + 1 (prefix filter; exact up to collisions of 64-bit hashes).
+    Equal sets are judged once. A row that comes first wherever it has such a shingle stays, and rows
+    like it go: of those, the rows with fingerprints of three-word shingles within ``radius`` bits and
+    the rows with a shared shingle are asked. That is linear in large groups, and is done again while they
+    shrink; of the rows left all pairs with a shared shingle are judged. Rows are told apart by their
+    number in the order of keys, so repeated keys are rows like others. Rows with a null key stay.
+    """
+    names, number = df.columns, "_row"
+    rank = [F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))]
+    whole = written(df.orderBy(*rank).withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = whole.where(F.col(f"`{key}`").isNotNull()).select(F.col(number).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    sets = written(prefixes(rows, words, similarity), "prefixes")
+    first = written(sets.groupBy("same").agg(F.min("row").alias("row")).select("row"), "first")
+    step = written(_buckets(sets.join(first, "row", "left_semi").select(F.explode("firsts").alias("h"), "row", "size")), "buckets")
+    near = near_duplicates(rows.join(step.select("row").distinct(), "row", "left_semi"), "row", "text", 3, radius, parts)
+    near = near.where("doc_id <> component_id").select(F.col("component_id").alias("lead"), F.col("doc_id").alias("row"))
+    gone = None
     while True:
-        lead = pool.groupBy("component_id").agg(F.min(F.struct("id", "text")).alias("lead")).select("component_id", F.col("lead.id").alias("lead_id"), F.col("lead.text").alias("lead_text"))
-        rest = pool.join(lead, "component_id").where("id > lead_id").select("component_id", "id", "text", "lead_text")
-        step = written(rest.mapInArrow(alike, f"component_id {kind}, id {kind}, text string, close boolean"), "judged")
-        part = step.where("close").select("id")
-        gone = part if gone is None else gone.union(part)
-        pool = step.where("not close").drop("close")
-        if not pool.take(1):
+        leads = written(step.groupBy("row").agg(F.min("lead").alias("lead")).where("row = lead").select("lead"), "leads")
+        pairs = step.where("row <> lead").select("lead", "row")
+        pairs = pairs if near is None else pairs.union(near)
+        near = None
+        lost = written(_alike(pairs.join(leads, "lead", "left_semi"), rows, words, similarity).select("row").distinct(), "lost")
+        gone = lost if gone is None else gone.union(lost)
+        decided = lost.union(leads.select(F.col("lead").alias("row")))
+        step = written(_buckets(step.join(decided, "row", "left_anti")), "buckets")
+        most = step.agg(F.max("place")).first()[0]
+        if most is None or most < LARGE or lost.count() < leads.count():
             break
-    gone = gone.distinct().withColumnRenamed("id", "_gone")
-    return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    if most is not None:
+        a, b = step.select("h", F.col("row").alias("lead"), F.col("size").alias("m")), step.select("h", "row", "size")
+        pairs = a.join(b, "h").where((F.col("lead") < F.col("row")) & (F.least("m", "size") >= F.greatest("m", "size") * similarity - 1e-9)).select("lead", "row")
+        gone = gone.union(_losers(_alike(pairs, rows, words, similarity)))
+    nulls = whole.where(F.col(f"`{key}`").isNull())
+    kept = whole.join(first.join(gone, "row", "left_anti").withColumnRenamed("row", "_kept"), F.col(number) == F.col("_kept"), "left_semi")
+    return kept.unionByName(nulls).select(*[F.col(f"`{c}`") for c in names])
