@@ -146,6 +146,19 @@ def test_extraction(spark):
     assert got[7] == got[8] == "" and got[9] == "alone"
 
 
+def test_extraction_keeps_articles_in_layout_names_and_sections(spark):
+    story = "".join(f"<p>sentence {k} of the story</p>" for k in range(9))
+    lines = [f"sentence {k} of the story" for k in range(9)]
+    names = ("content no-sidebar", "has-sidebar", "search-result", "page-banner", "layout-sidebar-left")
+    pages = [f"<body><div class='{n}'>{story}<div class=comments>bad</div></div><div class=sidebar>other</div>" for n in names]
+    pages.append(f"<body><div class=text><section class=a>{story}</section><section class=b>{'<p>and then the end</p>' * 8}</section></div><div class=site-header>top</div>")
+    rows = [(k, f"http://h{k}.example", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text.split("\n") for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == lines for k in range(len(names))) and got[len(names)] == lines + ["and then the end"] * 8
+    noise = f"<body><div class=post>{story}</div><div class=cookie-notice>{'we use cookies ' * 99}</div><div class=main-nav>menu</div>"
+    assert extraction.taken(extraction.parse(noise), None).split("\n") == lines
+
+
 def test_simhash_components(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     ids = sorted(got)

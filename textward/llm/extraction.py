@@ -7,7 +7,8 @@ host's winning path, or from its own best container where it has none.
 
 Left out everywhere: scripts, styles and other raw or control elements, menus, headers, footers,
 sidebars, forms, and elements whose class, id or role names an advert, notice, menu, sidebar, share
-bar or reader comments. Blocks are joined by a newline; white space within a block is one space.
+bar or reader comments. Names such as ``no-sidebar`` or ``search-result`` aren't of these, and an element
+that is named so but holds more than half of the page's text is kept, unless it is hidden or named for comments, adverts or consent. Blocks are joined by a newline; white space within a block is one space.
 
 Defined results: null or empty html gives an empty text; a null url counts as the host ""; unclosed
 and stray tags are repaired in the usual way; very long pages are read whole; repeated rows vote and
@@ -42,6 +43,10 @@ NOISE = frozenset(
     " sidebar side-bar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments commentlist respond disqus replies"
     " share sharing social related recommended newsletter subscribe signup login search toolbar skip-link widget complementary contentinfo search-form hidden".split()
 )
+#: Parts that make a compound name one of the page's layout, names that are only meant whole, and names that are left out at any size.
+LAYOUT = frozenset("no not non has have with without".split())
+WHOLE = frozenset("search-result search-results".split())
+ALWAYS = frozenset("comment comments commentlist respond disqus replies hidden ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
@@ -63,17 +68,22 @@ class Page:
         return ">".join(reversed(found))
 
 
-def _noise(attributes: dict[str, str]) -> bool:
+def _noise(attributes: dict[str, str], names: frozenset[str] = NOISE) -> bool:
     for name in ("class", "id", "role"):
         for part in attributes.get(name, "").lower().replace("_", "-").split():
-            if part in NOISE or NOISE.intersection(part.split("-")):
+            pieces = part.split("-")
+            if part in names or part not in WHOLE and names.intersection(pieces) and not LAYOUT.intersection(pieces):
                 return True
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
 
 
-def parse(source: str) -> Page:
+def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
+    """The page, with the elements that start at ``spared`` whatever their names."""
     page, at, links = Page(), 0, 0
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, element, left out
+    doubt: list[tuple[int, int]] = []  # depth and start of elements left out by name only
+    sizes: Counter = Counter()  # the text in each
+    dropped = 0
     text: list[str] = []
     linked = 0
 
@@ -91,6 +101,8 @@ def parse(source: str) -> Page:
         nonlocal links
         for tag, *_ in stack[depth:]:
             links -= tag == "a"
+        while doubt and doubt[-1][0] >= depth:
+            doubt.pop()
         del stack[depth:]
 
     end = len(source)
@@ -102,6 +114,10 @@ def parse(source: str) -> Page:
             piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
             linked += len(piece) if links else 0
+        elif upto > at and doubt and not links and doubt[-1][1] >= 0 and not any(s[0] in SKIPPED for s in stack[doubt[0][0] :]):
+            n = len(" ".join(source[at:upto].split()))
+            dropped += n
+            sizes.update({start: n for _, start in doubt})
         if not m:
             break
         at = m.end()
@@ -138,7 +154,8 @@ def parse(source: str) -> Page:
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        left_out = stack[-1][2] or tag in SKIPPED or bool(attributes) and tag not in ("html", "body") and _noise(attributes)
+        named = bool(attributes) and m.start() not in spared and tag not in ("html", "body") and _noise(attributes)
+        left_out = stack[-1][2] or tag in SKIPPED or named
         if tag in RAW:
             close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close_at.end() if close_at else end
@@ -151,13 +168,20 @@ def parse(source: str) -> Page:
             page.tags.append(tag)
             page.parents.append(stack[-1][1])
         links += tag == "a"
+        if named and tag in CONTAINERS and (doubt or not stack[-1][2]) and not _noise(attributes, ALWAYS):
+            doubt.append((len(stack), m.start()))
+        elif named and doubt:
+            doubt.append((len(stack), -1))
         stack.append((tag, node, left_out))
     flush()
+    most = sum(len(t) - n for _, t, n in page.blocks)
+    if large := [start for start, n in sizes.items() if 2 * n > most + dropped]:
+        return parse(source, spared | {*large})
     return page
 
 
 def best(page: Page) -> tuple[str, float]:
-    """Path and score of the container with the most text outside links; an article or main element around it stands for it."""
+    """Path and score of the container with the most text outside links. An article or main element around it stands for it, or else a parent with more."""
     scores: Counter = Counter()
     for node, text, linked in page.blocks:
         worth = len(text) - linked
@@ -170,11 +194,22 @@ def best(page: Page) -> tuple[str, float]:
     if not scores:
         return "", 0.0
     top = max(scores, key=lambda n: (scores[n], -n))
-    score, node = scores[top], top
+    score, node, marked = scores[top], top, False
     while node >= 0:
         if page.tags[node] in ("article", "main"):
-            top = node
+            top, marked = node, True
         node = page.parents[node]
+    if not marked:  # the parent of several children with text: one that adds a quarter or more to the best of them
+        whole: Counter = Counter()
+        for node, text, linked in page.blocks:
+            while node >= 0:
+                whole[node] += len(text) - linked
+                node = page.parents[node]
+        node = page.parents[top]
+        while node >= 0:
+            if page.tags[node] in CONTAINERS and 4 * whole[node] >= 5 * whole[top]:
+                top = node
+            node = page.parents[node]
     return page.path(top), float(score)
 
 
