@@ -244,6 +244,13 @@ def test_deduplicated_meets_every_pair(spark, empty, monkeypatch):
     assert simhash.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_repeated_keys(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a + " more"), (2, b), (3, "c"), (None, a), (None, a)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.text) for x in simhash.deduplicated(df).collect())
+    assert got == [(0, a), (0, a), (1, a), (1, b), (3, "c")]
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
