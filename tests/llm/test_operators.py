@@ -323,3 +323,38 @@ def test_mixing(docs, empty):
     again = [(r.row.doc_id, r.epochs) for r in mixing.fair_mix(docs.repartition(5)).collect()]
     assert sorted(again) == sorted((g[0], g[6]) for g in got)
     assert mixing.mixed(docs).count() == sum(g[6] for g in got) and mixing.mixed(empty).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import duckdb
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    clean = list(dict.fromkeys(copies()[:120]))
+    texts = clean + [f"{t} {'stupidhead ' * 9}" for t in clean[:30]]
+    spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k >= len(clean))) for k in range(len(texts))], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, stages, results = corpus_pipeline.documents(spark, str(tmp_path)), dict(corpus_pipeline.STAGES), {}
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    for name, stage in stages.items():
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        results[name] = sorted(docs.collect(), key=lambda r: r.doc_id)
+    assert list(results) == ["toxicity", "simhash_near_dedup", "suffix_array_dedup", "mixing", "bpe"]
+    left = [k for k, t in enumerate(texts) if model.score(model.ratio(t, {})) < 0.5]
+    assert [r.doc_id for r in results["toxicity"]] == left and set(left) < set(range(len(texts)))
+    one = [left[k] for k in kept([texts[k] for k in left])]
+    assert [r.doc_id for r in results["simhash_near_dedup"]] == one and len(one) < len(left)
+    raw, gone = _removed([(k, texts[k]) for k in one])
+    cut = {k: np.frombuffer(raw[k], np.uint8)[~gone[k]].tobytes().decode("utf-8", "ignore") for k in one}
+    assert {r.doc_id: r.text for r in results["suffix_array_dedup"]} == cut and any(g.any() for g in gone.values())
+    from textward.llm.queries import SQL
+
+    table = [(r.doc_id, r.source, r.text) for r in results["suffix_array_dedup"]]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", table)
+    want = [k for k, size, _, _, taken in sorted(db.execute(SQL["op10_fair_mix"]).fetchall()) for _ in range(taken // size if size else 0)]
+    assert [r.doc_id for r in results["mixing"]] == want
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert [r.doc_id for r in results["bpe"]] == want and all(r.exact and list(r.ids) == lib.encode(cut[r.doc_id], add_special_tokens=False).ids for r in results["bpe"])
