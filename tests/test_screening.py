@@ -120,6 +120,20 @@ def test_judge(spark):
     assert (p.a.verdict, p.a.score, p.b) == ("unsafe", 0.4, None)
 
 
+def test_judge_asks_again_after_an_error(spark):
+    asked = []
+
+    def flaky(request):
+        asked.append(request["input"])
+        if len(asked) == 1:
+            raise ValueError("late")
+        return {"verdict": "unsafe", "score": 0.7}
+
+    got = run(spark, [judge.Judge("id", flaky, judge.ALWAYS, cache=True)], "same", "Same", "SAME", "same ")
+    assert [g.metadata.llm_judge_error for g in got] == ["late", None, None, None]
+    assert [g.metadata.llm_judge_verdict for g in got] == [None, "unsafe", "unsafe", "unsafe"] and [g.metadata.llm_judge_cached for g in got] == [None, False, True, True]
+
+
 def test_marks(spark):
     got = run(spark, [marking.Canary(key="id", secret="s")], "hello", "hello")
     again = run(spark, [marking.Canary(key="id", secret="s")], "hello", "hello")

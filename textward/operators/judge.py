@@ -8,7 +8,7 @@ from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..schema import CUSTOM, IO, added, max_severity, metadata, none, threat
@@ -75,7 +75,8 @@ def parsed(output: Column) -> Column:
 class Judge(Guard):
     """Calls ``judge(request) -> decision`` (dicts) for the rows that the gate opens for; rows need a unique ``key``.
 
-    With ``cache``, equal requests are called once and joined back; errors aren't shared. The call has
+    With ``cache``, equal requests are called in the order of their keys until a call succeeds, and the rows
+    after it share its answer; errors aren't shared. The call has
     a timeout in seconds (negative: none).
     """
 
@@ -99,35 +100,38 @@ class Judge(Guard):
         call, timeout, policy, model = self.judge, self.timeout or 2.0, self.policy, self.model or "custom"
         most = self.max_bytes or 8192
 
-        @F.pandas_udf(f"struct<decision: {DECISION}, error: string>")
+        @F.pandas_udf(f"struct<decision: {DECISION}, error: string, cached: boolean>")
         def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, last = None, None  # equal keys come one after the other
             with ThreadPoolExecutor(1) as pool:
                 for p in parts:
                     rows = []
                     for r in p.itertuples(index=False):
+                        if last is not None and r.key == known:
+                            rows.append((last, None, True))
+                            continue
                         request = {"input": r.input, "raw_input": r.raw_input, "policy": policy, "model": model, "threats": list(r.threats)}
                         try:
                             d = pool.submit(call, request).result(None if timeout < 0 else timeout)
-                            rows.append(({"verdict": str(d.get("verdict", "")), "score": float(d.get("score", 0.0)), "reason": d.get("reason", ""), "threat_type": d.get("threat_type", "")}, None))
+                            decision = {"verdict": str(d.get("verdict", "")), "score": float(d.get("score", 0.0)), "reason": d.get("reason", ""), "threat_type": d.get("threat_type", "")}
+                            rows.append((decision, None, False))
+                            known, last = (r.key, decision) if r.key else (None, None)
                         except Late:
-                            rows.append((None, "deadline exceeded"))
+                            rows.append((None, "deadline exceeded", False))
                         except Exception as e:
-                            rows.append((None, str(e)))
-                    yield pd.DataFrame(rows, columns=["decision", "error"])
+                            rows.append((None, str(e), False))
+                    yield pd.DataFrame(rows, columns=["decision", "error", "cached"])
 
         names = df.columns
         open_rows = df.where(~F.col("halted") & opened(self.mode, F.col("threats"), F.col("input"), self.min_severity or 0.2, self.max_severity or 0.5))
         clipped = {c: text.byte_clip(F.col(c), most) for c in ("input", "raw_input")}
         requests = open_rows.select(F.col(self.key).alias("_id"), *[v.alias(c) for c, v in clipped.items()], "threats", (F.octet_length("input") > most).alias("_cut"))
-        answer = asked(F.struct("input", "raw_input", "threats"))
         if self.cache:
             keyed = requests.withColumn("_key", cache_key(F.lit(model), F.lit(policy), F.col("input"), F.col("threats")))
-            first = Window.partitionBy("_key").orderBy("_id")
-            keyed = keyed.withColumn("_first", F.row_number().over(first) == 1)
-            called = keyed.where("_first").select("_key", answer.alias("_a"))
-            answers = keyed.join(called, "_key").select("_id", "_cut", (~F.col("_first")).alias("_cached"), "_a")
+            requests = keyed.repartition("_key").sortWithinPartitions("_key", "_id")
         else:
-            answers = requests.select("_id", "_cut", F.lit(False).alias("_cached"), answer.alias("_a"))
+            requests = requests.withColumn("_key", F.lit(""))
+        answers = requests.select("_id", "_cut", asked(F.struct("input", "raw_input", "threats", F.col("_key").alias("key"))).alias("_a"))
         df = df.join(answers, F.col(self.key) == F.col("_id"), "left")
         d = F.col("_a.decision")
         ran, error = F.col("_id").isNotNull(), F.col("_a.error")
@@ -142,7 +146,7 @@ class Judge(Guard):
         failed = threat(CUSTOM, severity, F.concat(F.lit("llm judge failed closed: "), error), self.name, snippet)
         df = added(df, F.when(decided & (n["verdict"] == "unsafe"), F.array(unsafe)).when(ran & error.isNotNull() & F.lit(self.fail_closed), F.array(failed)).otherwise(none()))
         values = {
-            "llm_judge_ran": F.when(ran, True), "llm_judge_cached": F.when(decided, F.col("_cached")), "llm_judge_verdict": F.when(decided, n["verdict"]), "llm_judge_score": F.when(decided, n["score"]),
+            "llm_judge_ran": F.when(ran, True), "llm_judge_cached": F.when(decided, F.col("_a.cached")), "llm_judge_verdict": F.when(decided, n["verdict"]), "llm_judge_score": F.when(decided, n["score"]),
             "llm_judge_model": F.when(ran, F.lit(model)), "llm_judge_policy": F.when(decided & F.lit(bool(policy)), F.lit(policy)), "llm_judge_reason": F.when(decided & (n["reason"] != ""), n["reason"]),
             "llm_judge_error": error, "llm_judge_truncated": F.when(F.col("_cut"), True),
         }
