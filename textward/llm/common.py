@@ -7,18 +7,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, one of our own where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textward-"))
-            known = spark.sparkContext.getCheckpointDir()
-        at = known
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textward-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -27,11 +27,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textward-{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when the query ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. ``discard`` deletes the files."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``written`` wrote for these tables; nothing may read them afterwards."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one long each up to which a table of ids is broadcast: 32 MB or so.
+SENT_ROUND = 1 << 21
+
+
+def ids_sent_round(ids: DataFrame) -> DataFrame:
+    """A table of distinct ids, marked to be broadcast if it has been counted and is small; else Spark shuffles for the join."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROUND else ids
 
 
 def partitions(spark: SparkSession) -> int:
@@ -42,6 +71,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def mixed_numbers(seed: int, n: int) -> np.ndarray:
+    """n fixed 64-bit numbers that look random (counter mixed by xor-shifts and products); the same on every version of NumPy."""
+    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow column as one byte array and offsets; nulls are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions, written
+from .common import mixed_numbers, partitions, written
 
 BUCKETS = 256
 #: Offsets of the triplets within the window.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: The mean difference of unrelated codes; the bound of the difference score.
 BOUND = round(1.625 * BUCKETS)
-_TABLES = np.random.default_rng(20240611).integers(0, 1 << 16, (len(TRIPLETS), 3, 256), np.uint16)
+#: What a text's counts take besides its own bytes, so that a run of many short or empty texts ends too.
+ROW_BYTES = 8 * BUCKETS
+_TABLES = (mixed_numbers(20240611, len(TRIPLETS) * 3 * 256) >> np.uint64(48)).astype(np.uint16).reshape(len(TRIPLETS), 3, 256)
 
 
 def digest_many(texts: list[bytes]) -> np.ndarray:
@@ -100,7 +102,7 @@ def _judged(ids: pa.Array, texts: list[str], following: list[str]) -> list[pa.Ar
     return [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed]), *(pa.array([x.tobytes().hex() for x in y], pa.string()) for y in (d, e)), pa.array(likeness(d, e)), pa.array(likeness(d, after))]
 
 
-def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = 1 << 22) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = 1 << 23) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness; see ``edited``."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
@@ -124,11 +126,11 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes
                     yield edge(doc, t, None)
                     first = False
                 held.append((doc, t))
-                size += len(t)
+                size += len(t) + ROW_BYTES
                 if size >= run_bytes and len(held) > 1:
                     texts = [x for _, x in held]
                     yield out(_judged(pa.array([d.as_py() for d, _ in held[:-1]], doc.type), texts[:-1], texts[1:]))
-                    held, size = held[-1:], len(t)
+                    held, size = held[-1:], len(t) + ROW_BYTES
         if held:
             texts = [x for _, x in held]
             if len(held) > 1:

@@ -3,18 +3,21 @@
 A byte goes if it lies in a ``width``-byte string of the input that also starts in a document with a
 smaller id. The collection is too large for one suffix order, so it is dealt out by content:
 
-1. Documents are packed into chunks of about a megabyte, written once to the shared folder.
+1. Documents are packed into chunks of some megabytes, written once to the shared folder.
 2. Each window of ``width`` bytes has an anchor, the ``ANCHOR``-byte string in it with the least hash.
    Equal windows have equal anchors. Chunks ask the anchors' bins which anchors occur in two documents or
    more, and which document with an equal text has the smallest id; only that one goes on, for all windows of the
-   others start in it too. The question has a number of four bytes an anchor; the answer has one byte.
+   others start in it too. The question has a number of about three bytes an anchor; the answer has one byte.
 3. The windows whose anchors are repeated, in runs with the same anchor, go to the anchor's bin as
    strings, each different string once a chunk with its smallest id. Each bin builds the Burrows-Wheeler
    transform and common prefixes of its strings (``bwt``), where equal windows are neighbours that share
-   ``width`` bytes, and answers each window's smallest id.
+   ``width`` bytes, and answers each window's smallest id. A string that is alone with its anchor shares no window
+   with another string and stays out of the transform: its windows' smallest id is its own.
 4. Each chunk marks the bytes to remove.
 
-There are ``BINS`` bins for each shuffle partition, one after the other in a task. The windows of an anchor that is in more than ``HOT`` documents
+A shuffle partition has several bins, one after the other in a task. Chunks and bins grow with the square root of the
+input, so that the messages between them (one for each chunk and bin) keep their size and grow in number as the input does.
+The windows of an anchor that is in more than ``HOT`` documents
 go out one by one, to bins by their whole content, so that no anchor, common line or group of copies
 fills a bin: equal ones have been merged in each chunk, different ones are dealt out. Nothing
 is capped or left out. A bin or a chunk is all that a task ever holds.
@@ -29,6 +32,7 @@ the counts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,18 +43,19 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bwt
-from .common import partitions, text_bytes, written
+from .common import mixed_numbers, partitions, text_bytes, written
 
+#: Of a passage that is repeated, a short anchor makes longer and fewer strings, which overlap less.
 WIDTH, ANCHOR = 50, 20
-CHUNK_BYTES, CHUNK_DOCUMENTS = 1 << 20, 8192
-#: Bins a shuffle partition; a task has one of them open at a time.
-BINS = 8
+#: Least bytes of texts a chunk and a bin, and bytes of all texts that a message between the two stands for.
+CHUNK_BYTES, BIN_BYTES, MESSAGE_BYTES = 2 << 20, 2 << 20, 512
+CHUNK_DOCUMENTS = 8192
 #: From so many documents on, an anchor's windows are dealt out by their whole content.
 HOT = 1000
 #: Bytes whose anchors are found at a time; their positions have to fit in the hashes' low bits.
 _STEP, _LOW = 1 << 20, 21
 _NONE = np.iinfo(np.int64).max
-_BYTES = np.random.default_rng(977).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_BYTES = mixed_numbers(977, 256) | np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "chunk long, kind int, bin int, a binary, b binary, c binary, d binary"
 #: Kinds of messages, in the order in which a chunk reads them.
@@ -74,6 +79,16 @@ def _loose(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """x with all lowest bytes first, then the next ones: sorted or small numbers so compress in the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _power(k: int) -> np.uint64:
     return np.uint64(pow(int(_FACTOR), k, 1 << 64))
 
@@ -169,7 +184,8 @@ class Chunk:
         docs = np.minimum(np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(self.keys)), 65535).astype(np.uint16)
         digests = np.array([np.frombuffer(hashlib.blake2b(self.text(k), digest_size=16).digest(), np.uint64) for k in range(len(self.ids))], np.uint64).reshape(-1, 2)
         home = (digests[:, 0] % np.uint64(self.bins)).astype(np.int64)
-        asked = {b: (self.keys[s].astype(np.uint32).tobytes(), docs[s].tobytes()) for b, s in self._cuts()}
+        # a bin's keys ascend, so that their differences are small
+        asked = {b: (_planes(np.diff(self.keys[s].astype(np.uint32), prepend=np.uint32(0))), _planes(docs[s])) for b, s in self._cuts()}
         for b in sorted(set(asked) | set(home.tolist())):
             here = np.flatnonzero(home == b)
             yield (self.number, ANCHORS, b, *asked.get(b, (b"", b"")), digests[here].tobytes(), self.ids[here].tobytes() + here.astype(np.int64).tobytes())
@@ -185,50 +201,52 @@ class Chunk:
             self.owners[o[0]] = o[1]
 
     def strings(self) -> Iterator[tuple[int, dict[bytes, list]]]:
-        """For each bin the chunk's different strings: least id and the places where they start."""
+        """For each bin the chunk's different strings: least id, the places where they start, and the number of their anchor (hot ones: of the string)."""
         level = self.level[self.of_run] if len(self.keys) else np.zeros(0, np.uint8)
         go = np.flatnonzero((level > 0) & (self.owners == self.ids)[self.runs.doc])
         raw, out = self.x.tobytes(), {}
         width, bins = self.width, self.bins
-        for first, last, doc, home, hot in zip(self.runs.first[go].tolist(), self.runs.last[go].tolist(), self.ids[self.runs.doc[go]].tolist(), self.bin[go].tolist(), (level[go] > 1).tolist(), strict=True):
+        key = (self.keys[self.of_run[go]] & np.uint64(0xFFFFFFFF)).tolist()
+        for first, last, doc, home, hot, k in zip(self.runs.first[go].tolist(), self.runs.last[go].tolist(), self.ids[self.runs.doc[go]].tolist(), self.bin[go].tolist(), (level[go] > 1).tolist(), key, strict=True):
             if hot:
                 for at in range(first, last + 1):
                     s = raw[at : at + width]
-                    self._add(out, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") % bins, s, doc, at)
+                    h = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little")
+                    self._add(out, h % bins, s, doc, at, h // bins & 0xFFFFFFFF)
             else:
-                self._add(out, home, raw[first : last + width], doc, first)
+                self._add(out, home, raw[first : last + width], doc, first, k)
         for b in sorted(out):
             yield b, out[b]
 
     @staticmethod
-    def _add(out: dict, b: int, s: bytes, doc: int, at: int) -> None:
+    def _add(out: dict, b: int, s: bytes, doc: int, at: int, key: int) -> None:
         known = out.setdefault(b, {}).get(s)
         if known is None:
-            out[b][s] = [doc, [at]]
+            out[b][s] = [doc, [at], key]
         else:
             known[0] = min(known[0], doc)
             known[1].append(at)
 
     def ask_windows(self) -> Iterator[tuple]:
         for b, found in self.strings():
-            yield (self.number, WINDOWS, b, b"".join(found), np.array([len(s) for s in found], np.uint8).tobytes(), np.array([v[0] for v in found.values()], np.int64).tobytes(), b"")
+            yield (self.number, WINDOWS, b, b"".join(found), np.array([len(s) for s in found], np.uint8).tobytes(), np.array([v[0] for v in found.values()], np.int64).tobytes(), np.array([v[2] for v in found.values()], np.uint32).tobytes())
 
     def hear_windows(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes to remove."""
-        edge = np.zeros(len(self.x) + 1, np.int32)
+        late = np.zeros(len(self.x) + 1, bool)  # windows that start here and in a document with a smaller id
         doc_of = self.ids[np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))] if len(self.x) else np.zeros(0, np.int64)
         for b, found in self.strings():
             least = np.frombuffer(_loose(answers[b]), np.int64)
-            k = 0
-            for s, (_, places) in found.items():
-                n = len(s) - self.width + 1
-                part = least[k : k + n]
-                k += n
-                for at in places:
-                    late = at + np.flatnonzero(part < doc_of[at])
-                    edge[late] += 1
-                    edge[late + self.width] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
+            n = np.fromiter((len(s) - self.width + 1 for s in found), np.int64, len(found))
+            times = np.fromiter((len(places) for _, places, _ in found.values()), np.int64, len(found))
+            at = np.array([x for _, places, _ in found.values() for x in places], np.int64)
+            first, n = np.repeat(np.cumsum(n) - n, times), np.repeat(n, times)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(at, n) + step
+            late[place] = least[np.repeat(first, n) + step] < doc_of[place]
+        edge = late.astype(np.int8)
+        edge[self.width :] -= late[: -self.width]
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         for k in np.flatnonzero(self.owners < self.ids):
             if self.offsets[k + 1] - self.offsets[k] >= self.width:
                 gone[self.offsets[k] : self.offsets[k + 1]] = True
@@ -250,7 +268,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
 
 def _judge_anchors(rows: list[dict]) -> Iterator[tuple]:
     """A bin's answers: how common each anchor is over all chunks, and the least id of each text."""
-    keys, docs = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("a", np.uint32), ("b", np.uint16)))
+    keys = np.concatenate([np.cumsum(_unplaned(r["a"], np.uint32), dtype=np.uint32) for r in rows])
+    docs = np.concatenate([_unplaned(r["b"], np.uint16) for r in rows])
     order = np.argsort(keys, kind="stable")
     heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + np.uint32(1)) != 0) if len(keys) else np.zeros(0, np.int64)
     levels = np.zeros(len(keys), np.uint8)
@@ -276,47 +295,69 @@ def _judge_windows(rows: list[dict], width: int) -> Iterator[tuple]:
     """A bin's answers: the least id of each window of each string."""
     known: dict[bytes, int] = {}
     least: list[int] = []
-    asked: list[tuple[int, int, list[int]]] = []
+    anchor: list[int] = []
+    asked: list[tuple[int, int, np.ndarray]] = []
     for r in rows:
         raw, at, mine = r["a"], 0, []
-        for size, doc in zip(r["b"], np.frombuffer(r["c"], np.int64).tolist(), strict=True):
+        for size, doc, key in zip(r["b"], np.frombuffer(r["c"], np.int64).tolist(), np.frombuffer(r["d"], np.uint32).tolist(), strict=True):
             s = raw[at : at + size]
             at += size
             k = known.setdefault(s, len(least))
             if k == len(least):
                 least.append(doc)
+                anchor.append(key)
             elif doc < least[k]:
                 least[k] = doc
             mine.append(k)
-        asked.append((r["chunk"], r["bin"], mine))
-    lengths = np.array([len(s) for s in known], np.int64)
+        asked.append((r["chunk"], r["bin"], np.array(mine, np.int64)))
+    lengths, low = np.array([len(s) for s in known], np.int64), np.array(least, np.int64)
     text = np.frombuffer(b"".join(known), np.uint8)
     if (text == 0).any():  # 0 ends strings there; 255 is in no UTF-8 text
         text = np.where(text == 0, np.uint8(255), text)
     starts = np.cumsum(lengths) - lengths
     known.clear()
-    found, first = bwt.least_of_equal(text, starts, lengths, np.array(least, np.int64), width)
+    windows = lengths - width + 1
+    first = np.cumsum(windows) - windows
+    found = np.repeat(low, windows)
+    _, of, times = np.unique(np.array(anchor, np.uint32), return_inverse=True, return_counts=True)
+    if len(company := np.flatnonzero(times[of] > 1)):
+        part, at = bwt.least_of_equal(text, starts[company], lengths[company], low[company], width)
+        found[np.repeat(first[company] - at[:-1], windows[company]) + np.arange(len(part))] = part
     for chunk, b, mine in asked:
-        yield (chunk, WINDOWS, b, _squeeze(np.concatenate([found[first[k] : first[k + 1]] for k in mine]).tobytes()), None, None, None)
+        n = windows[mine]
+        yield (chunk, WINDOWS, b, _squeeze(found[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()), None, None, None)
 
 
-def _chunks(df: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame:
-    """Packed documents: a ids, b offsets, c texts, d the carried columns."""
+def _chunks(df: DataFrame, key: str, text: str, carried: list[str], size: int) -> DataFrame:
+    """Packed documents of about ``size`` bytes: a ids, b offsets, c texts, d the carried columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seq = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
+        number, seq, held, have = TaskContext.get().partitionId() << 32, 0, [], [0, 0]
+
+        def pack() -> pa.RecordBatch:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             x, offsets = text_bytes(b.column(1))
+            ids = b.column(0).fill_null(_NONE).to_numpy(zero_copy_only=False).astype(np.int64)
+            rest = b.select(b.schema.names[2:])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as w:
+                w.write_batch(rest)
+            return _messages([(number + seq, TEXTS, None, ids.tobytes(), offsets.astype(np.int64).tobytes(), _squeeze(x.tobytes()), _squeeze(sink.getvalue().to_pybytes()))])
+
+        for b in batches:
+            _, offsets = text_bytes(b.column(1))
             lo = 0
             while lo < b.num_rows:
-                hi = int(min(max(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right") - 1, lo + 1), lo + CHUNK_DOCUMENTS, b.num_rows))
-                ids = b.column(0).slice(lo, hi - lo).fill_null(_NONE).to_numpy(zero_copy_only=False).astype(np.int64)
-                rest = b.slice(lo, hi - lo).select(b.schema.names[2:])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rest.schema) as w:
-                    w.write_batch(rest)
-                yield _messages([(number + seq, TEXTS, None, ids.tobytes(), (offsets[lo : hi + 1] - offsets[lo]).astype(np.int64).tobytes(), _squeeze(x[offsets[lo] : offsets[hi]].tobytes()), _squeeze(sink.getvalue().to_pybytes()))])
-                lo, seq = hi, seq + 1
+                room = np.searchsorted(offsets, offsets[lo] + size - have[0], "right") - 1
+                hi = int(min(max(room, lo + 1), lo + CHUNK_DOCUMENTS - have[1], b.num_rows))
+                held.append(b.slice(lo, hi - lo))
+                have = [have[0] + int(offsets[hi] - offsets[lo]), have[1] + hi - lo]
+                if hi < b.num_rows or have[0] >= size or have[1] >= CHUNK_DOCUMENTS:
+                    yield pack()
+                    seq, held, have = seq + 1, [], [0, 0]
+                lo = hi
+        if held:
+            yield pack()
 
     cols = [F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)]]
     return df.select(*cols).mapInArrow(run, MESSAGE)
@@ -325,8 +366,10 @@ def _chunks(df: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame
 def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: int, schema: StructType, finish: Callable[[Chunk, np.ndarray, bytes], pa.RecordBatch]) -> DataFrame:
     spark = df.sparkSession
     tasks = partitions(spark)
-    bins = tasks * BINS
-    chunks = written(_chunks(df, key, text, carried), "chunks", "none")
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    even = math.isqrt(total * MESSAGE_BYTES)
+    bins = tasks * max(1, -(-total // (max(BIN_BYTES, even) * tasks)))
+    chunks = written(_chunks(df, key, text, carried, max(CHUNK_BYTES, even)), "chunks", "none")
 
     def opened(rows: list[dict]) -> Chunk:
         return Chunk(rows[0]["chunk"], rows[0]["a"], rows[0]["b"], rows[0]["c"], bins, width)
@@ -362,15 +405,15 @@ def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: in
     def to_bins(asked: DataFrame) -> DataFrame:
         return asked.repartitionById(tasks, F.col("bin") % tasks).sortWithinPartitions("bin", "chunk")
 
-    def to_chunks(*answers: DataFrame) -> DataFrame:
-        found = chunks
+    def to_chunks(found: DataFrame, *answers: DataFrame) -> DataFrame:
         for a in answers:
             found = found.unionByName(a)
         return found.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "bin")
 
-    common = written(to_bins(chunks.drop("d").withColumn("d", F.lit(None).cast("binary")).mapInArrow(ask_anchors, MESSAGE)).mapInArrow(judge_anchors, MESSAGE), "anchors")
-    least = to_bins(to_chunks(common).mapInArrow(ask_windows, MESSAGE)).mapInArrow(judge_windows, MESSAGE)
-    return to_chunks(common, written(least, "windows")).mapInArrow(close, schema)
+    bare = chunks.withColumn("d", F.lit(None).cast("binary"))
+    common = written(to_bins(bare.mapInArrow(ask_anchors, MESSAGE)).mapInArrow(judge_anchors, MESSAGE), "anchors")
+    least = to_bins(to_chunks(bare, common).mapInArrow(ask_windows, MESSAGE)).mapInArrow(judge_windows, MESSAGE)
+    return to_chunks(chunks, common, written(least, "windows")).mapInArrow(close, schema)
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

@@ -26,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import partitions, written
+from .common import discard, ids_sent_round, partitions, written
 
 BITS = 64
 SEED = 42
@@ -180,23 +180,22 @@ def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, parts: int =
 def components(found: DataFrame) -> DataFrame:
     """(node, label): for each linked node the smallest node of its connected component."""
     both = written(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
+    step = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("new"), F.col("u").alias("label")), "labels")
+    while step.where("new <> label").take(1):
+        labels = step.select("node", F.col("new").alias("label"))
         # the least label among the neighbours, then the label of that label
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("seen"))
-        step = labels.join(seen, F.col("node") == F.col("u")).select("node", "label", F.least("label", "seen").alias("new"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        step = step.join(up, F.col("new") == F.col("up")).select("node", F.least("new", "up_label").alias("new"), "label")
-        step = written(step, "labels")
-        changed = step.where("new <> label").take(1)
-        labels = step.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        after = labels.join(seen, F.col("node") == F.col("u")).select("node", "label", F.least("label", "seen").alias("new"))
+        after = written(after.join(up, F.col("new") == F.col("up")).select("node", F.least("new", "up_label").alias("new"), "label"), "labels")
+        discard(step)
+        step = after
+    discard(both)
+    return step.select("node", F.col("new").alias("label"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3, parts: int = 1) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of at most ``radius`` bits reach."""
-    docs = written(fingerprints(df, key, text, words), "fingerprints")
+def grouped(docs: DataFrame, radius: int = 3, parts: int = 1) -> DataFrame:
+    """(doc_id, fp) to (doc_id, fp, component_id): the smallest doc_id that links of at most ``radius`` bits reach."""
     distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(links(distinct.select("fp"), radius, parts=parts))
     known = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
@@ -205,14 +204,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def jaccard(a: str | None, b: str | None, words: int = 5) -> float:
-    """Likeness of the sets of word shingles; texts of fewer words are one shingle, no words are equal to no words."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3, parts: int = 1) -> DataFrame:
+    """doc_id, fp, component_id of each row of df."""
+    return grouped(written(fingerprints(df, key, text, words), "fingerprints"), radius, parts)
 
-    def shingles(text: str | None) -> set[bytes]:
-        t = (text or "").encode().lower().split()
-        return {b" ".join(t[k : k + words]) for k in range(max(1, len(t) - words + 1))}
 
-    x, y = shingles(a), shingles(b)
+def _exact(text: str | None, words: int) -> set[bytes]:
+    """The word shingles; a text of fewer words is one shingle."""
+    t = (text or "").encode().lower().split()
+    return {b" ".join(t[k : k + words]) for k in range(max(1, len(t) - words + 1))}
+
+
+def jaccard(a: str | None, b: str | None, words: int = 5) -> float:
+    """Likeness of the sets of word shingles; texts of fewer words are one shingle, no words are equal to no words."""
+    x, y = _exact(a, words), _exact(b, words)
     return len(x & y) / len(x | y)
 
 
@@ -246,8 +251,18 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _rest(size: Column | int, similarity: float) -> Column | int:
+    """Shingles of a set that are not among its first."""
+    if isinstance(size, Column):
+        return F.ceil(size * similarity - 1e-9) - 1
+    return math.ceil(similarity * size - 1e-9) - 1
+
+
 def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """row, same (equal for equal sets of shingles), size of the set, and its rarest shingles: of a pair with that likeness some are in both."""
+    """row, fp, same (equal for equal sets of shingles), size of the set, and its rarest shingles: of a pair with that likeness some are in both.
+
+    A row whose set a smaller row of its batch has, has same, size and firsts null: copies are met where they lie.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,26 +270,44 @@ def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
         known, often = shared.value
         for b in batches:
-            same, sizes, firsts = [], [], []
+            number, fps, same, sizes, firsts = b.column(0).to_pylist(), [], [], [], []
+            least: dict[bytes, int] = {}
             for t in b.column(1):
-                h = _shingles(t.as_py(), words)
+                t = t.as_py()
+                fps.append(fingerprint(t))
+                h = _shingles(t, words)
+                digest = xxhash.xxh128_digest(h.tobytes())
+                k = len(same)
+                first = least.setdefault(digest, k)
+                same.append(digest)
+                if first != k and number[first] < number[k]:
+                    same[k] = None
+                    sizes.append(None)
+                    firsts.append(None)
+                    continue
+                if first != k:
+                    least[digest], same[first] = k, None
+                    sizes.append(sizes[first])
+                    firsts.append(firsts[first])
+                    sizes[first] = firsts[first] = None
+                    continue
                 count = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     count = np.where(known[at] == h, often[at], 0)
-                same.append(xxhash.xxh128_digest(h.tobytes()))
                 sizes.append(len(h))
-                firsts.append(h[np.lexsort((h, count))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "same", "size", "firsts"])
+                firsts.append(h[np.lexsort((h, count))[: len(h) - _rest(len(h), similarity)]].view(np.int64))
+            cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "fp", "same", "size", "firsts"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, same binary, size long, firsts array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, fp long, same binary, size long, firsts array<long>")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """(h, row, size) to (h, row, size, lead, place): the least row with the same shingle, and how many come before. Shingles of one row drop out."""
+    """(h, row, size) to (h, row, size, lead, lead_size, place): the least row with the same shingle, and how many come before. Shingles of one row drop out."""
+    names = ["h", "row", "size", "lead", "lead_size", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "row", "size", "lead", "place"]
         held = None  # the last row: whether it has company is known with the next
         for b in batches:
             if not b.num_rows:
@@ -284,32 +317,53 @@ def _buckets(members: DataFrame) -> DataFrame:
                 h, row, size = (np.append(x, y) for x, y in zip(held[:3], (h, row, size), strict=True))
             new = np.append(True, h[1:] != h[:-1])
             heads = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            lead, place = row[heads], np.arange(len(h)) - heads
+            lead, lead_size, place = row[heads], size[heads], np.arange(len(h)) - heads
             if held is not None:
-                lead, place = np.where(heads == 0, held[3], lead), np.where(heads == 0, place + held[4], place)
+                lead, lead_size, place = (np.where(heads == 0, x, y) for x, y in ((held[3], lead), (held[4], lead_size), (place + held[5], place)))
             keep = (place > 0) | np.append(~new[1:], False)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (h, row, size, lead, place)], names=names)
-            held = h[-1], row[-1], size[-1], lead[-1], place[-1]
-        if held is not None and held[4] > 0:
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (h, row, size, lead, lead_size, place)], names=names)
+            held = h[-1], row[-1], size[-1], lead[-1], lead_size[-1], place[-1]
+        if held is not None and held[5] > 0:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held], names=names)
 
     n = partitions(members.sparkSession)
-    return members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(run, "h long, row long, size long, lead long, place long")
+    return members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _possible(met: DataFrame, similarity: float) -> DataFrame:
+    """(lead, lead_size, row, size), one for each shingle that both have among their first, to the pairs (lead, row) that may be alike.
+
+    What one set has in common with the other is among the first of both, or in the rest of the set
+    whose first end first. Likeness of t needs t / (1 + t) of both sizes, so that many less the larger
+    rest have to be met.
+    """
+    need = F.ceil((F.col("lead_size") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9)
+    rest = _rest(F.greatest("lead_size", "size"), similarity)
+    near = F.least("lead_size", "size") >= F.greatest("lead_size", "size") * similarity - 1e-9
+    return met.where(near).groupBy("lead", "row", "lead_size", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need - rest).select("lead", "row")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (lead, row) whose texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
         for b in batches:
-            close = [jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            close = []
+            for lead, one, other in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if lead != last:
+                    last, x = lead, _exact(one.as_py(), words)
+                y = _exact(other.as_py(), words)
+                close.append(len(x & y) / len(x | y) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["lead", "row"]).filter(pa.array(close, pa.bool_()))
 
     pairs = written(pairs.distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("lead", "row")).alias("row")).distinct()
-    texts = written(rows.select("row", "text").join(asked, "row", "left_semi"), "texts")
+    asked = written(pairs.select(F.explode(F.array("lead", "row")).alias("row")).distinct(), "asked")
+    texts = written(rows.select("row", "text").join(ids_sent_round(asked), "row", "left_semi"), "texts")
     both = pairs.join(texts.select("row", F.col("text").alias("b")), "row").join(texts.select(F.col("row").alias("lead"), F.col("text").alias("a")), "lead")
-    return written(both.select("lead", "row", "a", "b").mapInArrow(run, "lead long, row long"), "alike")
+    out = written(both.select("lead", "row", "a", "b").mapInArrow(run, "lead long, row long"), "alike")
+    discard(pairs, asked, texts)
+    return out
 
 
 def _losers(edges: DataFrame) -> DataFrame:
@@ -319,49 +373,66 @@ def _losers(edges: DataFrame) -> DataFrame:
         stays = edges.select("lead").distinct().join(edges.select(F.col("row").alias("lead")), "lead", "left_anti")
         lost = written(edges.join(stays, "lead", "left_semi").select("row").distinct(), "lost")
         gone = lost if gone is None else gone.union(lost)
-        edges = edges.join(lost, "row", "left_anti").join(lost.withColumnRenamed("row", "lead"), "lead", "left_anti")
-        edges = written(edges, "edges")
+        left = edges.join(lost, "row", "left_anti").join(lost.withColumnRenamed("row", "lead"), "lead", "left_anti")
+        left = written(left, "edges")
+        discard(edges)
+        edges = left
         if not edges.take(1):
             return gone
 
 
+def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """given (all columns of df), text, and row: a number for each row with a key, in the order of keys."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")).select("given", F.col("given")[key].alias("key"), F.col("given")[text].cast("string").alias("text"))
+    known = packed.where("key is not null")
+    if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and not known.groupBy("key").count().where("count > 1").take(1):
+        return packed.select("given", "text", F.col("key").cast("long").alias("row"))
+    number = F.when(F.col("key").isNotNull(), F.monotonically_increasing_id())
+    return written(packed.orderBy("key", F.xxhash64("text")).withColumn("row", number).select("given", "text", "row"), "rows")
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 9, parts: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near-duplicates: in the order of the key, a row goes if it is alike (word shingles, Jaccard) to one that stays.
 
     Every alike pair is met. Shingles have one order, rare ones first; two sets of that likeness share
-    one of their first (1 - similarity) x size + 1 (prefix filter; exact up to collisions of 64-bit hashes).
+    some of their first (1 - similarity) x size + 1 (prefix filter; exact up to collisions of 64-bit hashes),
+    and how many they have to share follows from their sizes (``_possible``).
     Equal sets are judged once. A row that comes first wherever it has such a shingle stays, and rows
     like it go: of those, the rows with fingerprints of three-word shingles within ``radius`` bits and
-    the rows with a shared shingle are asked. That is linear in large groups, and is done again while they
-    shrink; of the rows left all pairs with a shared shingle are judged. Rows are told apart by their
+    the rows with enough shared shingles are asked. That is linear in large groups, and is done again while they
+    shrink; of the rows left all pairs with enough shared shingles are judged. Rows are told apart by
+    integral keys, or where keys are repeated or of another type by their
     number in the order of keys, so repeated keys are rows like others. Rows with a null key stay.
     """
-    names, number = df.columns, "_row"
-    rank = [F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))]
-    whole = written(df.orderBy(*rank).withColumn(number, F.monotonically_increasing_id()), "rows")
-    rows = whole.where(F.col(f"`{key}`").isNotNull()).select(F.col(number).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    whole = _packed(df, key, text)
+    rows = whole.where("row is not null").select("row", "text")
     sets = written(prefixes(rows, words, similarity), "prefixes")
-    first = written(sets.groupBy("same").agg(F.min("row").alias("row")).select("row"), "first")
-    step = written(_buckets(sets.join(first, "row", "left_semi").select(F.explode("firsts").alias("h"), "row", "size")), "buckets")
-    near = near_duplicates(rows.join(step.select("row").distinct(), "row", "left_semi"), "row", "text", 3, radius, parts)
-    near = near.where("doc_id <> component_id").select(F.col("component_id").alias("lead"), F.col("doc_id").alias("row"))
-    gone = None
+    first = written(sets.where("same is not null").groupBy("same").agg(F.min("row").alias("row")).select("row"), "first")
+    copies = written(sets.select("row").join(first, "row", "left_anti"), "copies")
+    step = written(_buckets(sets.select("row", "size", "firsts").join(first, "row", "left_semi").select(F.explode("firsts").alias("h"), "row", "size")), "buckets")
+    prints = written(sets.select(F.col("row").alias("doc_id"), "fp").join(step.select(F.col("row").alias("doc_id")).distinct(), "doc_id", "left_semi"), "fingerprints")
+    discard(sets, first)
+    near = grouped(prints, radius, parts).where("doc_id <> component_id").select(F.col("component_id").alias("lead"), F.col("doc_id").alias("row"))
+    near, gone = written(near, "near"), copies
     while True:
         leads = written(step.groupBy("row").agg(F.min("lead").alias("lead")).where("row = lead").select("lead"), "leads")
-        pairs = step.where("row <> lead").select("lead", "row")
-        pairs = pairs if near is None else pairs.union(near)
-        near = None
-        lost = written(_alike(pairs.join(leads, "lead", "left_semi"), rows, words, similarity).select("row").distinct(), "lost")
-        gone = lost if gone is None else gone.union(lost)
+        pairs = _possible(step.where("row <> lead").join(leads, "lead", "left_semi"), similarity)
+        if near is not None:
+            pairs = pairs.union(near.join(leads, "lead", "left_semi"))
+        alike = _alike(pairs, rows, words, similarity)
+        lost = written(alike.select("row").distinct(), "lost")
+        gone = gone.union(lost)
         decided = lost.union(leads.select(F.col("lead").alias("row")))
-        step = written(_buckets(step.join(decided, "row", "left_anti")), "buckets")
+        after = written(_buckets(step.join(decided, "row", "left_anti")), "buckets")
+        some = lost.count() >= leads.count()
+        discard(step, alike, near, leads)
+        step, near = after, None
         most = step.agg(F.max("place")).first()[0]
-        if most is None or most < LARGE or lost.count() < leads.count():
+        if most is None or most < LARGE or not some:
             break
     if most is not None:
-        a, b = step.select("h", F.col("row").alias("lead"), F.col("size").alias("m")), step.select("h", "row", "size")
-        pairs = a.join(b, "h").where((F.col("lead") < F.col("row")) & (F.least("m", "size") >= F.greatest("m", "size") * similarity - 1e-9)).select("lead", "row")
-        gone = gone.union(_losers(_alike(pairs, rows, words, similarity)))
-    nulls = whole.where(F.col(f"`{key}`").isNull())
-    kept = whole.join(first.join(gone, "row", "left_anti").withColumnRenamed("row", "_kept"), F.col(number) == F.col("_kept"), "left_semi")
-    return kept.unionByName(nulls).select(*[F.col(f"`{c}`") for c in names])
+        a, b = step.select("h", F.col("row").alias("lead"), F.col("size").alias("lead_size")), step.select("h", "row", "size")
+        gone = gone.union(_losers(_alike(_possible(a.join(b, "h").where("lead < row"), similarity), rows, words, similarity)))
+    discard(step)
+    gone = written(gone.distinct(), "gone")
+    return whole.join(ids_sent_round(gone), "row", "left_anti").select("given.*")
