@@ -64,9 +64,7 @@ tfs AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM each GROUP BY ALL),
 lens AS (SELECT doc_id, len(ws)::DOUBLE AS dl FROM docs),
 n AS (SELECT count(*)::DOUBLE AS docs, sum(dl) / count(*) AS mean FROM lens),
 idf AS (SELECT term, ln(1.0 + ((SELECT docs FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tfs GROUP BY term),
-asked AS (
-  SELECT doc_id AS query_id, term, w FROM tfs JOIN idf USING (term) WHERE doc_id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * w DESC, term) <= 16),
+asked AS (SELECT doc_id AS query_id, term, w FROM tfs JOIN idf USING (term) WHERE doc_id % 20 = 0),
 scored AS (
   SELECT query_id, t.doc_id, sum(w * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT mean FROM n))) ORDER BY asked.term) AS score
   FROM asked JOIN tfs t USING (term) JOIN lens USING (doc_id) GROUP BY ALL)
