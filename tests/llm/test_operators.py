@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +139,62 @@ def test_toxicity(spark):
     assert all(g.predicted == 0 for g in none)
 
 
+def test_kneser_ney_models_against_plain_formulas():
+    r = random.Random(9)
+    toxic = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(6)) for _ in range(8)]
+    ordinary = [" ".join("".join(r.choice("bcd") for _ in range(r.randint(1, 5))) for _ in range(6)) for _ in range(8)]
+    m, o = toxicity.fit_models(toxic, ordinary), toxicity.ORDER
+
+    def grams(texts):
+        out = {}
+        for t in set(texts):
+            for w in set(t.split()):
+                w = "\x02" * (o - 1) + w + "\x03"
+                for k in range(len(w) - o + 1):
+                    out[w[k : k + o]] = out.get(w[k : k + o], 0) + 1
+        return out
+
+    own = [grams(ordinary), grams(toxic)]
+    seen = set(own[0]) | set(own[1])
+    letters = {g[-1] for g in seen}
+
+    def backed(counts, h, x, lower):
+        row = {g[-1]: n for g, n in counts.items() if g[:-1] == h}
+        if not row:
+            return lower
+        return max(row.get(x, 0) - 0.75, 0) / sum(row.values()) + 0.75 * len(row) / sum(row.values()) * lower
+
+    def shared(h, x):
+        if len(h) == o - 1:
+            return shared(h[1:], x)
+        counts = {}
+        for g in {s[-len(h) - 2 :] for s in seen}:
+            counts[g[1:]] = counts.get(g[1:], 0) + 1
+        return backed(counts, h, x, shared(h[1:], x) if h else 1 / (len(letters) + 1))
+
+    for h in sorted({g[:-1] for g in seen})[:12] + ["zzz", "bzz"]:
+        for c in (0, 1):
+            each = {x: m.probability(c, h + x) for x in letters | {"?"}}
+            assert abs(sum(each.values()) - 1) < 1e-9
+            for x, p in each.items():
+                assert abs(p - backed(own[c], h, x, shared(h, x))) < 1e-12
+
+
+def test_toxicity_awkward_tables(spark, tmp_path):
+    words = [f"{a}{b}" for a in "bdfg" for b in "aeiou"]
+    r = random.Random(4)
+    texts = [" ".join([r.choice(words) for _ in range(30)] + ["nastyword"] * (k % 3 == 0)) for k in range(90)]
+    docs = spark.createDataFrame([(k, t, 1.5) for k, t in enumerate(texts)] + [(None, None, 2.0), (7, texts[7], 2.5), (500, "x" * 200_000, 0.0)], "doc_id long, text string, _toxicity double")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)] + [(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.judged(docs, labels).count() == 93
+    left = toxicity.clean(docs, labels)
+    assert left.columns == docs.columns and {x._toxicity for x in left.collect()} <= {0.0, 1.5, 2.0, 2.5}
+    assert toxicity.judged(docs.limit(0), labels).count() == 0
+    wide = {x.gram: x.n for x in toxicity.continuations(docs.where("doc_id < 90")).collect()}
+    plain = toxicity.lower({g for t in texts for w in t.split() for g in toxicity._grams(w)})
+    assert wide == {g: n for c in plain for g, n in c.items()}
+
+
 def test_extraction(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><div id=c><div class='post-{0}'><h1>A &amp; B</h1><p>one <b>two</b>three&nbsp; x<p>four<ul><li>five<li>six</ul><div class=comments><p>bad</p></div><script>'</p>'</script></div></div><footer>f</footer>"
     pages = [(k, f"http://h{k % 2}.example/{k}", page.format(k)) for k in range(6)] + [(7, None, None), (8, "x", ""), (9, "http://h0.example", "<p>alone")]
@@ -159,6 +216,40 @@ def test_extraction_keeps_articles_in_layout_names_and_sections(spark):
     assert extraction.taken(extraction.parse(noise), None).split("\n") == lines
 
 
+def test_extraction_reads_tags_as_browsers_do():
+    read = lambda html: extraction.taken(extraction.parse(html), None)
+    for html, text in {
+        "<p>one</p><p data-x=it's>Hello it's me</p><p>end</p>": "one\nHello it's me\nend",
+        "<p foo'>Hello</p><p>it's end</p>": "Hello\nit's end",
+        '<p>a</p><p title="x>beta</p>': "a",
+        "<form><div><p>a story in a form</p><p>two</p></div><input><button>go</button></form>": "a story in a form\ntwo",
+        '<div class="widget"><p>the long article</p></div><div class="ad-hoc"><p>more</p></div>': "the long article\nmore",
+        "<article><header><h1>Title</h1><p>by me</p></header><p>Body</p></article>": "Title\nBody",
+        '<article><div class="post-header"><h1>Title</h1><span>by</span></div><p>Body</p></article>': "Title\nBody",
+        "<p>a < b and c<d> x</p><!-- y --><p>z</p><!-- never": "a < b and c x\nz",
+        "<p>some text here</p><div hidden><p>no</p></div><div class='ad-slot'>buy</div><form>name <input></form>": "some text here",
+    }.items():
+        assert read(html) == text
+    for piece in ("<a title=\"", "<div>", "<li></li>", "<div class=sidebar>a ", "<b>", "<!--", "<", "<p a='", "&", "<p>x</p>", "<ul><li><div>"):
+        began = time.process_time()
+        read("<div>" * 5000 + piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 4
+
+
+def test_extraction_votes_and_awkward_tables(spark):
+    line = "words of the story that go on for a while"
+    page = lambda inner: f"<body><div class=top><a href=x>menu</a></div>{inner}<div class=other>{'short note ' * 3}</div>"
+    good = page(f"<div class='text n{{}}'><p>{line}</p><p>{line}</p></div>")
+    odd = page(f"<div class=text><p>{line}</p></div>").replace("short note ", f"{line} " * 40)
+    rows = [(k, "http://a.example/x", good, 1) for k in range(5)] + [(5, "http://a.example/y", odd, 1), (6, None, good, 2), (None, "http://a.example", good, 3), (0, "http://a.example/x", good, 1), (9, "http://b.example", "<p>" + "long " * 300_000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
+    got = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(df).collect()]
+    assert len(got) == len(rows) and all(len(t) == n for _, t, n in got)
+    assert all(t == f"{line}\n{line}" for k, t, _ in got if k in (0, 1, 2, 3, 4, 6, None))
+    assert [n for k, _, n in got if k == 9] == [5 * 300_000 - 1]
+    assert extraction.extract(df.limit(0)).count() == 0
+
+
 def test_simhash_components(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     ids = sorted(got)

@@ -1,17 +1,23 @@
 """Main text of web pages by consensus host paths.
 
 Each page scores its containers by the text that stands in them outside links, and votes for the
-path of the best one: the chain of tags and classes from the root, digits generalised. Spark adds up
-the votes of each host; then every page is read again and its text taken from the elements on its
+path of the best one: the chain of tags and classes from the root, digits generalised. Spark counts
+the votes of each host, one a page; then every page is read again and its text taken from the elements on its
 host's winning path, or from its own best container where it has none.
 
 Left out everywhere: scripts, styles and other raw or control elements, menus, headers, footers,
 sidebars, forms, and elements whose class, id or role names an advert, notice, menu, sidebar, share
-bar or reader comments. Names such as ``no-sidebar`` or ``search-result`` aren't of these, and an element
-that is named so but holds more than half of the page's text is kept, unless it is hidden or named for comments, adverts or consent. Blocks are joined by a newline; white space within a block is one space.
+bar or reader comments. Compound names count by their last part, or by their first if the others only say where or what
+kind of box (``ad-slot``, not ``ad-hoc``, ``no-sidebar`` or ``search-result``). A form, or an element
+that is named so, but holds more than half of the page's text is kept, unless it is hidden or named for comments, adverts or
+consent. Of a header in an article the headings are kept. Blocks are joined by a newline; white space within a block is one space.
+
+Tags are read as browsers do: values without quotes may hold quotes, and a tag, quote or comment that is never closed ends
+with the page. Reading is linear in the page; what is nested deeper than ``DEPTH`` counts as part of the element there.
 
 Defined results: null or empty html gives an empty text; a null url counts as the host ""; unclosed
-and stray tags are repaired in the usual way; very long pages are read whole; repeated rows vote and
+and stray tags are repaired in the usual way; very long pages are read whole; of paths with as many votes the one with more
+text wins, then the last by name; repeated rows vote and
 come out once each; an empty table gives no rows; other columns are not read.
 """
 
@@ -30,7 +36,8 @@ from .common import written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-SKIPPED = RAW | frozenset("head nav header footer aside form button select option fieldset dialog menu object canvas audio video map datalist".split())
+SKIPPED = RAW | frozenset("head nav header footer aside button select option fieldset dialog menu object canvas audio video map datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead td th tr caption ul".split())
 CONTAINERS = frozenset("html body article main section div td center blockquote figure".split())
 #: A start tag that ends open elements of these kinds, up to the nearest element of the second kind.
@@ -43,45 +50,134 @@ NOISE = frozenset(
     " sidebar side-bar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments commentlist respond disqus replies"
     " share sharing social related recommended newsletter subscribe signup login search toolbar skip-link widget complementary contentinfo search-form hidden".split()
 )
-#: Parts that make a compound name one of the page's layout, names that are only meant whole, and names that are left out at any size.
+#: Parts that make a compound name one of the page's layout, and parts that only say where or what kind of box.
 LAYOUT = frozenset("no not non has have with without".split())
-WHOLE = frozenset("search-result search-results".split())
+BOXES = frozenset(
+    "area bar block body bottom box buttons col column container content desktop end first footer group head header holder icons inner inline item items label last left"
+    " link links list main mobile outer page panel primary right row secondary section site slot space start text thread title top unit widget widgets wrap wrapper zone form posts".split()
+)
+#: Names that are left out at any size.
 ALWAYS = frozenset("comment comments commentlist respond disqus replies hidden ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_AFTER = BOXES | NOISE
+DEPTH = 512
+_HEADER = frozenset(["header"])
+_NAME, _GAP, _KEY, _IS, _BARE = (re.compile(x) for x in (r"</?([a-zA-Z][^\s/>]*)", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 
 
 @dataclass
 class Page:
-    """labels and parents of the elements, and the blocks of text that are not left out: (element, text, characters in links)."""
+    """labels, parents and path numbers of the elements, and the blocks of text that are not left out: (element, text, characters in links)."""
 
     labels: list[str] = field(default_factory=lambda: ["html"])
     tags: list[str] = field(default_factory=lambda: ["html"])
     parents: list[int] = field(default_factory=lambda: [-1])
+    paths: list[int] = field(default_factory=lambda: [0])
+    known: dict[tuple[int, str], int] = field(default_factory=lambda: {(-1, "html"): 0})
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
+    def add(self, parent: int, tag: str, label: str) -> int:
+        self.labels.append(label)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(self.known.setdefault((self.paths[parent], label), len(self.known)))
+        return len(self.labels) - 1
+
     def path(self, node: int) -> str:
         found = []
         while node >= 0:
             found.append(self.labels[node])
             node = self.parents[node]
-        return ">".join(reversed(found))
+        return "\n".join(reversed(found))
+
+    def number(self, path: str) -> int:
+        """The path's number, -1 if no element has it."""
+        at = -1
+        for k, label in enumerate(path.split("\n")):
+            at = self.known.get((at, label), -1)
+            if at < 0:
+                return -1
+        return at
+
+
+def _named(name: str, names: frozenset[str]) -> bool:
+    parts = name.lower().replace("_", "-").split("-")
+    if "-".join(parts) in names:
+        return True
+    if len(parts) == 1 or LAYOUT.intersection(parts):
+        return False
+    return parts[-1] in names or parts[0] in names and _AFTER.issuperset(parts[1:])
 
 
 def _noise(attributes: dict[str, str], names: frozenset[str] = NOISE) -> bool:
-    for name in ("class", "id", "role"):
-        for part in attributes.get(name, "").lower().replace("_", "-").split():
-            pieces = part.split("-")
-            if part in names or part not in WHOLE and names.intersection(pieces) and not LAYOUT.intersection(pieces):
-                return True
+    if any(_named(part, names) for name in ("class", "id", "role") if name in attributes for part in attributes[name].split()):
+        return True
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
 
 
+def _tag(source: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """Attributes of the tag whose name ends at ``at``, whether it ends in a slash, and where it ends. None if the page ends first."""
+    attributes: dict[str, str] = {}
+    while True:
+        at = _GAP.match(source, at).end()
+        if at >= len(source):
+            return None
+        if source[at] == ">":
+            return attributes, source[at - 1] == "/", at + 1
+        key = _KEY.match(source, at)
+        at, value = key.end(), ""
+        if m := _IS.match(source, at):
+            at = m.end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'"):
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(source, at)
+                value, at = m[0], m.end()
+        attributes.setdefault(key[0].lower(), value)
+
+
+def _marks(source: str) -> Iterator[tuple[int, int, str, bool, dict[str, str], bool]]:
+    """Each tag: where it starts and ends, name, whether it closes, attributes, whether it ends in a slash. Comments have no name. Jumps may be sent in."""
+    at = 0
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = at + 4 if source.startswith(">", at + 4) else at + 5 if source.startswith("->", at + 4) else source.find("-->", at + 4) + 2
+            end = len(source) if end == 1 else end + 1
+            yield at, end, "", False, {}, False
+            at = end
+        elif m := _NAME.match(source, at):
+            found = _tag(source, m.end())
+            if found is None:
+                yield at, len(source), "", False, {}, False
+                return
+            jump = yield at, found[2], m[1].lower(), source[at + 1] == "/", found[0], found[1]
+            at = jump or found[2]
+        elif source[at + 1 : at + 2] in ("!", "?", "/"):
+            end = source.find(">", at)
+            end = len(source) if end < 0 else end + 1
+            yield at, end, "", False, {}, False
+            at = end
+        else:  # a sign, not a tag
+            at += 1
+
+
+def _next(marks: Iterator, jump: int | None) -> tuple | None:
+    try:
+        return marks.send(jump)
+    except StopIteration:
+        return None
+
+
 def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
     """The page, with the elements that start at ``spared`` whatever their names."""
-    page, at, links = Page(), 0, 0
-    stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, element, left out
-    doubt: list[tuple[int, int]] = []  # depth and start of elements left out by name only
+    page, links, flat = Page(), 0, Counter()
+    # tag, element, left out, depth of the nearest block, raw and control elements around, articles around, whether it is an article's header
+    stack: list[tuple[str, int, bool, int, int, int, bool]] = [("html", 0, False, 0, 0, 0, False)]
+    opened: Counter = Counter()
+    doubt: list[tuple[int, int, int]] = []  # depth and start of elements left out by name only, and what had been dropped there
     sizes: Counter = Counter()  # the text in each
     dropped = 0
     text: list[str] = []
@@ -92,8 +188,7 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
         if text:
             joined = " ".join("".join(text).split())
             if joined and not stack[-1][2]:
-                node = next(s[1] for s in reversed(stack) if s[0] in BLOCKS)
-                page.blocks.append((node, joined, min(linked, len(joined))))
+                page.blocks.append((stack[-1][1], joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
@@ -101,79 +196,88 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
         nonlocal links
         for tag, *_ in stack[depth:]:
             links -= tag == "a"
+            opened[tag] -= 1
         while doubt and doubt[-1][0] >= depth:
-            doubt.pop()
+            _, start, before = doubt.pop()
+            if start >= 0:
+                sizes[start] += dropped - before
         del stack[depth:]
 
-    end = len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        upto = m.start() if m else end
-        if upto > at and not stack[-1][2]:
-            piece = source[at:upto]
+    def said(lo: int, hi: int) -> None:
+        nonlocal linked, dropped
+        if hi <= lo:
+            return
+        if not stack[-1][2]:
+            piece = source[lo:hi]
             piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
             linked += len(piece) if links else 0
-        elif upto > at and doubt and not links and doubt[-1][1] >= 0 and not any(s[0] in SKIPPED for s in stack[doubt[0][0] :]):
-            n = len(" ".join(source[at:upto].split()))
-            dropped += n
-            sizes.update({start: n for _, start in doubt})
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
-                if tag in BLOCKS or any(s[0] in BLOCKS for s in stack[depth:]):
+        elif doubt and not links and doubt[-1][1] >= 0 and stack[-1][4] == stack[doubt[0][0] - 1][4]:
+            dropped += len(" ".join(source[lo:hi].split()))
+
+    marks, at = _marks(source), 0
+    mark = next(marks, None)
+    while mark is not None:
+        start, end, tag, closes, attributes, slash = mark
+        said(at, start)
+        at, jump = end, None
+        if not tag:
+            pass
+        elif closes:
+            if flat[tag]:
+                flat[tag] -= 1
+            elif opened[tag]:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                if stack[-1][3] >= depth:
                     flush()
                 close(depth)
-            continue
-        if tag in ("html", "body") and any(s[0] == tag and s[1] for s in stack[1:]):
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag in ENDS:
-                kinds, within = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in kinds:
-                        close(k)
-                        break
-            else:  # a block ends an open paragraph, and what stands open in it
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
-                if depth and stack[depth][0] == "p":
+        elif tag in ("html", "body") and opened[tag]:
+            pass
+        elif tag in RAW:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            after = source.find(">", m.end()) if m else -1
+            at = jump = after + 1 if after >= 0 else len(source)
+        else:
+            if tag in BLOCKS:
+                flush()
+                if tag in ENDS:
+                    kinds, within = ENDS[tag]
+                    if any(opened[k] for k in kinds):
+                        for k in range(len(stack) - 1, 0, -1):
+                            if stack[k][0] in within:
+                                break
+                            if stack[k][0] in kinds:
+                                close(k)
+                                break
+                elif stack[depth := stack[-1][3]][0] == "p" and depth:  # a block ends an open paragraph, and what stands open in it
                     close(depth)
-        if tag in VOID:
-            if tag == "br":
-                text.append(" ")
-            continue
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
-        if m[3].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        named = bool(attributes) and m.start() not in spared and tag not in ("html", "body") and _noise(attributes)
-        left_out = stack[-1][2] or tag in SKIPPED or named
-        if tag in RAW:
-            close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = close_at.end() if close_at else end
-            continue
-        node = stack[-1][1]
-        if tag in BLOCKS:
-            node = len(page.labels)
-            names = sorted({re.sub(r"\d+", "#", w) for w in attributes.get("class", "").lower().split()})
-            page.labels.append(".".join([tag, *names]))
-            page.tags.append(tag)
-            page.parents.append(stack[-1][1])
-        links += tag == "a"
-        if named and tag in CONTAINERS and (doubt or not stack[-1][2]) and not _noise(attributes, ALWAYS):
-            doubt.append((len(stack), m.start()))
-        elif named and doubt:
-            doubt.append((len(stack), -1))
-        stack.append((tag, node, left_out))
+            if tag in VOID:
+                if tag == "br":
+                    text.append(" ")
+            elif not (slash and tag not in BLOCKS):
+                if len(stack) >= DEPTH:
+                    flat[tag] += 1
+                else:
+                    _, node, out, block, around, articles, header = stack[-1]
+                    named = start not in spared and tag not in ("html", "body") and (tag == "form" or bool(attributes) and _noise(attributes))
+                    # an article's header is left out but for its headings
+                    heads = articles > 0 and (tag == "header" or named and tag in CONTAINERS and _noise(attributes, _HEADER) and not _noise(attributes, NOISE - _HEADER))
+                    tagged = tag in SKIPPED and not heads
+                    left_out = out and not (header and tag in HEADINGS) or tagged or named or heads
+                    if tag in BLOCKS:
+                        names = sorted({re.sub(r"\d+", "#", w) for w in attributes.get("class", "").lower().split()})
+                        node = page.add(node, tag, ".".join([tag, *names]))
+                    links += tag == "a"
+                    if named and (tag in CONTAINERS or tag == "form") and (doubt or not out) and not _noise(attributes, ALWAYS):
+                        doubt.append((len(stack), start, dropped))
+                    elif named and doubt:
+                        doubt.append((len(stack), -1, dropped))
+                    opened[tag] += 1
+                    stack.append((tag, node, left_out, len(stack) if tag in BLOCKS else block, around + tagged, articles + (tag in ("article", "main")), heads))
+        mark = _next(marks, jump)
+    said(at, len(source))
     flush()
+    close(1)
     most = sum(len(t) - n for _, t, n in page.blocks)
     if large := [start for start, n in sizes.items() if 2 * n > most + dropped]:
         return parse(source, spared | {*large})
@@ -183,8 +287,10 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
 def best(page: Page) -> tuple[str, float]:
     """Path and score of the container with the most text outside links. An article or main element around it stands for it, or else a parent with more."""
     scores: Counter = Counter()
+    whole = [0] * len(page.labels)
     for node, text, linked in page.blocks:
         worth = len(text) - linked
+        whole[node] += worth
         while node >= 0 and page.tags[node] not in CONTAINERS:
             node = page.parents[node]
         while node >= 0 and worth >= 1:
@@ -193,6 +299,8 @@ def best(page: Page) -> tuple[str, float]:
             node = page.parents[node]
     if not scores:
         return "", 0.0
+    for node in range(len(whole) - 1, 0, -1):
+        whole[page.parents[node]] += whole[node]
     top = max(scores, key=lambda n: (scores[n], -n))
     score, node, marked = scores[top], top, False
     while node >= 0:
@@ -200,11 +308,6 @@ def best(page: Page) -> tuple[str, float]:
             top, marked = node, True
         node = page.parents[node]
     if not marked:  # the parent of several children with text: one that adds a quarter or more to the best of them
-        whole: Counter = Counter()
-        for node, text, linked in page.blocks:
-            while node >= 0:
-                whole[node] += len(text) - linked
-                node = page.parents[node]
         node = page.parents[top]
         while node >= 0:
             if page.tags[node] in CONTAINERS and 4 * whole[node] >= 5 * whole[top]:
@@ -215,24 +318,16 @@ def best(page: Page) -> tuple[str, float]:
 
 def taken(page: Page, path: str | None) -> str:
     """The blocks under the elements on ``path``, in page order; of the page's own best container if there is no such element."""
-    paths: dict[int, bool] = {}
-
-    def under(node: int, goal: str) -> bool:
-        chain = []
-        while node >= 0 and node not in paths:
-            chain.append(node)
-            node = page.parents[node]
-        found = node >= 0 and paths[node]
-        for n in reversed(chain):
-            found = paths[n] = found or page.labels[n] == goal.rpartition(">")[2] and page.path(n) == goal
-        return found
-
-    found = [t for n, t, _ in page.blocks if under(n, path)] if path else []
-    if not found and page.blocks:
-        paths.clear()
-        own = best(page)[0]
-        found = [t for n, t, _ in page.blocks if under(n, own)] if own else []
-    return "\n".join(found)
+    for goal in (path, None):
+        number = page.number(goal or best(page)[0] or "-") if page.blocks else -1
+        if number < 0:
+            continue
+        under = [False] * len(page.labels)
+        for node, parent in enumerate(page.parents):  # parents come before their children
+            under[node] = page.paths[node] == number or parent >= 0 and under[parent]
+        if found := [t for n, t, _ in page.blocks if under[n]]:
+            return "\n".join(found)
+    return ""
 
 
 def host(url: Column) -> Column:
@@ -244,12 +339,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: Counter = Counter()
+            votes, sums = Counter(), Counter()
             for h, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 path, score = best(parse(source.as_py() or ""))
                 if path:
-                    sums[h, path] += score
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(sums.values(), pa.float64())], names=["host", "path", "score"])
+                    votes[h, path] += 1
+                    sums[h, path] += round(score)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(votes.values(), pa.int64()), pa.array([sums[k] for k in votes], pa.int64())], names=["host", "path", "votes", "score"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,7 +353,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     all_pages = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").cast("string").alias("html"), host(F.col(f"`{url}`")).alias("host"))
-    votes = all_pages.select("host", "html").mapInArrow(vote, "host string, path string, score double").groupBy("host", "path").agg(F.sum(F.round("score", 3)).alias("score"))
-    winners = written(votes.groupBy("host").agg(F.max(F.struct("score", "path")).alias("w")).select("host", F.col("w.path").alias("path")), "winners")
+    votes = all_pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long, score long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    winners = written(votes.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("w")).select("host", F.col("w.path").alias("path")), "winners")
     kind = pages.schema[key].dataType.simpleString()
     return all_pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")

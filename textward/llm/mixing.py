@@ -82,14 +82,20 @@ def _turn(epoch: int) -> Column:
     return F.struct(at.alias("at"), F.col("source"), F.col("h"), F.col("id"), F.lit(epoch).alias("epoch"), F.col("upto"))
 
 
-def fair_mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3) -> DataFrame:
-    """Columns row (all of df's), size, source_size, target, epochs (how often the mix takes the row).
+def fair_mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, columns: Sequence[str] | None = None) -> DataFrame:
+    """Columns row (all of df's, or ``columns``), size, source_size, target, epochs (how often the mix takes the row).
 
+    Words are counted once, into a table of keys and sizes; texts are shuffled only if they are asked for.
     What is gathered: sums of cells (sources x CELLS rows, written to the shared folder) and of
     slices (at most 2 x SLICES rows). The driver gets the budget and the last turn that it pays for.
     """
-    rows = _ordered(df, key, source, text)
-    lean = _ordered(df.select(*dict.fromkeys((key, source, text))), key, source, text).drop("row")
+    if columns is not None and text not in columns:
+        rows = _ordered(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys((key, source, text, *columns))]), key, source, text)
+        rows = written(rows.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in columns])), "sizes")
+        lean = rows.drop("row")
+    else:
+        rows = _ordered(df, key, source, text)
+        lean = written(_ordered(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys((key, source, text))]), key, source, text).drop("row"), "sizes")
     sums = written(lean.groupBy("source", "cell").agg(F.sum("size").alias("tokens")), "cells")
     goal = targets(sums.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, max_epochs)
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("cell")) - F.col("tokens")

@@ -48,7 +48,7 @@ def op9_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.fair_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    mix = mixing.fair_mix(documents(spark, sf_dir), columns=["doc_id"])
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 

@@ -40,6 +40,8 @@ ENOUGH = 44
 SAMPLE, COMMON, REMEMBERED = 8192, 3, 1 << 18
 #: Groups of this size that share a shingle are thinned by their first rows before all pairs are judged.
 LARGE = 64
+#: Pairs in lists that are made at a time.
+MEETING = 1 << 20
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -343,6 +345,67 @@ def _possible(met: DataFrame, similarity: float) -> DataFrame:
     return met.where(near).groupBy("lead", "row", "lead_size", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need - rest).select("lead", "row")
 
 
+def _all_possible(members: DataFrame, similarity: float) -> DataFrame:
+    """(h, row, size) to the pairs (lead, row) of ``_possible`` among all rows that share a shingle.
+
+    Each row of a bucket gets the list of rows before it, so that pairs move as numbers in lists; lists of one row
+    come together in one task, which counts and filters them.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the bucket that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = len(held[0])
+            h, row, size = (np.concatenate((x, b.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
+            heads = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
+            before = np.cumsum(np.arange(len(h)) - heads)
+            cuts = np.searchsorted(before, np.arange(before[old - 1] if old else 0, before[-1] + MEETING, MEETING), "right")
+            cuts = np.unique(np.clip([old, *cuts, len(h)], old, len(h))).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                me = np.arange(lo, hi)
+                place = me - heads[me]
+                you = np.repeat(heads[me] - np.cumsum(place) + place, place) + np.arange(place.sum())
+                me = np.repeat(me, place)
+                near = np.minimum(size[me], size[you]) >= np.maximum(size[me], size[you]) * similarity - 1e-9
+                me, you = me[near], you[near]
+                cut = np.flatnonzero(np.diff(me, prepend=-1))
+                offsets = pa.array(np.append(cut, len(me)), pa.int32())
+                cols = [row[me[cut]], size[me[cut]], *(pa.ListArray.from_arrays(offsets, pa.array(x[you])) for x in (row, size))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["row", "size", "leads", "lead_sizes"])
+            held = [x[heads[-1] :] for x in (h, row, size)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = of = None
+
+        def done() -> pa.RecordBatch:
+            leads, sizes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            leads, first, n = np.unique(leads, return_index=True, return_counts=True)
+            sizes = sizes[first]
+            rest = np.ceil(np.maximum(sizes, of) * similarity - 1e-9) - 1
+            leads = leads[n >= np.ceil((sizes + of) * (similarity / (1 + similarity)) - 1e-9) - rest]
+            return pa.RecordBatch.from_arrays([pa.array(leads), pa.array(np.full(len(leads), at))], names=["lead", "row"])
+
+        for b in batches:
+            row, size = (b.column(i).to_pylist() for i in (0, 1))
+            values = [b.column(i).values.to_numpy(zero_copy_only=False) for i in (2, 3)]
+            ends = b.column(2).offsets.to_pylist()
+            for k, r in enumerate(row):
+                if held and r != at:
+                    yield done()
+                    held = []
+                at, of = r, size[k]
+                held.append(tuple(v[ends[k] : ends[k + 1]] for v in values))
+        if held:
+            yield done()
+
+    n = partitions(members.sparkSession)
+    lists = members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(meet, "row long, size long, leads array<long>, lead_sizes array<long>")
+    return lists.repartition(n, "row").sortWithinPartitions("row").mapInArrow(count, "lead long, row long")
+
+
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (lead, row) whose texts are alike."""
 
@@ -391,7 +454,7 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     return written(packed.orderBy("key", F.xxhash64("text")).withColumn("row", number).select("given", "text", "row"), "rows")
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 9, parts: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, parts: int = 1, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near-duplicates: in the order of the key, a row goes if it is alike (word shingles, Jaccard) to one that stays.
 
     Every alike pair is met. Shingles have one order, rare ones first; two sets of that likeness share
@@ -431,8 +494,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
         if most is None or most < LARGE or not some:
             break
     if most is not None:
-        a, b = step.select("h", F.col("row").alias("lead"), F.col("size").alias("lead_size")), step.select("h", "row", "size")
-        gone = gone.union(_losers(_alike(_possible(a.join(b, "h").where("lead < row"), similarity), rows, words, similarity)))
+        gone = gone.union(_losers(_alike(_all_possible(step, similarity), rows, words, similarity)))
     discard(step)
     gone = written(gone.distinct(), "gone")
     return whole.join(ids_sent_round(gone), "row", "left_anti").select("given.*")

@@ -1,21 +1,22 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-The events are the character n-grams of words, edges marked, so that rare compounds of a known word
-still speak. Each class has discounted counts of its own (of texts, not of occurrences), and what the
-discounts set free is spread by one shared Kneser-Ney backoff: in how many different words of either
-class an n-gram was seen. Rare n-grams so get much the same probability from both classes. Where the
-classes differ by less than ``MARGIN``, both take the shared counts. A text's score compares its
-log-likelihoods under the two models, divided by its number of words, and is made a probability by a
-logistic curve fitted on labelled texts that the models haven't seen.
+Each class has an interpolated Kneser-Ney model of its words, character by character: a character
+given the ``ORDER`` - 1 before it in its word, edges marked. The highest order has the class's own discounted counts (of
+texts with the word, not of occurrences). What its discounts set free goes to the lower orders, which both classes
+share: continuation counts, the number of different characters that were seen before an n-gram, discounted and backed off in the
+same way down to equal shares. Rare expressions so get much the same probability from both classes.
+A text's score compares its log-likelihoods under the two models, divided by its number of words, and is made a
+probability by a logistic curve fitted on labelled texts that the models haven't seen.
 
 Fitting takes a bounded sample: at most ``per_class`` labelled rows of each class, the first by a
-hash of their ids, of texts up to ``MAX_BYTES``. Labels whose crc32(doc_id) mod 5 is 0 are never used.
+hash of their ids, of texts up to ``MAX_BYTES`` and ``CLASS_BYTES`` in all. Labels whose crc32(doc_id) mod 5 is 0 are never used.
+The shared continuation counts are taken over all documents, by Spark; the driver gets those of n-grams that the sample has.
 
 Defined results: a null text is empty; an empty text, or one without words, has the score of a
 likelihood ratio of one; very long texts are scored whole; a document with several labels is learnt once for each;
 null labels are skipped; with no labels, or of one class only, every score is the share of toxic labels
 (0 without any); repeated rows are scored each; an empty table gives no rows; other columns are not
-read, or carried through by ``clean``.
+read, or carried through by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-PER_CLASS, MAX_BYTES = 3000, 1 << 20
+PER_CLASS, MAX_BYTES, CLASS_BYTES = 3000, 1 << 20, 32 << 20
 ORDER, DISCOUNT = 4, 0.75
-#: Where the classes differ by less (in logarithms), both take the shared counts: that keeps the shares of languages and topics out.
-MARGIN = 2.0
-#: Words that a worker remembers; when full it starts anew.
-REMEMBERED = 500_000
+#: Words that a worker remembers, and the longest of them; when full it starts anew.
+REMEMBERED, LONGEST = 500_000, 64
+#: Stand before and after a word.
+_BEGIN, _END = "\x02", "\x03"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -46,17 +47,62 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _grams(word: str) -> list[str]:
+    w = _BEGIN * (ORDER - 1) + word + _END
+    return [w[k : k + ORDER] for k in range(len(w) - ORDER + 1)]
+
+
+@dataclass
+class Counts:
+    """Counts of n-grams of one length, with their sum and number by history."""
+
+    of: dict[str, int] = field(default_factory=dict)
+    total: Counter = field(default_factory=Counter)
+    kinds: Counter = field(default_factory=Counter)
+
+    def __post_init__(self) -> None:
+        for g, n in self.of.items():
+            self.total[g[:-1]] += n
+            self.kinds[g[:-1]] += 1
+
+    def given(self, gram: str, back: float) -> float:
+        """Of the gram's last character after its history: discounted, and the mass set free times ``back``."""
+        total = self.total.get(gram[:-1], 0)
+        if not total:
+            return back
+        return (max(self.of.get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * self.kinds[gram[:-1]] * back) / total
+
+
 @dataclass
 class Model:
-    """``grams`` maps to log ratios of the two classes' probabilities; those of unseen n-grams are equal."""
+    """``own``: the highest order of ordinary and toxic texts; ``shared``: the lower orders, shortest first."""
 
-    grams: dict[str, float] = field(default_factory=dict)
+    own: tuple[Counts, Counts] = field(default_factory=lambda: (Counts(), Counts()))
+    shared: list[Counts] = field(default_factory=list)
     slope: float = 0.0
     offset: float = 0.0
 
+    def below(self, gram: str) -> float:
+        """Shared probability of a gram's last character after what stands before it."""
+        p = 1.0 / (len(self.shared[0].of) + 1)
+        for n, counts in enumerate(self.shared, 1):
+            if n <= len(gram):
+                p = counts.given(gram[-n:], p)
+        return p
+
+    def probability(self, toxic: int, gram: str) -> float:
+        return self.own[toxic].given(gram, self.below(gram[1:]))
+
     def word(self, raw: str) -> float:
+        """Log-likelihood ratio of a word."""
         w = _EDGE.sub("", raw)
-        return sum([self.grams.get(g, 0.0) for g in _grams(w)]) if w else 0.0
+        if not w or not self.shared:
+            return 0.0
+        out = 0.0
+        for g in _grams(w):
+            back = self.below(g[1:])
+            out += math.log(self.own[1].given(g, back) / self.own[0].given(g, back))
+        return out
 
     def ratio(self, text: str | None, known: dict[str, float]) -> float:
         """Log-likelihood ratio a word."""
@@ -69,7 +115,9 @@ class Model:
         for w in found:
             r = known.get(w)
             if r is None:
-                r = known[w] = self.word(w)
+                r = self.word(w)
+                if len(w) <= LONGEST:
+                    known[w] = r
             total += r
         return total / len(found)
 
@@ -77,45 +125,36 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * ratio + self.offset))))
 
 
-def _grams(word: str) -> list[str]:
-    w = "^" + word + "$"
-    return [w[k : k + ORDER] for k in range(max(1, len(w) - ORDER + 1))]
-
-
 def _counts(texts: list[str]) -> Counter:
-    """Of each word, in how many texts it is; equal texts count once."""
-    out: Counter = Counter()
+    """Of each n-gram of the highest order, in how many texts' words it is, a word counted once a text; equal texts count once."""
+    each: Counter = Counter()
     for t in set(texts):
-        out.update({w for raw in set(words(t)) if (w := _EDGE.sub("", raw))})
+        each.update({w for raw in set(words(t)) if (w := _EDGE.sub("", raw))})
+    out: Counter = Counter()
+    for w, n in each.items():
+        for g in _grams(w):
+            out[g] += n
     return out
 
 
-def fit_models(toxic: list[str], ordinary: list[str]) -> Model:
-    """Both classes: discounted own counts, and what the discounts set free spread by the shared counts.
-
-    The shared count of an n-gram is the Kneser-Ney one: the different words, of either class, that
-    it was seen in, so that a word repeated in one text or one class makes nothing likely on its own.
-    """
-    classes, kinds = [_counts(toxic), _counts(ordinary)], Counter()
-    for w in {w for c in classes for w in c}:
-        kinds.update(set(_grams(w)))
-    spread = sum(kinds.values())
-    counts = []
-    for c in classes:
-        of: Counter = Counter()
-        for w, n in c.items():
-            for g in _grams(w):
-                of[g] += n
-        counts.append(of)
-    # one backoff weight for both classes: a gram that neither has seen then has the same probability in both
-    free = DISCOUNT * sum(len(of) for of in counts) / sum(sum(of.values()) for of in counts)
-    model = Model()
-    totals = [max(sum(of.values()), 1) for of in counts]
-    for g, k in kinds.items():
-        p = [max(of.get(g, 0) - DISCOUNT, 0) / n + free * k / spread for of, n in zip(counts, totals, strict=True)]
-        if abs(ratio := math.log(p[0] / p[1])) >= MARGIN:
-            model.grams[g] = ratio
-    return model
+def lower(grams: set[str]) -> list[Counter]:
+    """Continuation counts, shortest first: of each shorter n-gram, how many different characters stand before it."""
+    out = []
+    for _ in range(ORDER - 1):
+        counts = Counter(g[1:] for g in grams)
+        out.insert(0, counts)
+        grams = set(counts)
+    return out
+
+
+def fit_models(toxic: list[str], ordinary: list[str], continuations: Callable[[set[str]], dict[str, int]] | None = None) -> Model:
+    """Both classes. ``continuations`` gives the counts of lower n-grams over a larger collection; else they are the texts' own."""
+    own = tuple(_counts(texts) for texts in (ordinary, toxic))
+    shared = lower({*own[0], *own[1]})
+    if continuations is not None:
+        wide = continuations({g for c in shared for g in c})
+        shared = [Counter({g: max(n, wide.get(g, 0)) for g, n in c.items()}) for c in shared]
+    return Model(tuple(Counts(dict(c)) for c in own), [Counts(dict(c)) for c in shared])
 
 
 def _calibrate(model: Model, ratios: np.ndarray, labels: np.ndarray, prior: float) -> None:
@@ -137,37 +176,67 @@ def _calibrate(model: Model, ratios: np.ndarray, labels: np.ndarray, prior: floa
     model.slope, model.offset = float(w[0] / scale), float(w[1])
 
 
-def fit(texts: list[tuple[str, int, bool]], prior: float) -> Model:
+def fit(texts: list[tuple[str, int, bool]], prior: float, continuations: Callable[[set[str]], dict[str, int]] | None = None) -> Model:
     """From (text, label, whether it calibrates) and the share of toxic labels."""
     of = {k: [t for t, y, c in texts if y == k and not c] for k in (0, 1)}
     if not of[0] or not of[1]:
         return Model(offset=math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    model = fit_models(of[1], of[0])
+    model = fit_models(of[1], of[0], continuations)
+    if not model.shared[0].of:  # no words at all
+        model.shared = []
     known: dict[str, float] = {}
     held = [(model.ratio(t, known), y) for t, y, c in texts if c] or [(model.ratio(t, known), y) for t, y, _ in texts]
     _calibrate(model, np.array([r for r, _ in held]), np.array([y for _, y in held]), prior)
     return model
 
 
+def continuations(docs: DataFrame, text: str = "text") -> DataFrame:
+    """gram, n: continuation counts of all n-grams below the highest order, over all rows of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            new = {w for t in b.column(0) for w in words(t.as_py() or "")} - seen
+            grams = {g for raw in new if (w := _EDGE.sub("", raw)) for g in _grams(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(grams), pa.string())], names=["gram"])
+            seen = (seen if len(seen) + len(new) <= REMEMBERED else set()) | {w for w in new if len(w) <= LONGEST}
+
+    grams, out = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "gram string").distinct(), None
+    for _ in range(ORDER - 1):
+        counts = grams.groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        out = counts if out is None else out.unionByName(counts)
+        grams = counts.select("gram")
+    return out
+
+
 def fold(key: Column) -> Column:
     return F.crc32(key.cast("string")) % FOLDS
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Fit on a bounded sample of the labels; only the chosen ids (at most 2 x per_class) are broadcast."""
+    spark = docs.sparkSession
     known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(fold(F.col("id")) != HELD_OUT)
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     order = [F.xxhash64("id"), "id"]
     chosen = known.where("y = 1").orderBy(*order).limit(per_class).unionByName(known.where("y = 0").orderBy(*order).limit(per_class))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
     rows = (
         docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
         .where(F.octet_length("text") <= MAX_BYTES)
         .join(F.broadcast(chosen), "id")
+        .withColumn("upto", upto)
+        .where(F.col("upto") <= CLASS_BYTES)
         .select("id", "text", "y", (fold(F.col("id")) == CALIBRATION).alias("c"))
         .collect()
     )
     rows.sort(key=lambda r: (r.id, r.y, r.text))
-    return fit([(r.text, r.y, r.c) for r in rows], toxic / n if n else 0.0)
+
+    def everywhere(grams: set[str]) -> dict[str, int]:
+        asked = spark.createDataFrame([(g,) for g in sorted(grams)], "gram string")
+        return {r.gram: r.n for r in continuations(docs, text).join(F.broadcast(asked), "gram").collect()}
+
+    return fit([(r.text, r.y, r.c) for r in rows], toxic / n if n else 0.0, everywhere)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -187,6 +256,8 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score")
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs with a score below the threshold."""
     name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
     return scored(docs, train(docs, labels), out=name).where(F.col(name) < threshold).drop(name)
 
 
