@@ -237,7 +237,7 @@ def test_extraction_reads_tags_as_browsers_do():
 
 
 def test_extraction_votes_and_awkward_tables(spark):
-    line = "words of the story that go on for a while"
+    line = "words of the story that go on for a while " * 4 + "and end"
     page = lambda inner: f"<body><div class=top><a href=x>menu</a></div>{inner}<div class=other>{'short note ' * 3}</div>"
     good = page(f"<div class='text n{{}}'><p>{line}</p><p>{line}</p></div>")
     odd = page(f"<div class=text><p>{line}</p></div>").replace("short note ", f"{line} " * 40)

@@ -27,19 +27,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textward-{name}-{uuid.uuid4().hex}"
 
 
-#: Lets Spark delete a query's shuffle files when the query ends, not when the driver next collects its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes the query's shuffle files when it ends, not when the driver next
+#: collects its garbage, and batches of long texts that go to Python stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. ``discard`` deletes the files."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

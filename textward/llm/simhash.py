@@ -41,7 +41,7 @@ SAMPLE, COMMON, REMEMBERED = 8192, 3, 1 << 18
 #: Groups of this size that share a shingle are thinned by their first rows before all pairs are judged.
 LARGE = 64
 #: Pairs in lists that are made at a time.
-MEETING = 1 << 20
+MEETING = 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:

@@ -6,7 +6,9 @@ texts with the word, not of occurrences). What its discounts set free goes to th
 share: continuation counts, the number of different characters that were seen before an n-gram, discounted and backed off in the
 same way down to equal shares. Rare expressions so get much the same probability from both classes.
 A text's score compares its log-likelihoods under the two models, divided by its number of words, and is made a
-probability by a logistic curve fitted on labelled texts that the models haven't seen.
+probability by a logistic curve fitted on labelled texts that the models haven't seen. Words whose likelihoods differ by
+less than ``MARGIN`` count as equally likely there (the models keep them): what one text's own rare words say of its class
+would drown what expressions of many texts say.
 
 Fitting takes a bounded sample: at most ``per_class`` labelled rows of each class, the first by a
 hash of their ids, of texts up to ``MAX_BYTES`` and ``CLASS_BYTES`` in all. Labels whose crc32(doc_id) mod 5 is 0 are never used.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,8 +38,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 PER_CLASS, MAX_BYTES, CLASS_BYTES = 3000, 1 << 20, 32 << 20
 ORDER, DISCOUNT = 4, 0.75
-#: Words that a worker remembers, and the longest of them; when full it starts anew.
-REMEMBERED, LONGEST = 500_000, 64
+#: In natural logarithms.
+MARGIN = 4.0
+#: Words and n-grams that a worker remembers, and the longest of the words; when full it starts anew.
+REMEMBERED, LONGEST = 150_000, 64
 #: Stand before and after a word.
 _BEGIN, _END = "\x02", "\x03"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -81,6 +86,7 @@ class Model:
     shared: list[Counts] = field(default_factory=list)
     slope: float = 0.0
     offset: float = 0.0
+    ratios: dict[str, float] = field(default_factory=dict)
 
     def below(self, gram: str) -> float:
         """Shared probability of a gram's last character after what stands before it."""
@@ -94,15 +100,20 @@ class Model:
         return self.own[toxic].given(gram, self.below(gram[1:]))
 
     def word(self, raw: str) -> float:
-        """Log-likelihood ratio of a word."""
+        """Log-likelihood ratio of a word; 0 below the margin."""
         w = _EDGE.sub("", raw)
         if not w or not self.shared:
             return 0.0
+        if len(self.ratios) > REMEMBERED:
+            self.ratios.clear()
         out = 0.0
         for g in _grams(w):
-            back = self.below(g[1:])
-            out += math.log(self.own[1].given(g, back) / self.own[0].given(g, back))
-        return out
+            r = self.ratios.get(g)
+            if r is None:
+                back = self.below(g[1:])
+                r = self.ratios[g] = math.log(self.own[1].given(g, back) / self.own[0].given(g, back))
+            out += r
+        return out if abs(out) >= MARGIN else 0.0
 
     def ratio(self, text: str | None, known: dict[str, float]) -> float:
         """Log-likelihood ratio a word."""
@@ -177,8 +188,10 @@ def _calibrate(model: Model, ratios: np.ndarray, labels: np.ndarray, prior: floa
 
 
 def fit(texts: list[tuple[str, int, bool]], prior: float, continuations: Callable[[set[str]], dict[str, int]] | None = None) -> Model:
-    """From (text, label, whether it calibrates) and the share of toxic labels."""
-    of = {k: [t for t, y, c in texts if y == k and not c] for k in (0, 1)}
+    """From (text, label, whether it calibrates) and the share of toxic labels. Both classes learn from as many texts."""
+    of = {k: sorted((t for t, y, c in texts if y == k and not c), key=lambda t: zlib.crc32(t.encode())) for k in (0, 1)}
+    least = min(map(len, of.values()))
+    of = {k: t[:least] for k, t in of.items()}
     if not of[0] or not of[1]:
         return Model(offset=math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     model = fit_models(of[1], of[0], continuations)
