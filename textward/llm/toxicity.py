@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import written
+
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 PER_CLASS, MAX_BYTES, CLASS_BYTES = 3000, 1 << 20, 32 << 20
 ORDER, DISCOUNT = 4, 0.75
 #: In natural logarithms.
 MARGIN = 4.0
 #: Words and n-grams that a worker remembers, and the longest of the words; when full it starts anew.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 400_000, 32
 #: Stand before and after a word.
 _BEGIN, _END = "\x02", "\x03"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -209,12 +211,18 @@ def continuations(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for b in batches:
-            new = {w for t in b.column(0) for w in words(t.as_py() or "")} - seen
-            grams = {g for raw in new if (w := _EDGE.sub("", raw)) for g in _grams(w)}
+            grams: set[str] = set()
+            for t in b.column(0):
+                new = {*words(t.as_py() or "")} - seen
+                for raw in new:
+                    if w := _EDGE.sub("", raw):
+                        grams.update(_grams(w))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.update(w for w in new if len(w) <= LONGEST)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(grams), pa.string())], names=["gram"])
-            seen = (seen if len(seen) + len(new) <= REMEMBERED else set()) | {w for w in new if len(w) <= LONGEST}
 
-    grams, out = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "gram string").distinct(), None
+    grams, out = written(docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "gram string").distinct(), "grams"), None
     for _ in range(ORDER - 1):
         counts = grams.groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         out = counts if out is None else out.unionByName(counts)
@@ -260,7 +268,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         for b in batches:
-            scores = pa.array([m.score(m.ratio(t, known)) for t in b.column(text).to_pylist()], pa.float64())
+            scores = pa.array([m.score(m.ratio(t.as_py(), known)) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_pydict({n: c for n, c in zip(b.schema.names, b.columns, strict=True) if n != out} | {out: scores})
 
     return df.mapInArrow(run, StructType([*kept, StructField(out, DoubleType())]))
