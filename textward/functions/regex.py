@@ -102,6 +102,17 @@ def first(s: Column, pattern: str) -> tuple[Column, Column, Column]:
     return hit, start, start + F.octet_length(hit)
 
 
+def first_matches(s: Column, numbers: Column, patterns: list[str]) -> Column:
+    """(k, hit, start, end) of the first match of each pattern that matches, of those with the given numbers, ascending.
+
+    The pattern is looked up by its number, so that the plan doesn't grow with the patterns.
+    """
+    java = F.array(*[F.lit(to_java(p)) for p in patterns])
+    of = lambda k: F.element_at(java, k + 1)
+    found = F.transform(F.filter(numbers, lambda k: F.rlike(s, of(k))), lambda k: F.struct(k.alias("k"), F.regexp_substr(s, of(k)).alias("hit"), F.octet_length(F.split(s, of(k), 2)[0]).alias("start")))
+    return F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["hit"].alias("hit"), x["start"].alias("start"), (x["start"] + F.octet_length(x["hit"])).alias("end")))
+
+
 def every(s: Column, pattern: str, make) -> Column:
     """An array of make(match, start, end) over all matches; offsets are in bytes."""
     java = to_java(pattern)
@@ -118,8 +129,6 @@ def every(s: Column, pattern: str, make) -> Column:
     return F.transform(found, lambda f: make(f["hit"], f["start"], f["end"]))
 
 
-def replaced(s: Column, pattern: str, make) -> Column:
-    """s with each match replaced by make(match)."""
-    java = to_java(pattern)
-    hits = F.concat(F.transform(F.regexp_extract_all(s, F.lit(java), F.lit(0)), lambda hit: make(hit)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.split(s, java, -1), hits, lambda g, h: F.concat(g, h)), "")
+def joined(s: Column, pattern: str, hits: Column) -> Column:
+    """s with its matches replaced by ``hits``, one for each."""
+    return F.array_join(F.zip_with(F.split(s, to_java(pattern), -1), F.concat(hits, F.array(F.lit(""))), lambda g, h: F.concat(g, h)), "")

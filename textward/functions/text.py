@@ -32,7 +32,7 @@ def folded(s: Column) -> Column:
 
 
 def is_suspicious(s: Column) -> Column:
-    return s.rlike(f"[{SUSPICIOUS}]")
+    return F.translate(s, SUSPICIOUS, "") != s
 
 
 def fuzzy_form(s: Column) -> Column:

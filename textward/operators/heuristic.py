@@ -10,7 +10,7 @@ from ..functions import literals, regex, text
 from ..functions.fuzzy import fuzzy_keywords
 from ..rules.contexts import RULES
 from ..rules.patterns import PATTERNS
-from ..schema import CUSTOM, EA, IO, UNSAFE, added, compact, metadata, none, threat
+from ..schema import CUSTOM, EA, IO, UNSAFE, added, metadata, none, threat
 from .guard import Guard
 
 # Severity floors of the presets.
@@ -42,11 +42,15 @@ class Pattern:
 
 def bank(s: Column, gates: Column, patterns: list[Pattern], name: str = "heuristic") -> Column:
     """A threat for the first match of each pattern; ``gates`` are the numbers of those that may match (``literals.gated``)."""
-    found = []
-    for k, p in enumerate(patterns):
-        hit, a, b = regex.first(s, p.pattern)
-        found.append(F.when(F.array_contains(gates, k) & s.rlike(regex.to_java(p.pattern)), threat(p.kind, p.severity, p.message, name, hit, a, b)))
-    return F.when(F.size(gates) > 0, compact(found)).otherwise(none())
+    if not patterns:
+        return none()
+    about = F.array(*[F.struct(F.lit(p.kind).alias("kind"), F.lit(float(p.severity)).alias("severity"), F.lit(p.message).alias("message")) for p in patterns])
+
+    def one(x: Column) -> Column:
+        p = F.element_at(about, x["k"] + 1)
+        return threat(p["kind"], p["severity"], p["message"], name, x["hit"], x["start"], x["end"])
+
+    return F.when(F.size(gates) > 0, F.transform(regex.first_matches(s, gates, [p.pattern for p in patterns]), one)).otherwise(none())
 
 
 def encodings(s: Column) -> Column:
@@ -64,8 +68,9 @@ def base64_words(s: Column) -> Column:
     """Runs whose plain text has a suspicious word; the first in the list's order is named."""
 
     def one(hit: Column, a: Column, b: Column) -> Column:
-        plain = F.try_validate_utf8(F.try_to_binary(hit, F.lit("base64")).cast("string"))
-        word = text.first_word(text.lowered(plain), PAYLOAD_WORDS)
+        # through an array of one, so that the run is decoded once and not for each word
+        plain = F.array(text.lowered(F.try_validate_utf8(F.try_to_binary(hit, F.lit("base64")).cast("string"))))
+        word = F.transform(plain, lambda x: text.first_word(x, PAYLOAD_WORDS))[0]
         return F.when(word.isNotNull(), threat(EA, 0.9, F.concat(F.lit("base64-encoded payload contains suspicious keyword: "), word), "heuristic", hit, a, b))
 
     return F.array_compact(regex.every(s, BASE64_RUN, one))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,14 +26,17 @@ def hex_plain(run: Column) -> Column:
     return F.try_validate_utf8(F.unhex(F.regexp_replace(run, r"\\x", "")).cast("string"))
 
 
-def decoded_runs(s: Column) -> tuple[Column, Column]:
-    """s with base64 and then hex runs replaced by their plain texts, and the threats of those that were."""
-    found = []
-    for kind, run, plain in (("base64", BASE64_RUN, base64_plain), ("hex_escape", HEX_RUN, hex_plain)):
-        each = regex.every(s, run, lambda hit, a, b, k=kind, p=plain: F.when(p(hit).isNotNull(), threat(EA, 0.7, f"encoded payload was decoded and replaced: {k}", "sanitizer", hit, a, b)))
-        found.append(F.array_compact(each))
-        s = regex.replaced(s, run, lambda hit, p=plain: F.coalesce(p(hit), hit))
-    return s, F.concat(*found)
+ENCODINGS = (("base64", BASE64_RUN, base64_plain), ("hex_escape", HEX_RUN, hex_plain))
+
+
+def decoded(s: Column, kind: str, run: str, plain: Callable[[Column], Column]) -> Column:
+    """For each run: its plain text, or itself if it has none, and the threat if it has."""
+
+    def one(hit: Column, a: Column, b: Column) -> Column:
+        found = threat(EA, 0.7, f"encoded payload was decoded and replaced: {kind}", "sanitizer", hit, a, b)
+        return F.transform(F.array(plain(hit)), lambda p: F.struct(F.coalesce(p, hit).alias("plain"), F.when(p.isNotNull(), found).alias("threat")))[0]
+
+    return regex.every(s, run, one)
 
 
 @dataclass
@@ -53,10 +57,11 @@ class Sanitizer(Guard):
         if self.dehomoglyph or self.normalize:
             df = rewritten(added(df, F.when(text.is_suspicious(s), F.array(threat(EA, 0.3, "input contained confusable/homoglyph characters that were normalized", self.name))).otherwise(none())), text.folded(s))
         if self.decode_payloads:
-            some = s.rlike(BASE64_RUN) | s.rlike(HEX_RUN)
-            plain, found = decoded_runs(s)
-            df = df.withColumn("_found", F.when(some, found).otherwise(none())).withColumn("input", F.when(some & ~F.col("halted"), plain).otherwise(s))
-            df = added(df, F.col("_found")).drop("_found")
+            # a step for each encoding, as a column between the two, so that what one makes isn't made again in the next
+            for kind, run, plain in ENCODINGS:
+                df = df.withColumn("_hits", F.when(~F.col("halted") & s.rlike(run), decoded(s, kind, run, plain)))
+                df = added(df, F.coalesce(F.array_compact(F.transform("_hits", lambda x: x["threat"])), none()))
+                df = rewritten(df, F.coalesce(regex.joined(s, run, F.transform("_hits", lambda x: x["plain"])), s)).drop("_hits")
         for p in self.strip_patterns:
             try:
                 re.compile(p)

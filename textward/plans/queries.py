@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import regex, text, vectors
+from ..functions import literals, regex, text, vectors
 from ..functions.fuzzy import KEYWORDS, fuzzy_keywords
 from ..operators import heuristic, judge, marking, memory, output, redteam, sanitize
 from ..operators.policy import tasks
@@ -17,7 +17,7 @@ from ..rules.patterns import PATTERNS
 from ..rules.policies import POLICIES, TASK_RULES
 from ..rules.seeds import SEEDS
 from ..schema import CUSTOM, TRUST, error_text, trust_name
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import presets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,12 +69,12 @@ def _phrase(k: Column) -> Column:
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and t: whole documents with a phrase after them."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _phrase(F.col("doc_id"))).alias("t"))
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return c.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _phrase(F.col("turn"))).alias("t"))
 
 
@@ -145,13 +145,11 @@ _BANK = "(VALUES " + ", ".join(f"({k}, {q(p)}, {q(kind)}, {v})" for k, (p, kind,
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = seeded(spark, sf_dir).withColumn("low", regex.for_gate(F.col("t")))
-    each = []
-    for k, (p, kind, severity, _) in enumerate(PATTERNS):
-        hit, start, _ = regex.first(F.col("t"), p)
-        each.append(F.when(regex.matches(F.col("t"), F.col("low"), p), F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), hit.alias("hit"), start.alias("start"))))
-    parts = [F.array_compact(F.array(*each[k : k + 16])) for k in range(0, len(each), 16)]
-    return s.select("doc_id", F.explode(F.concat(*parts)).alias("h")).select("doc_id", "h.*")
+    bank = [p for p, *_ in PATTERNS]
+    about = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity")) for _, kind, severity, _ in PATTERNS])
+    s = seeded(spark, sf_dir).withColumn("gates", literals.gated(bank)(regex.for_gate(F.col("t"))))
+    found = s.select("doc_id", F.explode(regex.first_matches(F.col("t"), F.col("gates"), bank)).alias("h"))
+    return found.select("doc_id", "h.*", F.element_at(about, F.col("h.k") + 1).alias("p")).select("doc_id", "k", "p.type", "p.severity", "hit", "start")
 
 
 @query(f"WITH s AS ({_SEEDED}) SELECT doc_id, k, regexp_extract(t, pattern) AS hit, strlen(t[:strpos(t, regexp_extract(t, pattern)) - 1])::INT AS start FROM s, {_BANK} WHERE regexp_matches(t, pattern)")

@@ -11,6 +11,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A usual row group; smaller tables may have fewer row groups than there are cores, and then most scan tasks are empty.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly to all cores if Spark's estimate of its size is below a row group a core. Larger tables stay as they are: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of labelled prompts; the category is the file's name, and empty for benign rows."""
     rows = spark.read.option("multiLine", True).schema(PROMPTS).json(path)
