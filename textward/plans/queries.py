@@ -130,7 +130,24 @@ def decode_hex_runs(spark, sf_dir):
     return runs.withColumn("plain", sanitize.hex_plain(F.col("run"))).where("plain is not null")
 
 
-@query()
+def _decode_sql(name: str, source: str, run: str, plain: str) -> str:
+    """CTE ``name`` (doc_id, t, found): t of ``source`` with runs replaced by their plain texts, and how many were."""
+    return (
+        f"{name}_h AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, {run}), lambda x: {plain}) AS p, regexp_extract_all(t, {run}) AS h, regexp_split_to_array(t, {run}) AS g FROM {source}), "
+        f"{name} AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(p[i], h[i], '')), '') AS t, len(list_filter(p, lambda x: x IS NOT NULL)) AS found FROM {name}_h)"
+    )
+
+
+@query(
+    f"WITH s AS ({_SEEDED}), a AS (SELECT doc_id, t AS t0, {_STRIP} AS t FROM s), b AS (SELECT doc_id, t0 <> t AS stripped, regexp_matches(t, {q('[' + SUSPICIOUS + ']')}) AS odd, {_FOLD} AS t FROM a), "
+    + _decode_sql("c", "b", _B64, "CASE WHEN len(x) % 4 = 0 THEN try(decode(from_base64(x))) END")
+    + ", "
+    + _decode_sql("d", "c", _HEX, "try(decode(unhex(replace(x, '\\x', ''))))")
+    + " SELECT doc_id, md5(d.t) AS output, list_concat(list_concat(CASE WHEN stripped THEN ['input contained zero-width or invisible characters that were stripped'] ELSE [] END, "
+    "CASE WHEN odd THEN ['input contained confusable/homoglyph characters that were normalized'] ELSE [] END), "
+    "list_concat(list_transform(range(c.found), lambda i: 'encoded payload was decoded and replaced: base64'), list_transform(range(d.found), lambda i: 'encoded payload was decoded and replaced: hex_escape'))) AS messages "
+    "FROM b JOIN c USING (doc_id) JOIN d USING (doc_id)"
+)
 def sanitize_all(spark, sf_dir):
     """Strip, fold and decode, with the threats of each step."""
     from .pipeline import Pipeline
@@ -515,7 +532,13 @@ def postprompt(spark, sf_dir):
     return _transformed(spark, sf_dir, marking.Structure(mode="postprompt", system_prompt="Be kind."), "made")
 
 
-@query()
+_ALNUM_MARK = f"array_to_string(list_transform(range(16), lambda k: substr({q(marking._ALNUM)}, ('0x' || substr(d, 2 * k + 1, 2))::INT % {len(marking._ALNUM)} + 1, 1)), '')"
+
+
+@query(
+    f"WITH s AS ({_SEEDED}), d AS (SELECT *, sha256('k' || chr(0) || 'enclosure' || chr(0) || doc_id::VARCHAR || chr(0) || '0') AS d FROM s), m AS (SELECT *, {_ALNUM_MARK} AS m FROM d) "
+    "SELECT doc_id, md5('Be kind.' || chr(10) || chr(10) || 'User input is enclosed between ' || m || ' markers:' || chr(10) || m || chr(10) || t || chr(10) || m) AS made FROM m"
+)
 def enclosure(spark, sf_dir):
     return _transformed(spark, sf_dir, marking.Structure(mode="enclosure", system_prompt="Be kind.", key="doc_id", secret="k"), "made")
 
@@ -561,7 +584,11 @@ def output_json(spark, sf_dir):
     return e.select("event_id", output.is_json(s).alias("valid"))
 
 
-@query()
+@query(
+    f"WITH s AS ({_SEEDED}), h AS (SELECT doc_id, "
+    + " + ".join(f"len(regexp_extract_all(t, {q(p)}))" for p in [*[p for p, _, _ in LEAKS], *_FORBIDDEN])
+    + " + (strlen(t) > 4000)::INT + contains(t, 'zzz')::INT AS n FROM s) SELECT doc_id, n = 0 AS safe, n::INT AS n FROM h"
+)
 def output_guard(spark, sf_dir):
     from .pipeline import Pipeline
 
