@@ -67,8 +67,8 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. The library gets their new pre-tokens as one text; each ends in a token with the end-of-word suffix."""
+    def _learn(self, pieces: list[str]) -> bool:
+        """Encode new pieces; whether others have been forgotten for them. The library gets their new pre-tokens as one text; each ends in a token with the end-of-word suffix."""
         split, words = self.split, self.words
         parts = {p: split(p) for p in pieces}
         new = list({w for ws in parts.values() for w in ws if w not in words})
@@ -85,20 +85,19 @@ class WordEncoder:
                 for w, end in zip(new, (ends * self.width).tolist(), strict=True):
                     words[w] = raw[at:end]
                     at = end
-        if len(self.pieces) + len(parts) > REMEMBERED:
+        if full := len(self.pieces) + len(parts) > REMEMBERED:
             self.pieces.clear()
         self.pieces.update((p, b"".join([words[w] for w in ws])) for p, ws in parts.items())
+        return full
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``width`` bytes."""
         if not usual(text) or any(s in text for s in self.specials):
             return self._ids(text)
         cut, known = text.lower().split(), self.pieces
-        if new := {p for p in cut if p not in known}:
-            self._learn(list(new))
-            if not all(p in known for p in cut):  # the memory was emptied meanwhile
-                self._learn(list(set(cut)))
-        return b"".join([known[p] for p in cut])
+        if (new := set(cut).difference(known)) and self._learn(list(new)):
+            self._learn(list(set(cut)))  # the memory was emptied meanwhile
+        return b"".join(map(known.__getitem__, cut))
 
 
 @lru_cache(2)
