@@ -137,6 +137,23 @@ def test_toxicity(spark):
     assert {g.held_out for g in got if zlib.crc32(str(g.doc_id).encode()) % 5 == 0} == {True}
     none = toxicity.judged(docs, labels.limit(0)).collect()
     assert all(g.predicted == 0 for g in none)
+    flipped = labels.select("doc_id", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
+    kept = {g.doc_id: g.predicted for g in toxicity.judged(docs, flipped.where(toxicity.fold(F.col("doc_id")) != 0)).collect()}
+    assert kept == {g.doc_id: g.predicted for g in got}
+
+
+def test_toxicity_learns_its_margin():
+    r = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    line = lambda y: " ".join([r.choice(words) for _ in range(30)] + ["stupidhead"] * y)
+    texts = [(line(k % 2), k % 2, k % 5 == 0) for k in range(200)]
+    m = toxicity.fit(texts, 0.5)
+    assert m.margin in toxicity.MARGINS and m.ratio("stupidhead", {}) > 0
+    # words below the margin count as equally likely, whole likelihoods otherwise
+    w = words[0]
+    assert m.ratio(w, {}) == (m.word(w) if abs(m.word(w)) >= m.margin else 0.0)
+    m.margin = 0.0
+    assert m.ratio(f"{w} {words[1]}", {}) == pytest.approx((m.word(w) + m.word(words[1])) / 2)
 
 
 def test_kneser_ney_models_against_plain_formulas():

@@ -7,8 +7,9 @@ share: continuation counts, the number of different characters that were seen be
 same way down to equal shares. Rare expressions so get much the same probability from both classes.
 A text's score compares its log-likelihoods under the two models, divided by its number of words, and is made a
 probability by a logistic curve fitted on labelled texts that the models haven't seen. Words whose likelihoods differ by
-less than ``MARGIN`` count as equally likely there (the models keep them): what one text's own rare words say of its class
-would drown what expressions of many texts say.
+less than a margin count as equally likely there (the models keep them): what one text's own rare words say of its class
+would drown what expressions of many texts say. The margin is learnt: of ``MARGINS``, the one whose curve has the least log
+loss on the same texts, the smaller of equals.
 
 Fitting takes a bounded sample: at most ``per_class`` labelled rows of each class, the first by a
 hash of their ids, of texts up to ``MAX_BYTES`` and ``CLASS_BYTES`` in all. Labels whose crc32(doc_id) mod 5 is 0 are never used.
@@ -40,8 +41,8 @@ from .common import written
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 PER_CLASS, MAX_BYTES, CLASS_BYTES = 3000, 1 << 20, 32 << 20
 ORDER, DISCOUNT = 4, 0.75
-#: In natural logarithms.
-MARGIN = 4.0
+#: In natural logarithms; 0 compares the whole likelihoods.
+MARGINS = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 #: Words and n-grams that a worker remembers, and the longest of the words; when full it starts anew.
 REMEMBERED, LONGEST = 400_000, 32
 #: Stand before and after a word.
@@ -88,6 +89,7 @@ class Model:
     shared: list[Counts] = field(default_factory=list)
     slope: float = 0.0
     offset: float = 0.0
+    margin: float = 0.0
     ratios: dict[str, float] = field(default_factory=dict)
 
     def below(self, gram: str) -> float:
@@ -102,7 +104,7 @@ class Model:
         return self.own[toxic].given(gram, self.below(gram[1:]))
 
     def word(self, raw: str) -> float:
-        """Log-likelihood ratio of a word; 0 below the margin."""
+        """Log-likelihood ratio of a word."""
         w = _EDGE.sub("", raw)
         if not w or not self.shared:
             return 0.0
@@ -115,7 +117,7 @@ class Model:
                 back = self.below(g[1:])
                 r = self.ratios[g] = math.log(self.own[1].given(g, back) / self.own[0].given(g, back))
             out += r
-        return out if abs(out) >= MARGIN else 0.0
+        return out
 
     def ratio(self, text: str | None, known: dict[str, float]) -> float:
         """Log-likelihood ratio a word."""
@@ -129,6 +131,7 @@ class Model:
             r = known.get(w)
             if r is None:
                 r = self.word(w)
+                r = r if abs(r) >= self.margin else 0.0
                 if len(w) <= LONGEST:
                     known[w] = r
             total += r
@@ -170,11 +173,10 @@ def fit_models(toxic: list[str], ordinary: list[str], continuations: Callable[[s
     return Model(tuple(Counts(dict(c)) for c in own), [Counts(dict(c)) for c in shared])
 
 
-def _calibrate(model: Model, ratios: np.ndarray, labels: np.ndarray, prior: float) -> None:
-    """Logistic curve by Newton's method with a slight ridge; the rows are weighted to the prior."""
+def _curve(ratios: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Log loss, slope and offset of a logistic curve by Newton's method with a slight ridge; the rows are weighted to the prior."""
     if len(set(labels.tolist())) < 2:
-        model.slope, model.offset = 1.0, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        return
+        return 0.0, 1.0, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     scale = max(float(np.std(ratios)), 1e-9)
     x, w = np.stack([ratios / scale, np.ones(len(ratios))], 1), np.zeros(2)
@@ -186,7 +188,25 @@ def _calibrate(model: Model, ratios: np.ndarray, labels: np.ndarray, prior: floa
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    model.slope, model.offset = float(w[0] / scale), float(w[1])
+    z = x @ w
+    loss = float((weight * np.logaddexp(0.0, np.where(labels == 1, -z, z))).mean())
+    return loss, float(w[0] / scale), float(w[1])
+
+
+def _calibrate(model: Model, texts: list[tuple[str, int]], prior: float) -> None:
+    """The margin and the curve of least log loss on labelled texts."""
+    known: dict[str, float] = {}
+
+    def ratios(text: str) -> np.ndarray:
+        found = words(text)
+        for w in found:
+            if w not in known:
+                known[w] = model.word(w)
+        return np.array([known[w] for w in found] or [0.0])
+
+    each, labels = [ratios(t) for t, _ in texts], np.array([y for _, y in texts])
+    curves = [(*_curve(np.array([r[np.abs(r) >= m].sum() / len(r) for r in each]), labels, prior), m) for m in MARGINS]
+    _, model.slope, model.offset, model.margin = min(curves, key=lambda c: (round(c[0], 9), c[3]))
 
 
 def fit(texts: list[tuple[str, int, bool]], prior: float, continuations: Callable[[set[str]], dict[str, int]] | None = None) -> Model:
@@ -199,9 +219,7 @@ def fit(texts: list[tuple[str, int, bool]], prior: float, continuations: Callabl
     model = fit_models(of[1], of[0], continuations)
     if not model.shared[0].of:  # no words at all
         model.shared = []
-    known: dict[str, float] = {}
-    held = [(model.ratio(t, known), y) for t, y, c in texts if c] or [(model.ratio(t, known), y) for t, y, _ in texts]
-    _calibrate(model, np.array([r for r, _ in held]), np.array([y for _, y in held]), prior)
+    _calibrate(model, [(t, y) for t, y, c in texts if c] or [(t, y) for t, y, _ in texts], prior)
     return model
 
 
