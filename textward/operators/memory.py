@@ -8,6 +8,7 @@ The join is exact and doesn't meet on common trigrams. Elements of a signature a
 occurrence) pairs; two signatures of likeness t or more share an element among the rarest
 n - ceil(t n) + 1 of each (n its own number of elements), so those are what the join meets on, with a
 filter on sizes, and only pairs that met are measured. Signatures without trigrams are equal to each other.
+Copies meet once: the join is between different signatures, and a row looks up the first of a signature that is in its reach.
 """
 
 from __future__ import annotations
@@ -40,13 +41,13 @@ def numbered(df: DataFrame, grams: str, keys: list[str]) -> DataFrame:
 
 
 def pairs(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(new_id, old_id, similarity) of the pairs at or above the threshold, from frames (id, grams, and lo/hi bounds on seq).
+    """(new_id, old_id, similarity) of the pairs at or above the threshold.
 
-    ``new`` has id, grams, lo, hi: only old rows with lo <= seq < hi count. ``old`` has id, seq, grams.
+    Both frames have id, grams, first, last, a row for each different signature; only those whose ranges overlap are measured.
     """
     cols = {"n": F.size("grams")}
     a, b = new.withColumns(cols), old.withColumns(cols)
-    ea, eb = numbered(a, "grams", ["id", "n"]), numbered(b, "grams", ["id", "n"])
+    ea, eb = numbered(a, "grams", ["id", "n", "first", "last"]), numbered(b, "grams", ["id", "n", "first", "last"])
     rank = ea.select("gram", "nth").unionByName(eb.select("gram", "nth")).groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(e: DataFrame) -> DataFrame:
@@ -55,24 +56,53 @@ def pairs(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataF
         return e.join(rank, ["gram", "nth"]).withColumn("k", F.row_number().over(rare)).where(F.col("k") <= keep)
 
     def elements(e: DataFrame) -> DataFrame:
-        return e.groupBy("id").agg(F.collect_list(F.concat_ws("\0", "gram", "nth")).alias("e"))
+        return e.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.concat_ws("\0", "gram", "nth")).alias("e"))
 
     pa, pb = prefix(ea).alias("a"), prefix(eb).alias("b")
-    sizes = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
-    met = pa.join(pb, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.nth") == F.col("b.nth")) & sizes).select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id"))
-    empty = a.where("n = 0").select(F.col("id").alias("new_id"), F.lit(0).alias("e")).join(b.where("n = 0").select(F.col("id").alias("old_id"), F.lit(0).alias("e")), "e").drop("e")
-    met = met.unionByName(empty).distinct()
-    met = met.join(a.select(F.col("id").alias("new_id"), "lo", "hi", F.col("n").alias("nx")), "new_id").join(b.select(F.col("id").alias("old_id"), "seq", F.col("n").alias("ny")), "old_id").where("seq >= lo and seq < hi")
-    both = met.join(elements(ea).withColumnsRenamed({"id": "new_id", "e": "x"}), "new_id", "left").join(elements(eb).withColumnsRenamed({"id": "old_id", "e": "y"}), "old_id", "left")
-    shared = F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0))
-    likeness = F.when(F.col("nx") + F.col("ny") == 0, 1.0).otherwise(shared / (F.col("nx") + F.col("ny") - shared))
-    return both.select("new_id", "old_id", "seq", likeness.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def best(found: DataFrame) -> DataFrame:
-    """For each new row its most similar old row; of equals the one stored first."""
-    w = Window.partitionBy("new_id").orderBy(F.col("similarity").desc(), "seq")
-    return found.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    fits = (
+        (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9)
+        & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
+        & (F.col("b.first") <= F.col("a.last"))
+        & (F.col("b.last") >= F.col("a.first"))
+    )
+    met = pa.join(pb, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.nth") == F.col("b.nth")) & fits).select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id")).distinct()
+    both = met.join(elements(ea).select(F.col("id").alias("new_id"), F.col("n").alias("nx"), F.col("e").alias("x")), "new_id").join(elements(eb).select(F.col("id").alias("old_id"), F.col("n").alias("ny"), F.col("e").alias("y")), "old_id")
+    shared = F.size(F.array_intersect("x", "y"))
+    likes = both.select("new_id", "old_id", (shared / (F.col("nx") + F.col("ny") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    # signatures without trigrams are equal: at most one row on each side
+    nothing = a.where("n = 0").select(F.col("id").alias("new_id"), "n").join(b.where("n = 0").select(F.col("id").alias("old_id"), "n"), "n")
+    return likes.unionByName(nothing.select("new_id", "old_id", F.lit(1.0).alias("similarity")))
+
+
+def matches(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD, capacity: int | None = None) -> DataFrame:
+    """(id, matched, similarity): for each new row the seq of its most similar old row, of equals the one stored first.
+
+    ``old`` has seq, grams; ``new`` has id, grams and, with a capacity, seq: only the ``capacity`` old rows right before it count.
+    Copies are one signature to ``pairs``, so n copies of an attack make n rows and no pairs of each other. The first
+    of a signature's old rows in reach is looked up in stretches of ``capacity`` rows, so that no step sorts all copies in one task.
+    """
+    # sorted, since likeness doesn't depend on order; a trigram and its separator always take four characters
+    sign = F.md5(F.concat_ws("\0", F.sort_array("grams")))
+    reach = (F.greatest(F.lit(0), F.col("seq") - capacity), F.col("seq") - 1) if capacity else (F.lit(-(2**62)), F.lit(2**62))
+    new, old = new.withColumn("sign", sign), old.withColumn("sign", sign)
+    asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    held = old.groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    like = pairs(asked, held, threshold).withColumnRenamed("new_id", "sign")
+    first = F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best")
+    chosen = ["id", (-F.col("best.at")).alias("matched"), F.col("best.similarity").alias("similarity")]
+    if not capacity:
+        found = like.join(held.select(F.col("id").alias("old_id"), F.col("first").alias("at")), "old_id")
+        return new.select("id", "sign").join(found.groupBy("sign").agg(first), "sign").select(*chosen)
+    asks = like.join(new.select("sign", "seq").distinct(), "sign")
+    stretch = F.floor(F.col("at") / capacity)
+    points = asks.select("old_id", "seq").distinct().withColumn("at", F.greatest(F.lit(0), F.col("seq") - capacity)).withColumns({"part": stretch, "kept": F.lit(None).cast("long")})
+    stored = old.select(F.col("sign").alias("old_id"), F.lit(None).cast("long").alias("seq"), F.col("seq").alias("at")).withColumns({"part": stretch, "kept": F.col("at")})
+    after = Window.partitionBy("old_id", "part").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    here = points.unionByName(stored).withColumn("near", F.min("kept").over(after)).where("seq IS NOT NULL")
+    heads = stored.groupBy("old_id", (F.col("part") - 1).alias("part")).agg(F.min("at").alias("head"))
+    firsts = here.join(heads, ["old_id", "part"], "left").select("old_id", "seq", F.coalesce("near", "head").alias("at")).where("at < seq")
+    found = asks.join(firsts, ["old_id", "seq"]).groupBy("sign", "seq").agg(first)
+    return new.select("id", "sign", "seq").join(found, ["sign", "seq"]).select(*chosen)
 
 
 def learnt(threats: Column) -> Column:
@@ -99,11 +129,9 @@ def replay(df: DataFrame, key: str, order: str, text: str, stored: Column, kind:
     """Rows of df by arrival: key, matched key, similarity, and the stored type and severity."""
     rows = positions(df.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(text).alias("text"), stored.alias("stored"), kind.alias("kind"), severity.alias("severity")), "order", F.col("stored"))
     rows = rows.withColumn("grams", signature(F.col("text")))
-    old = rows.where("stored").select("id", "seq", "grams")
-    new = rows.select("id", "grams", F.greatest(F.lit(0), F.col("seq") - capacity).alias("lo"), F.col("seq").alias("hi"))
-    found = best(pairs(new, old, threshold))
-    stored_rows = rows.where("stored").select(F.col("id").alias("old_id"), F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")).alias("kind"), "severity")
-    return found.join(stored_rows, "old_id").select(F.col("new_id").alias(key), F.col("old_id").alias("matched"), "similarity", "kind", "severity")
+    found = matches(rows.select("id", "grams", "seq"), rows.where("stored").select("seq", "grams"), threshold, capacity)
+    stored_rows = rows.where("stored").select(F.col("seq").alias("matched"), F.col("id").alias("old_id"), F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")).alias("kind"), "severity")
+    return found.join(stored_rows, "matched").select(F.col("id").alias(key), F.col("old_id").alias("matched"), "similarity", "kind", "severity")
 
 
 @dataclass
@@ -124,11 +152,11 @@ class Memory(Guard):
     def apply(self, df: DataFrame) -> DataFrame:
         threshold = self.threshold or THRESHOLD
         if self.store is not None:
-            newest = Window.orderBy(F.col("seq").desc())
-            old = self.store.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= (self.capacity or CAPACITY)).drop("_r")
-            signatures = old.select(F.col("seq").alias("id"), "seq", signature(F.col("text")).alias("grams"))
-            asked = df.where(~F.col("halted")).select(F.col(self.key).alias("id"), signature(F.col("input")).alias("grams"), F.lit(-(2**62)).alias("lo"), F.lit(2**62).alias("hi"))
-            hit = best(pairs(asked, signatures, threshold)).join(old.select(F.col("seq").alias("old_id"), "type", "severity"), "old_id").select(F.col("new_id").alias("_id"), "similarity", F.col("type").alias("_type"), F.col("severity").alias("_severity"))
+            old = self.store.orderBy(F.col("seq").desc()).limit(self.capacity or CAPACITY)
+            asked = df.where(~F.col("halted")).select(F.col(self.key).alias("id"), signature(F.col("input")).alias("grams"))
+            known = old.select(F.col("seq").alias("matched"), "type", "severity")
+            hit = matches(asked, old.select("seq", signature(F.col("text")).alias("grams")), threshold).join(known, "matched")
+            hit = hit.select(F.col("id").alias("_id"), "similarity", F.col("type").alias("_type"), F.col("severity").alias("_severity"))
             df = df.join(hit, F.col(self.key) == F.col("_id"), "left")
             kind = F.when(F.coalesce("_type", F.lit("")) == "", CUSTOM).otherwise(F.col("_type"))
             message = F.format_string("input matches previously seen attack (similarity %.2f)", F.col("similarity"))
@@ -148,4 +176,4 @@ def learned(df: DataFrame, text: str = "input") -> DataFrame:
     return df.where(f"{META}memory_stored").select(F.col(text).alias("text"), F.col(f"{META}memory_learnt.type").alias("type"), F.col(f"{META}memory_learnt.severity").alias("severity"))
 
 
-__all__ = ["Memory", "best", "learned", "learnt", "pairs", "positions", "replay", "signature"]
+__all__ = ["Memory", "learned", "learnt", "matches", "pairs", "positions", "replay", "signature"]
