@@ -43,6 +43,13 @@ def test_shards(spark, docs, empty):
         assert g.grown_shard in (g.shard, 40)
     for s in {g.shard for g in got}:
         assert sorted(g.slot for g in got if g.shard == s) == list(range(sum(g.shard == s for g in got)))
+    draw = lambda k, s: -np.log((int(hashlib.md5(f"{k}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13)
+    for g in got:
+        assert g.shard == min(range(40), key=lambda s: draw(g.doc_id, s)) and g.grown_shard == min(range(41), key=lambda s: draw(g.doc_id, s))
+    again = spark.createDataFrame([(None, "a"), (None, "a"), (5, None), (5, "b"), (5, "b")], "`k.x` long, text string")
+    twice = sharding.shard_slots(again, "k.x", "text", 3).collect()
+    assert len({(g.shard, g.slot) for g in twice}) == 5 and {g.doc_id: g.shard for g in twice} == {k: min(range(3), key=lambda s: draw("null" if k is None else k, s)) for k in (None, 5)}
+    assert sharding.rendezvous(again, "k.x", [1, 1, 1]).count() == 5
     heavy = spark.range(20000).select(F.col("id").cast("string").alias("k"))
     n = {r.shard: r["count"] for r in sharding.rendezvous(heavy, "k", [1, 3, 0]).groupBy("shard").count().collect()}
     assert set(n) == {0, 1} and abs(n[1] / n[0] - 3) < 0.3
@@ -60,8 +67,12 @@ def test_token_files(spark, docs, empty, tmp_path):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    one = token_files.fetch(spark, str(tmp_path / "t"), [3])[3]
-    assert one == [*lib.encode(rows()[3][1], add_special_tokens=False).ids, 1]
+    one = token_files.fetch(spark, str(tmp_path / "t"), [3, 999])
+    assert one == {3: [[*lib.encode(rows()[3][1], add_special_tokens=False).ids, 1]], 999: []}
+    again = spark.createDataFrame([(7, "one"), (7, "two words"), (7, "one"), (None, "three"), (None, None), (8, "x " * 50_000)], "doc_id long, text string")
+    token_files.write_tokens(again, path, str(tmp_path / "again"))
+    want = {7: ["one", "one", "two words"], None: ["", "three"], 8: ["x " * 50_000]}
+    assert {k: sorted(v) for k, v in token_files.fetch(spark, str(tmp_path / "again"), want).items()} == {k: sorted([*lib.encode(t, add_special_tokens=False).ids, 1] for t in v) for k, v in want.items()}
     assert token_files.round_trip(empty, path).count() == 0
 
 

@@ -43,7 +43,7 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
 
 def rendezvous(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
     """``df`` with the winning shard of each row; narrow, no shuffle."""
-    return df.withColumn(out, winner(F.col(key), weights))
+    return df.withColumn(out, winner(F.col(f"`{key}`"), weights))
 
 
 def shard_slots(df: DataFrame, key: str, text: str, shards: int, weights: Sequence[float] | None = None) -> DataFrame:
@@ -53,9 +53,8 @@ def shard_slots(df: DataFrame, key: str, text: str, shards: int, weights: Sequen
     numbers within a cell, and the running sum of the counts of at most shards x CELLS cells.
     """
     weights = list(weights) if weights else [1.0] * shards
-    k = _key(F.col(key))
     rows = (
-        df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         .select(
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),

@@ -222,19 +222,27 @@ def _read(spark: SparkSession, path: str, column: str, made, kind: pa.DataType)
     return packs.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
-def fetch(spark: SparkSession, path: str, keys: Iterable[int]) -> dict[int, list[int]]:
-    """The ids of a few documents: only packs that may hold them are read, only their frames are decompressed."""
+def fetch(spark: SparkSession, path: str, keys: Iterable[int | None]) -> dict[int | None, list[list[int]]]:
+    """The ids of all documents of each of a few keys, in the order of the file; a key without documents has none.
+
+    Only packs that may hold a key are read, and only the frames asked for are decompressed.
+    """
     import zstandard as zs
 
     packs, name, raw, width = _opened(spark, path)
-    wanted, out = sorted(set(keys)), {}
     squeezed = zs.ZstdDecompressor(dict_data=_dictionary(raw)).decompress
-    for k in wanted:
-        for r in packs.where((F.col("first_id") <= k) & (F.col("last_id") >= k) & F.array_contains("doc_ids", k)).collect():
+    out: dict[int | None, list[list[int]]] = {}
+    for k in dict.fromkeys(keys):
+        if k is None:
+            holds = F.exists("doc_ids", lambda d: d.isNull())
+        else:
+            holds = (F.col("first_id") <= k) & (F.col("last_id") >= k) & F.array_contains("doc_ids", k)
+        out[k] = []
+        for r in packs.where(holds).orderBy("part", "seq").toLocalIterator():
             if r.dict_sha256 != name:
                 raise ValueError("the pack was written with another dictionary")
-            at, ends = r.doc_ids.index(k), np.frombuffer(bytes(r.ends), "<u8").tolist()
-            out[k] = np.frombuffer(squeezed(bytes(r.data)[ends[at - 1] if at else 0 : ends[at]]), f"<u{width}").tolist()
+            ends = [0, *np.frombuffer(bytes(r.ends), "<u8").tolist()]
+            out[k] += [np.frombuffer(squeezed(bytes(r.data)[ends[at] : ends[at + 1]]), f"<u{width}").tolist() for at, d in enumerate(r.doc_ids) if d == k]
     return out
 
 
