@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import literals, regex, text, vectors
-from ..functions.fuzzy import KEYWORDS, fuzzy_keywords
+from ..functions.fuzzy import KEYWORDS, allowed, fuzzy_keywords
 from ..operators import heuristic, judge, marking, memory, output, redteam, sanitize
 from ..operators.policy import tasks
 from ..rules.characters import CONFUSABLES, INVISIBLE, LEET, SUSPICIOUS
@@ -245,7 +245,20 @@ def exact_keywords(spark, sf_dir):
     return s.where(~F.col("k.approximate")).select("doc_id", "k.keyword")
 
 
-@query()
+#: Windows begin at every character, and distinct ones are measured once; letters beyond ASCII, which DuckDB measures by bytes, are in no keyword.
+_WINDOWS = (
+    f"f AS (SELECT doc_id, t, {_FORM} AS f FROM s), k AS (SELECT unnest([{', '.join(map(q, KEYWORDS))}]) AS k, unnest(range({len(KEYWORDS)})) AS place, unnest([{', '.join(str(allowed(k)) for k in KEYWORDS)}]) AS most), "
+    f"w AS (SELECT DISTINCT doc_id, substr(f, i, {max(map(len, KEYWORDS)) + 1}) AS w FROM (SELECT doc_id, f, unnest(range(1, length(f) + 1)) AS i FROM f)), "
+    "u AS (SELECT DISTINCT w, regexp_replace(w, '[^\\x00-\\x7F]', '#', 'g') AS plain FROM w), "
+    "hit AS (SELECT DISTINCT w, k, place FROM u, k, (VALUES (-1), (0), (1)) AS x(d) WHERE length(w) >= length(k) + d AND levenshtein(substr(plain, 1, length(k) + d), k) <= most), "
+    "found AS (SELECT DISTINCT doc_id, k, place FROM w JOIN hit USING (w)), "
+    "v AS (SELECT doc_id, list(k ORDER BY place) AS keywords, bool_or(NOT contains(f, k) OR (contains(replace(f, ' ', ''), k) AND NOT contains(lower(t), k))) AS disguised FROM found JOIN f USING (doc_id) GROUP BY doc_id) "
+)
+
+
+@query(
+    f"WITH s AS ({_SEEDED}), {_WINDOWS} SELECT doc_id, coalesce(keywords, []::VARCHAR[]) AS keywords, CASE WHEN len(keywords) >= 2 THEN CASE WHEN disguised THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END END AS severity FROM s LEFT JOIN v USING (doc_id)"
+)
 def fuzzy_verdicts(spark, sf_dir):
     """Keywords found, also approximately, and the threat that they make."""
     s = seeded(spark, sf_dir).withColumn("found", fuzzy_keywords(text.fuzzy_form(F.col("t"))))
