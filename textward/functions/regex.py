@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import warnings
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 with warnings.catch_warnings():
@@ -19,6 +21,15 @@ with warnings.catch_warnings():
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+def is_valid(pattern: str) -> bool:
+    """Whether RE2 takes the pattern: lookaround and backreferences, for instance, are errors. Arrow's RE2 decides."""
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
 def to_java(pattern: str) -> str:
     """The same expression for Java. Leading flags i, m and s are kept."""
     flags = "d"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -63,9 +62,7 @@ class Sanitizer(Guard):
                 df = added(df, F.coalesce(F.array_compact(F.transform("_hits", lambda x: x["threat"])), none()))
                 df = rewritten(df, F.coalesce(regex.joined(s, run, F.transform("_hits", lambda x: x["plain"])), s)).drop("_hits")
         for p in self.strip_patterns:
-            try:
-                re.compile(p)
-            except re.error:  # an invalid expression strips nothing
+            if not regex.is_valid(p):  # an invalid expression strips nothing
                 continue
             df = rewritten(df, F.regexp_replace(s, regex.to_java(p), ""))
         return df

@@ -12,11 +12,12 @@ from ..operators import heuristic, judge, marking, memory, output, redteam, sani
 from ..operators.policy import tasks
 from ..rules.characters import CONFUSABLES, INVISIBLE, LEET, SUSPICIOUS
 from ..rules.contexts import RULES
+from ..rules.corpus import CORPUS
 from ..rules.leaks import LEAKS
 from ..rules.patterns import PATTERNS
 from ..rules.policies import POLICIES, TASK_RULES
 from ..rules.seeds import SEEDS
-from ..schema import CUSTOM, TRUST, error_text, trust_name
+from ..schema import CANARY_LEAK, CUSTOM, EA, IO, TRUST, error_text, trust_name
 from ..sources.tables import spread, table
 from . import presets
 
@@ -109,6 +110,23 @@ def fold_confusables(spark, sf_dir):
     return seeded(spark, sf_dir).select("doc_id", F.md5(text.folded(F.col("t"))).alias("folded"), text.is_suspicious(F.col("t")).alias("suspicious"))
 
 
+#: The last three aren't valid and strip nothing.
+_STRIPPED = [r"(?i)\b(ignore|forget)\s+\w+", r"[0-9]{2,}", "(", r"(?<=o)n", r"(l)\1"]
+
+
+@query(f"WITH s AS ({_SEEDED}) SELECT doc_id, md5(regexp_replace(regexp_replace(t, {q(_STRIPPED[0])}, '', 'g'), {q(_STRIPPED[1])}, '', 'g')) AS output FROM s")
+def strip_patterns(spark, sf_dir):
+    from .pipeline import Pipeline
+
+    found = Pipeline([sanitize.Sanitizer(strip_patterns=_STRIPPED)]).analyze(seeded(spark, sf_dir), "t")
+    return found.select("doc_id", F.md5("output").alias("output"))
+
+
+@query(f"WITH s AS ({_SEEDED}) SELECT doc_id, regexp_matches(t, '\\p{{Cf}}') AS invisible FROM s")
+def invisible_characters(spark, sf_dir):
+    return seeded(spark, sf_dir).select("doc_id", text.has_invisible(F.col("t")).alias("invisible"))
+
+
 _B64, _HEX = q(sanitize.BASE64_RUN), q(sanitize.HEX_RUN)
 
 
@@ -409,12 +427,29 @@ def memory_eviction(spark, sf_dir):
     return _replayed(spark, sf_dir, 40)
 
 
+@query(
+    _SIGNED
+    + ", st AS (SELECT id FROM s WHERE id % 10 = 0 ORDER BY id DESC LIMIT 60), p AS (SELECT a.id, b.id AS matched, sum(least(a.n, b.n)) AS shared FROM g a JOIN g b USING (gram) WHERE a.id % 2 = 1 AND b.id IN (FROM st) GROUP BY ALL), "
+    "q AS (SELECT p.id, matched, shared / (x.total + y.total - shared) AS sim FROM p JOIN n x ON x.id = p.id JOIN n y ON y.id = matched) "
+    "SELECT id, (matched % 100) / 100::DOUBLE AS severity, printf('input matches previously seen attack (similarity %.2f)', sim) AS message, round(sim, 6) AS similarity FROM q WHERE sim >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, matched) = 1"
+)
+def memory_guard(spark, sf_dir):
+    """Later turns against the last 60 of a stored table."""
+    from .pipeline import Pipeline
+
+    s = _signed(spark, sf_dir)
+    store = s.where("id % 10 = 0").select(F.col("id").alias("seq"), F.col("t").alias("text"), F.lit(IO).alias("type"), ((F.col("id") % 100) / 100).alias("severity"))
+    found = Pipeline([memory.Memory("id", store, 0.5, 60)]).analyze(s.where("id % 2 = 1").select("id", "t"), "t").where(F.size("threats") > 0)
+    x = F.col("threats")[0]
+    return found.select("id", x["severity"].alias("severity"), x["message"].alias("message"), F.round("metadata.memory_similarity", 6).alias("similarity"))
+
+
 # --- judge ---
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk with a made-up threat where the text has the word ignore."""
-    from ..schema import IO, none, threat
+    from ..schema import none, threat
 
     found = F.when(text.lowered(F.col("t")).contains("ignore"), F.array(threat(IO, F.lit(0.2) + F.col("turn") * 0.1, "made up", "test"))).otherwise(none())
     return talk(spark, sf_dir).withColumn("threats", found)
@@ -597,6 +632,23 @@ def output_json(spark, sf_dir):
     return e.select("event_id", output.is_json(s).alias("valid"))
 
 
+_OWN = "'CANARY_' || md5((doc_id % 7)::VARCHAR)"
+
+
+@query(
+    f"WITH s AS ({_SEEDED}) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lower({_OWN}) ELSE {_OWN} END AS hit, strlen(t) + 1 AS start, strlen(t) + 1 + strlen({_OWN}) AS end_at FROM s WHERE doc_id % 3 < 2"
+)
+def canary_leaks(spark, sf_dir):
+    """Two of three texts repeat their token, one of them in lower case."""
+    from .pipeline import Pipeline
+
+    token, k = F.concat(F.lit("CANARY_"), F.md5((F.col("doc_id") % 7).cast("string"))), F.col("doc_id") % 3
+    s = seeded(spark, sf_dir).withColumn("t", F.concat("t", F.when(k == 0, F.concat(F.lit(" "), F.lower(token))).when(k == 1, F.concat(F.lit(" "), token)).otherwise("")))
+    found = Pipeline([output.Output()]).validate_output(s.withColumn("made", F.struct(token.alias("canary_token"))), "t", "made")
+    leaks = found.select("doc_id", F.explode(F.filter("threats", lambda x: x["type"] == CANARY_LEAK)).alias("x"))
+    return leaks.select("doc_id", F.col("x.match").alias("hit"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end_at"))
+
+
 @query(
     f"WITH s AS ({_SEEDED}), h AS (SELECT doc_id, "
     + " + ".join(f"len(regexp_extract_all(t, {q(p)}))" for p in [*[p for p, _, _ in LEAKS], *_FORBIDDEN])
@@ -613,6 +665,12 @@ def output_guard(spark, sf_dir):
 # --- red team and metrics ---
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {q(n)}, md5({q(t)}), {str(e).lower()})" for c, n, t, e in CORPUS) + f") AS x(category, name, input, expected) WHERE category IN ('', {q(IO)}, {q(EA)})")
+def redteam_choice(spark, sf_dir):
+    """Attacks of two categories and the benign rows."""
+    return redteam.chosen(redteam.corpus(spark), [IO, EA]).select("category", "name", F.md5("input").alias("input"), "expected")
+
+
 @query()
 def redteam_summary(spark, sf_dir):
     return redteam.summary(redteam.results(presets.strict(), redteam.corpus(spark)))
