@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
-from .common import usual
+from .common import handing_back, usual
 
 #: Pre-tokens that a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 400_000
@@ -181,7 +181,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(handing_back(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _mapped(df: DataFrame, out: str, kind: DataType, source: str, function: Callable) -> DataFrame:
@@ -194,7 +194,7 @@ def _mapped(df: DataFrame, out: str, kind: DataType, source: str, function: Call
             cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True) if n != out}
             yield pa.RecordBatch.from_pydict(cols | {out: made})
 
-    return df.mapInArrow(run, StructType([*[f for f in df.schema.fields if f.name != out], StructField(out, kind)]))
+    return df.mapInArrow(handing_back(run), StructType([*[f for f in df.schema.fields if f.name != out], StructField(out, kind)]))
 
 
 def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids", exact: str | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids", exac
                     cols[exact] = pa.array(same, pa.bool_())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return df.mapInArrow(run, StructType([*[f for f in df.schema.fields if f.name not in made], *[StructField(n, t) for n, t in made.items()]]))
+    return df.mapInArrow(handing_back(run), StructType([*[f for f in df.schema.fields if f.name not in made], *[StructField(n, t) for n, t in made.items()]]))
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:

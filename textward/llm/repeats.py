@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bwt
-from .common import mixed_numbers, partitions, text_bytes, written
+from .common import handing_back, mixed_numbers, partitions, text_bytes, written
 
 #: Of a passage that is repeated, a short anchor makes longer and fewer strings, which overlap less.
 WIDTH, ANCHOR = 50, 20
@@ -360,7 +360,7 @@ def _chunks(df: DataFrame, key: str, text: str, carried: list[str], size: int) -
             yield pack()
 
     cols = [F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)]]
-    return df.select(*cols).mapInArrow(run, MESSAGE)
+    return df.select(*cols).mapInArrow(handing_back(run), MESSAGE)
 
 
 def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: int, schema: StructType, finish: Callable[[Chunk, np.ndarray, bytes], pa.RecordBatch]) -> DataFrame:
@@ -411,9 +411,9 @@ def _processed(df: DataFrame, key: str, text: str, carried: list[str], width: in
         return found.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "bin")
 
     bare = chunks.withColumn("d", F.lit(None).cast("binary"))
-    common = written(to_bins(bare.mapInArrow(ask_anchors, MESSAGE)).mapInArrow(judge_anchors, MESSAGE), "anchors")
-    least = to_bins(to_chunks(bare, common).mapInArrow(ask_windows, MESSAGE)).mapInArrow(judge_windows, MESSAGE)
-    return to_chunks(chunks, common, written(least, "windows")).mapInArrow(close, schema)
+    common = written(to_bins(bare.mapInArrow(handing_back(ask_anchors), MESSAGE)).mapInArrow(handing_back(judge_anchors), MESSAGE), "anchors")
+    least = to_bins(to_chunks(bare, common).mapInArrow(handing_back(ask_windows), MESSAGE)).mapInArrow(handing_back(judge_windows), MESSAGE)
+    return to_chunks(chunks, common, written(least, "windows")).mapInArrow(handing_back(close), schema)
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

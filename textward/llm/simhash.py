@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, ids_sent_round, partitions, written
+from .common import discard, handing_back, ids_sent_round, partitions, written
 
 BITS = 64
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(handing_back(run), f"doc_id {kind}, fp long")
 
 
 def masks(bits: list[int], radius: int, parts: int = 1) -> list[int]:
@@ -122,7 +122,7 @@ def _tables(df: DataFrame, radius: int, parts: int) -> DataFrame:
                 for m in known[int(k)]:
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (rows, np.full(len(rows), m), rows & m)], names=["fp", "kept", "bucket"])
 
-    return df.mapInArrow(run, "fp long, kept long, bucket long")
+    return df.mapInArrow(handing_back(run), "fp long, kept long, bucket long")
 
 
 def _links(df: DataFrame, radius: int, small: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _links(df: DataFrame, radius: int, small: int) -> DataFrame:
             yield r
 
     n = partitions(df.sparkSession)
-    return df.repartition(n, "kept", "bucket").sortWithinPartitions("kept", "bucket").mapInArrow(run, "u long, v long, kept long")
+    return df.repartition(n, "kept", "bucket").sortWithinPartitions("kept", "bucket").mapInArrow(handing_back(run), "u long, v long, kept long")
 
 
 def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, parts: int = 1) -> DataFrame:
@@ -246,7 +246,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(t.as_py(), words).view(np.int64))], names=["h"])
 
     some = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
-    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = some.select("text").mapInArrow(handing_back(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     found = counts.orderBy(F.col("n").desc(), "h").limit(REMEMBERED).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
@@ -302,7 +302,7 @@ def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "fp", "same", "size", "firsts"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, fp long, same binary, size long, firsts array<long>")
+    return rows.select("row", "text").mapInArrow(handing_back(run), "row long, fp long, same binary, size long, firsts array<long>")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def _buckets(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held], names=names)
 
     n = partitions(members.sparkSession)
-    return members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(handing_back(run), ", ".join(f"{c} long" for c in names))
 
 
 def _possible(met: DataFrame, similarity: float) -> DataFrame:
@@ -402,8 +402,8 @@ def _all_possible(members: DataFrame, similarity: float) -> DataFrame:
             yield done()
 
     n = partitions(members.sparkSession)
-    lists = members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(meet, "row long, size long, leads array<long>, lead_sizes array<long>")
-    return lists.repartition(n, "row").sortWithinPartitions("row").mapInArrow(count, "lead long, row long")
+    lists = members.select("h", "row", "size").repartition(n, "h").sortWithinPartitions("h", "row").mapInArrow(handing_back(meet), "row long, size long, leads array<long>, lead_sizes array<long>")
+    return lists.repartition(n, "row").sortWithinPartitions("row").mapInArrow(handing_back(count), "lead long, row long")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -424,7 +424,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) ->
     asked = written(pairs.select(F.explode(F.array("lead", "row")).alias("row")).distinct(), "asked")
     texts = written(rows.select("row", "text").join(ids_sent_round(asked), "row", "left_semi"), "texts")
     both = pairs.join(texts.select("row", F.col("text").alias("b")), "row").join(texts.select(F.col("row").alias("lead"), F.col("text").alias("a")), "lead")
-    out = written(both.select("lead", "row", "a", "b").mapInArrow(run, "lead long, row long"), "alike")
+    out = written(both.select("lead", "row", "a", "b").mapInArrow(handing_back(run), "lead long, row long"), "alike")
     discard(pairs, asked, texts)
     return out
 

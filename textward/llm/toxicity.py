@@ -29,14 +29,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import written
+from .common import handing_back, written
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 PER_CLASS, MAX_BYTES, CLASS_BYTES = 3000, 1 << 20, 32 << 20
@@ -240,7 +240,7 @@ def continuations(docs: DataFrame, text: str = "text") -> DataFrame:
                 seen.update(w for w in new if len(w) <= LONGEST)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(grams), pa.string())], names=["gram"])
 
-    grams, out = written(docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "gram string").distinct(), "grams"), None
+    grams, out = written(docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(handing_back(run), "gram string").distinct(), "grams"), None
     for _ in range(ORDER - 1):
         counts = grams.groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         out = counts if out is None else out.unionByName(counts)
@@ -284,12 +284,12 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score")
     kept = [f for f in df.schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m, known = replace(shared.value, ratios={}), {}  # what is remembered ends with the task
         for b in batches:
             scores = pa.array([m.score(m.ratio(t.as_py(), known)) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_pydict({n: c for n, c in zip(b.schema.names, b.columns, strict=True) if n != out} | {out: scores})
 
-    return df.mapInArrow(run, StructType([*kept, StructField(out, DoubleType())]))
+    return df.mapInArrow(handing_back(run), StructType([*kept, StructField(out, DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
