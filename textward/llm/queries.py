@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, digests, extraction, mixing, repeats, search, sharding, simhash, token_files, toxicity
+from . import audit, bpe, digests, extraction, middles, mixing, repeats, search, sharding, simhash, token_files, toxicity
 from .common import documents, tokenizer_path
 
 
@@ -52,7 +52,15 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op9_block_max_wand, op10_fair_mix)}
+def op11_streamed_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.digests(documents(spark, sf_dir))
+
+
+def op12_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op9_block_max_wand, op10_fair_mix, op11_streamed_middles, op12_filter_orders)}
 
 SQL: dict[str, str] = {
     "op9_block_max_wand": """
@@ -100,5 +108,48 @@ spent AS (SELECT *, sum(size) OVER (ORDER BY vt, src, h, doc_id::VARCHAR, e, upt
 served AS (SELECT doc_id, count(*) AS epochs FROM spent WHERE spent <= budget + 1e-6 GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, (size * coalesce(epochs, 0))::BIGINT AS taken
 FROM placed LEFT JOIN served USING (doc_id)
+""",
+    "op11_streamed_middles": """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+draws AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs),
+pieces AS (
+  SELECT *, least(a, b) AS low, greatest(a, b) - least(a, b) AS mid, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+         substr(t, greatest(a, b) + 1) AS s
+  FROM draws)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN mid END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM pieces
+""",
+    "op12_filter_orders": """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+  FROM docs LEFT JOIN said USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (
+  SELECT part, good, toxic, f, filter_order, step, f[ascii(substr(filter_order, step, 1)) - 64] AS failing,
+         coalesce(list_min(list_transform(list_filter([1, 2, 3, 4, 5], lambda k: f[ascii(substr(filter_order, k, 1)) - 64]), lambda k: k)), 6) AS first,
+         len(list_filter(f, lambda x: x)) AS failures
+  FROM flags, orders, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+sums AS (
+  SELECT part, filter_order, step, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (failing AND first < step) AS redundant,
+         count(*) FILTER (failing AND failures = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM sums
 """,
 }
