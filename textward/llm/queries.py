@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, bpe, digests, extraction, middles, mixing, repeats, search, sharding, simhash, token_files, toxicity
+from . import audit, bpe, digests, extraction, middles, mixing, nearest, repeats, search, sharding, simhash, token_files, toxicity
 from .common import documents, tokenizer_path
 
 
@@ -60,7 +60,12 @@ def op12_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op9_block_max_wand, op10_fair_mix, op11_streamed_middles, op12_filter_orders)}
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_token_files, op3_suffix_repeats, op4_quartile_digests, op5_kneser_ney_toxicity, op6_host_paths, op7_simhash_components, op8_prefix_bpe, op9_block_max_wand, op10_fair_mix, op11_streamed_middles, op12_filter_orders, op13_learned_partitions)}
 
 SQL: dict[str, str] = {
     "op9_block_max_wand": """
