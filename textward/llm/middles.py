@@ -8,7 +8,7 @@ The ranks and the form depend on the row's key alone (and on the number of units
 Defined results: a null text is empty; an empty text, one that holds a marker and a share of all keys
 stay plain; a null key is the key "null"; equal keys draw equal numbers; text between two matches
 belongs to the unit before it, and text before the first to the first; a pattern that matches nothing has
-0 units and cuts at the end; repeated rows are repeated; an empty table gives no rows; other columns are
+0 units, and all of the text is suffix; repeated rows are repeated; an empty table gives no rows; other columns are
 carried through by ``filled`` unless they have the name of a column that it adds, which is an error.
 """
 
@@ -21,6 +21,7 @@ from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import handing_back
 
@@ -45,7 +46,8 @@ def cuts(matcher: re.Pattern, text: str, low: int, high: int) -> tuple[int, int]
     ahead = matcher.finditer(text)
     found = next(islice(ahead, low, None), None)
     if found is None:
-        return (0 if low == 0 else len(text)), len(text)
+        first = 0 if low == 0 else len(text)
+        return first, first if low == high else len(text)
     first = 0 if low == 0 else found.start()
     if low == high:
         return first, first
@@ -81,7 +83,7 @@ def filled(df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = C
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"),
         F.col(f"`{text}`").isNull().alias("missing"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("given"), *drawn(F.col(f"`{key}`"), seed),
     )
-    rest = given.schema["row"].dataType.simpleString()
+    made = StructType([*given.schema.fields[:2], *(StructField(c, StringType() if c in ("output", "form") else LongType()) for c in ADDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = re.compile(unit)
@@ -98,7 +100,7 @@ def filled(df: DataFrame, key: str = "doc_id", text: str = "text", unit: str = C
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(first, at - first) for k in (0, 1)), *cols], names=["row", "missing", *ADDED])
 
-    done = given.mapInArrow(handing_back(run), f"row {rest}, missing boolean, output string, form string, n long, prefix_chars long, middle_chars long")
+    done = given.mapInArrow(handing_back(run), made)
     # the text doesn't come back from Python beside the output: where it is asked for, it is rebuilt
     was = F.when(~F.col("missing"), restored(F.col("output"), F.col("form"))).cast(df.schema[text].dataType)
     return done.select(*[(was if c == text else F.col("row")[c]).alias(c) for c in df.columns], *ADDED)
