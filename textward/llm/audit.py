@@ -44,10 +44,14 @@ def flagged(df: DataFrame, key: str, text: str, part: str, filters: Mapping[str,
     return rows.select("key", "part", F.sha2("text", 256).alias("sign"), *[c.alias(name) for name, c in filters.items()])
 
 
-def with_repeats(flags: DataFrame, name: str = REPEATED) -> DataFrame:
-    """Adds whether a smaller key has the same text. Only signs that several keys share are joined, however many rows have one."""
-    shared = flags.groupBy("sign").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    return flags.join(shared.select("sign", "first"), "sign", "left").withColumn(name, F.coalesce(F.col("key") > F.col("first"), F.lit(False))).drop("first", "sign")
+def shared_signs(flags: DataFrame) -> DataFrame:
+    """(sign, first): the smallest key of each text that several keys have."""
+    return flags.groupBy("sign").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sign", "first")
+
+
+def with_repeats(flags: DataFrame, shared: DataFrame, name: str = REPEATED) -> DataFrame:
+    """Adds whether a smaller key has the same text. ``shared`` is a table of its own: the join then has a shuffle of its own, whose hot partitions Spark can split."""
+    return flags.join(shared, "sign", "left").withColumn(name, F.coalesce(F.col("key") > F.col("first"), F.lit(False))).drop("first", "sign")
 
 
 def with_labels(flags: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -95,6 +99,7 @@ def audited(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The five filters (or those given, and repeats) in all their orders over df. Texts are read once and never shuffled."""
     filters = text_filters(F.col("text")) if filters is None else filters
     lean = written(flagged(df, key, text, part, filters), "flags")
-    out = written(replayed(with_labels(with_repeats(lean), labels), "".join(filters) + REPEATED), "audit")
-    discard(lean)
+    shared = written(shared_signs(lean), "signs")
+    out = written(replayed(with_labels(with_repeats(lean, shared), labels), "".join(filters) + REPEATED), "audit")
+    discard(lean, shared)
     return out
