@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..schema import CUSTOM, IO, added, max_severity, metadata, none, threat
@@ -71,13 +74,92 @@ def parsed(output: Column) -> Column:
     return F.when((body != "") & j.isNotNull() & j["_bad"].isNull(), normalized(verdict, j["score"], j["reason"], j["threat_type"]))
 
 
+class Late(Exception):
+    """A call took longer than it may."""
+
+
+def timed(call: Callable[[dict], dict], request: dict, timeout: float) -> dict:
+    """The call's answer. It has a thread of its own, which is left behind at the deadline, so that a call that hangs keeps nothing else waiting."""
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            box.put((call(request), None))
+        except BaseException as e:  # whatever the caller's function raises is this row's error
+            box.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = box.get(timeout=None if timeout < 0 else timeout)
+    except queue.Empty:
+        raise Late("deadline exceeded") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def answered(call: Callable[[dict], dict], requests: list[dict], timeout: float, known: dict | None, shared: bool) -> list[tuple]:
+    """(decision, error, cached) of requests in turn. If they are ``shared``, the first that succeeds (or ``known``) answers all after it."""
+    out = []
+    for r in requests:
+        if known is not None and shared:
+            out.append((known, None, True))
+            continue
+        try:
+            d = timed(call, r, timeout)
+            known = {"verdict": str(d.get("verdict", "")), "score": float(d.get("score", 0.0)), "reason": d.get("reason", ""), "threat_type": d.get("threat_type", "")}
+            out.append((known, None, False))
+        except Exception as e:
+            out.append((None, str(e), False))
+    return out
+
+
+@dataclass
+class Decisions:
+    """Answers kept in a table at ``path``, so that equal requests of later runs aren't asked again.
+
+    ``keep`` takes an analysed table that has been written: reading a plan twice would call the judge twice. Only answers are
+    kept, no errors. Two runs that keep the same key at once leave two rows of it; the older one is read.
+    """
+
+    path: str
+    schema = "key string, verdict string, score double, reason string, threat_type string, at timestamp"
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.schema)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row a key."""
+        first = F.min(F.struct("at", "verdict", "score", "reason", "threat_type"))
+        return self.rows(spark).groupBy("key").agg(first.alias("x")).select("key", "x.verdict", "x.score", "x.reason", "x.threat_type")
+
+    def keep(self, analysed: DataFrame) -> None:
+        """Append what the judge answered for the keys that aren't there yet."""
+        new = decided(analysed).join(self.table(analysed.sparkSession).select("key"), "key", "left_anti")
+        new.withColumn("at", F.current_timestamp()).write.mode("append").parquet(self.path)
+
+
+def decided(analysed: DataFrame) -> DataFrame:
+    """(key, verdict, score, reason, threat_type) of a pipeline's result: a row for each key that was asked and answered."""
+    m = F.col("metadata")
+    fresh = analysed.where(m["llm_judge_key"].isNotNull() & m["llm_judge_verdict"].isNotNull() & ~m["llm_judge_cached"])
+    row = F.struct(m["llm_judge_verdict"].alias("verdict"), m["llm_judge_score"].alias("score"), F.coalesce(m["llm_judge_reason"], F.lit("")).alias("reason"), F.coalesce(m["llm_judge_threat_type"], F.lit("")).alias("threat_type"))
+    return fresh.groupBy(m["llm_judge_key"].alias("key")).agg(F.min(row).alias("x")).select("key", "x.*")
+
+
 @dataclass
 class Judge(Guard):
     """Calls ``judge(request) -> decision`` (dicts) for the rows that the gate opens for; rows need a unique ``key``.
 
-    With ``cache``, equal requests are called in the order of their keys until a call succeeds, and the rows
-    after it share its answer; errors aren't shared. The call has
-    a timeout in seconds (negative: none).
+    A task has up to ``concurrency`` calls under way, each with its own timeout in seconds from its own start (negative: none);
+    a call that hangs fails its row alone, and its thread is left behind. With ``cache``, equal requests are called in the order of
+    their keys until a call succeeds, and the rows after it share its answer; errors aren't shared. ``decisions`` (a table by
+    ``Decisions.table``, a row a key) holds answers of earlier runs, which are joined and not asked for again.
     """
 
     key: str
@@ -92,46 +174,46 @@ class Judge(Guard):
     model: str = "custom"
     cache: bool = False
     fail_closed: bool = False
+    concurrency: int = 8
+    decisions: DataFrame | None = None
     name = "llm_judge"
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.judge is None:
             return df
         call, timeout, policy, model = self.judge, self.timeout or 2.0, self.policy, self.model or "custom"
-        most = self.max_bytes or 8192
+        most, width, sharing = self.max_bytes or 8192, max(1, self.concurrency), self.cache or self.decisions is not None
 
         @F.pandas_udf(f"struct<decision: {DECISION}, error: string, cached: boolean>")
         def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, last = None, None  # equal keys come one after the other
-            with ThreadPoolExecutor(1) as pool:
+            last: tuple[str, dict | None] = ("", None)  # equal keys come one after the other, also across batches
+            with ThreadPoolExecutor(width) as pool:  # each of its threads waits for one call and no longer than the timeout
                 for p in parts:
-                    rows = []
-                    for r in p.itertuples(index=False):
-                        if last is not None and r.key == known:
-                            rows.append((last, None, True))
-                            continue
-                        request = {"input": r.input, "raw_input": r.raw_input, "policy": policy, "model": model, "threats": list(r.threats)}
-                        try:
-                            d = pool.submit(call, request).result(None if timeout < 0 else timeout)
-                            decision = {"verdict": str(d.get("verdict", "")), "score": float(d.get("score", 0.0)), "reason": d.get("reason", ""), "threat_type": d.get("threat_type", "")}
-                            rows.append((decision, None, False))
-                            known, last = (r.key, decision) if r.key else (None, None)
-                        except Late:
-                            rows.append((None, "deadline exceeded", False))
-                        except Exception as e:
-                            rows.append((None, str(e), False))
-                    yield pd.DataFrame(rows, columns=["decision", "error", "cached"])
+                    rows = [(r.key, {"input": r.input, "raw_input": r.raw_input, "policy": policy, "model": model, "threats": list(r.threats)}) for r in p.itertuples(index=False)]
+                    chains = [(k, [r for _, r in g]) for k, g in groupby(rows, lambda x: x[0])] if sharing else [("", [r]) for _, r in rows]
+                    known = [last[1] if sharing and k == last[0] else None for k, _ in chains]
+                    found = list(pool.map(lambda c, d: answered(call, c[1], timeout, d, sharing), chains, known))
+                    if chains and sharing:
+                        last = (chains[-1][0], next((d for d, _, _ in reversed(found[-1]) if d is not None), None))
+                    yield pd.DataFrame([x for f in found for x in f], columns=["decision", "error", "cached"])
 
         names = df.columns
         open_rows = df.where(~F.col("halted") & opened(self.mode, F.col("threats"), F.col("input"), self.min_severity or 0.2, self.max_severity or 0.5))
         clipped = {c: text.byte_clip(F.col(c), most) for c in ("input", "raw_input")}
         requests = open_rows.select(F.col(self.key).alias("_id"), *[v.alias(c) for c, v in clipped.items()], "threats", (F.octet_length("input") > most).alias("_cut"))
-        if self.cache:
-            keyed = requests.withColumn("_key", cache_key(F.lit(model), F.lit(policy), F.col("input"), F.col("threats")))
-            requests = keyed.repartition("_key").sortWithinPartitions("_key", "_id")
+        ask = asked(F.struct("input", "raw_input", "threats", F.col("_key").alias("key"))).alias("_a")
+        if sharing:
+            requests = requests.withColumn("_key", cache_key(F.lit(model), F.lit(policy), F.col("input"), F.col("threats")))
+            kept = self.decisions
+            if kept is not None:
+                held = kept.select(F.col("key").alias("_key"), F.struct("verdict", "score", "reason", "threat_type").alias("_held"))
+                both = requests.join(held, "_key", "left")
+                told = F.struct(F.col("_held").cast(DECISION).alias("decision"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached")).alias("_a")
+                known, requests = both.where("_held IS NOT NULL").select("_id", "_cut", "_key", told), both.where("_held IS NULL").drop("_held")
+            answers = requests.repartition("_key").sortWithinPartitions("_key", "_id").select("_id", "_cut", "_key", ask)
+            answers = answers if kept is None else answers.unionByName(known)
         else:
-            requests = requests.withColumn("_key", F.lit(""))
-        answers = requests.select("_id", "_cut", asked(F.struct("input", "raw_input", "threats", F.col("_key").alias("key"))).alias("_a"))
+            answers = requests.withColumn("_key", F.lit("")).select("_id", "_cut", "_key", ask)
         df = df.join(answers, F.col(self.key) == F.col("_id"), "left")
         d = F.col("_a.decision")
         ran, error = F.col("_id").isNotNull(), F.col("_a.error")
@@ -150,5 +232,7 @@ class Judge(Guard):
             "llm_judge_model": F.when(ran, F.lit(model)), "llm_judge_policy": F.when(decided & F.lit(bool(policy)), F.lit(policy)), "llm_judge_reason": F.when(decided & (n["reason"] != ""), n["reason"]),
             "llm_judge_error": error, "llm_judge_truncated": F.when(F.col("_cut"), True),
         }
+        if sharing:  # what ``decided`` reads
+            values |= {"llm_judge_key": F.when(ran, F.col("_key")), "llm_judge_threat_type": F.when(decided & (n["threat_type"] != ""), n["threat_type"])}
         df = metadata(df, values)
         return df.select(*[F.col(f"`{c}`") for c in df.columns if c in names or c.startswith("meta_")])

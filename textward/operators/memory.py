@@ -111,13 +111,21 @@ def learnt(threats: Column) -> Column:
     return F.aggregate(threats, start, lambda a, t: F.when(t["severity"] > a["severity"], F.struct(t["type"].alias("type"), t["severity"].alias("severity"))).otherwise(a))
 
 
-def positions(df: DataFrame, order: str, stored: Column, buckets: int = 256) -> DataFrame:
-    """seq: how many rows were stored before each row, by ``order`` (a number); a running sum in two steps."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn("seq", F.lit(0).cast("long"))
-    part = F.floor((F.col(order) - F.lit(low)) * F.lit(buckets) / F.lit(max(high - low, 1) + 1))
-    df = df.withColumn("_part", part).withColumn("_stored", F.when(stored, 1).otherwise(0))
+#: Rows that the bounds of ``positions`` are taken from, and its parts.
+BOUNDS_OF, PARTS = 4096, 256
+
+
+def positions(df: DataFrame, order: str, stored: Column, parts: int = PARTS) -> DataFrame:
+    """seq: how many rows were stored before each row, by ``order`` (of any type that sorts); a running sum in two steps.
+
+    Parts have about equally many rows, whatever the values: their bounds are quantiles of the BOUNDS_OF different values of least hash.
+    """
+    some = df.select(F.col(order).alias("v")).where("v IS NOT NULL").distinct().orderBy(F.xxhash64("v")).limit(BOUNDS_OF)
+    values = [r.v for r in some.orderBy("v").collect()]
+    bounds = values[:: max(1, len(values) // parts)][1:]
+    kind = df.schema[order].dataType
+    part = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    df = df.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(part)).withColumn("_stored", F.when(stored, 1).otherwise(0))
     sums = df.groupBy("_part").agg(F.sum("_stored").alias("_n"))
     before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -176,4 +184,10 @@ def learned(df: DataFrame, text: str = "input") -> DataFrame:
     return df.where(f"{META}memory_stored").select(F.col(text).alias("text"), F.col(f"{META}memory_learnt.type").alias("type"), F.col(f"{META}memory_learnt.severity").alias("severity"))
 
 
-__all__ = ["Memory", "learned", "learnt", "matches", "pairs", "positions", "replay", "signature"]
+def learned_rows(analysed: DataFrame) -> DataFrame:
+    """The same of a pipeline's written result, by its metadata."""
+    m = F.col("metadata")
+    return analysed.where(m["memory_stored"]).select(F.col("output").alias("text"), m["memory_learnt"]["type"].alias("type"), m["memory_learnt"]["severity"].alias("severity"))
+
+
+__all__ = ["Memory", "learned", "learned_rows", "learnt", "matches", "pairs", "positions", "replay", "signature"]

@@ -662,6 +662,38 @@ def output_guard(spark, sf_dir):
     return found.select("doc_id", "safe", F.size("threats").alias("n"))
 
 
+_ASKED = "'CANARY_' || substr(sha256('k' || chr(0) || 'canary' || chr(0) || (conv_id * 1000 + turn)::VARCHAR || chr(0) || '0'), 1, 32)"
+_ANSWERS = (
+    f"p AS (SELECT conv_id, turn, {_ASKED} AS token, NOT contains(lower(t), 'ignore') AS prompt_safe FROM ({_TALK}) WHERE role = 'user'), "
+    f"r AS (SELECT conv_id, turn, t || CASE turn % 8 WHEN 1 THEN ' ' || {_ASKED.replace('+ turn', '+ turn - 1')} WHEN 3 THEN ' ' || lower({_ASKED.replace('+ turn', '+ turn - 1')}) ELSE '' END AS t, turn % 8 IN (1, 3) AS echo FROM ({_TALK}) WHERE role = 'assistant'), "
+)
+
+
+@query(
+    f"WITH {_ANSWERS} x AS (SELECT r.conv_id, r.turn, p.turn AS prompt_turn, prompt_safe, (p.turn IS NOT NULL AND echo)::INT AS leaks, "
+    + " + ".join(f"len(regexp_extract_all(t, {q(p)}))" for p, _, _ in LEAKS)
+    + " AS others FROM r LEFT JOIN p ON p.conv_id = r.conv_id AND p.turn <= r.turn AND p.turn * 10 >= r.turn * 10 - 15) "
+    "SELECT conv_id, turn, prompt_turn, prompt_safe, leaks + others = 0 AS safe, leaks, (leaks + others)::INT AS n FROM x"
+)
+def joined_validation(spark, sf_dir):
+    """Answers of assistants beside the prompts right before them, some of which they leak; answers without a prompt too."""
+    from ..operators.guard import Custom
+    from ..schema import none, threat
+    from ..streaming.responses import validated
+    from .pipeline import Pipeline
+
+    s = talk(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn") * 10))
+    prompts = s.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("turn").alias("prompt_turn"), "at", "t")
+    token = F.concat(F.lit("CANARY_"), marking.mark("hex", 16, F.col("conv_id") * 1000 + F.col("turn") - 1, "k", "canary"))
+    k = F.col("turn") % 8
+    answers = s.where("role = 'assistant'").select("conv_id", "turn", F.col("at").alias("said_at"), F.concat("t", F.when(k == 1, F.concat(F.lit(" "), token)).when(k == 3, F.concat(F.lit(" "), F.lower(token))).otherwise("")).alias("t"))
+    bossy = Custom("bossy", lambda df: F.when(F.lower("input").contains("ignore"), F.array(threat(CUSTOM, 0.6, "bossy", "bossy"))).otherwise(none()))
+    found = validated(Pipeline([marking.Canary(key="id", secret="k"), bossy, output.Output()]), prompts, answers, ["conv_id"], "at", "said_at", "t", "t", within="15 seconds")
+    before = ((F.unix_timestamp("asked_at") - F.col("conv_id") * 1000) / 10).cast("long")
+    leaks = F.size(F.filter("threats", lambda x: x["type"] == CANARY_LEAK))
+    return found.select("conv_id", "turn", before.alias("prompt_turn"), "prompt_safe", "safe", leaks.alias("leaks"), F.size("threats").alias("n"))
+
+
 # --- red team and metrics ---
 
 
