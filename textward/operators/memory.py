@@ -74,25 +74,41 @@ def pairs(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataF
     return likes.unionByName(nothing.select("new_id", "old_id", F.lit(1.0).alias("similarity")))
 
 
+def sign_of(grams: Column) -> Column:
+    """A digest of a signature: sorted, since likeness doesn't depend on order; a trigram and its separator always take four characters."""
+    return F.md5(F.concat_ws("\0", F.sort_array(grams)))
+
+
 def matches(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD, capacity: int | None = None) -> DataFrame:
     """(id, matched, similarity): for each new row the seq of its most similar old row, of equals the one stored first.
 
     ``old`` has seq, grams; ``new`` has id, grams and, with a capacity, seq: only the ``capacity`` old rows right before it count.
-    Copies are one signature to ``pairs``, so n copies of an attack make n rows and no pairs of each other. The first
-    of a signature's old rows in reach is looked up in stretches of ``capacity`` rows, so that no step sorts all copies in one task.
+    Copies are one signature to ``pairs``, so n copies of an attack make n rows and no pairs of each other.
     """
-    # sorted, since likeness doesn't depend on order; a trigram and its separator always take four characters
-    sign = F.md5(F.concat_ws("\0", F.sort_array("grams")))
+    new, old = new.withColumn("sign", sign_of(F.col("grams"))), old.withColumn("sign", sign_of(F.col("grams")))
     reach = (F.greatest(F.lit(0), F.col("seq") - capacity), F.col("seq") - 1) if capacity else (F.lit(-(2**62)), F.lit(2**62))
-    new, old = new.withColumn("sign", sign), old.withColumn("sign", sign)
     asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("lo").alias("first"), F.max("hi").alias("last"))
     held = old.groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("seq").alias("first"), F.max("seq").alias("last"))
     like = pairs(asked, held, threshold).withColumnRenamed("new_id", "sign")
-    first = F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best")
-    chosen = ["id", (-F.col("best.at")).alias("matched"), F.col("best.similarity").alias("similarity")]
-    if not capacity:
-        found = like.join(held.select(F.col("id").alias("old_id"), F.col("first").alias("at")), "old_id")
-        return new.select("id", "sign").join(found.groupBy("sign").agg(first), "sign").select(*chosen)
+    if capacity:
+        return in_reach(new, old, like, capacity)
+    found = like.join(held.select(F.col("id").alias("old_id"), F.col("first").alias("at")), "old_id")
+    return _chosen(new.select("id", "sign").join(found.groupBy("sign").agg(_best()), "sign"))
+
+
+def _best() -> Column:
+    return F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best")
+
+
+def _chosen(df: DataFrame) -> DataFrame:
+    return df.select("id", (-F.col("best.at")).alias("matched"), F.col("best.similarity").alias("similarity"))
+
+
+def in_reach(new: DataFrame, old: DataFrame, like: DataFrame, capacity: int) -> DataFrame:
+    """(id, matched, similarity) of new rows (id, sign, seq) by the like signatures (sign, old_id, similarity) and old rows (sign, seq).
+
+    The first of a signature's old rows in reach is looked up in stretches of ``capacity`` rows, so that no step sorts all copies in one task.
+    """
     asks = like.join(new.select("sign", "seq").distinct(), "sign")
     stretch = F.floor(F.col("at") / capacity)
     points = asks.select("old_id", "seq").distinct().withColumn("at", F.greatest(F.lit(0), F.col("seq") - capacity)).withColumns({"part": stretch, "kept": F.lit(None).cast("long")})
@@ -101,8 +117,8 @@ def matches(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD, capaci
     here = points.unionByName(stored).withColumn("near", F.min("kept").over(after)).where("seq IS NOT NULL")
     heads = stored.groupBy("old_id", (F.col("part") - 1).alias("part")).agg(F.min("at").alias("head"))
     firsts = here.join(heads, ["old_id", "part"], "left").select("old_id", "seq", F.coalesce("near", "head").alias("at")).where("at < seq")
-    found = asks.join(firsts, ["old_id", "seq"]).groupBy("sign", "seq").agg(first)
-    return new.select("id", "sign", "seq").join(found, ["sign", "seq"]).select(*chosen)
+    found = asks.join(firsts, ["old_id", "seq"]).groupBy("sign", "seq").agg(_best())
+    return _chosen(new.select("id", "sign", "seq").join(found, ["sign", "seq"]))
 
 
 def learnt(threats: Column) -> Column:
@@ -190,4 +206,4 @@ def learned_rows(analysed: DataFrame) -> DataFrame:
     return analysed.where(m["memory_stored"]).select(F.col("output").alias("text"), m["memory_learnt"]["type"].alias("type"), m["memory_learnt"]["severity"].alias("severity"))
 
 
-__all__ = ["Memory", "learned", "learned_rows", "learnt", "matches", "pairs", "positions", "replay", "signature"]
+__all__ = ["Memory", "in_reach", "learned", "learned_rows", "learnt", "matches", "pairs", "positions", "replay", "sign_of", "signature"]

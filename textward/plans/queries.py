@@ -427,6 +427,24 @@ def memory_eviction(spark, sf_dir):
     return _replayed(spark, sf_dir, 40)
 
 
+@query(_SIGNED + ", " + _REPLAY.format(cap=40))
+def memory_store_batches(spark, sf_dir):
+    """The same from a store on disk: three batches by id, with the store compacted after the first."""
+    from ..operators.store import Store
+    from ..sources.tables import scratch
+
+    s = _signed(spark, sf_dir).withColumns({"kind": F.lit(CUSTOM), "severity": F.lit(0.5)})
+    last = s.agg(F.max("id")).first()[0] or 0
+    store, found = Store(scratch(spark, "store"), 0.8, 40, 8), []
+    for k in range(3):
+        part = s.where((F.col("id") > (last * k) // 3 if k else F.lit(True)) & (F.col("id") <= (last * (k + 1)) // 3 if k < 2 else F.lit(True)))
+        found.append(store.append(part, k, text="t"))
+        if k == 0:
+            store.compact(spark)
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select("id", "matched", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     _SIGNED
     + ", st AS (SELECT id FROM s WHERE id % 10 = 0 ORDER BY id DESC LIMIT 60), p AS (SELECT a.id, b.id AS matched, sum(least(a.n, b.n)) AS shared FROM g a JOIN g b USING (gram) WHERE a.id % 2 = 1 AND b.id IN (FROM st) GROUP BY ALL), "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PROMPTS = "input string, category string, name string, expected boolean"
@@ -37,3 +40,15 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
 def write(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
     w = df.write.mode(mode)
     (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; in local mode alone, in one of our own where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textward-"))
+        at = spark.sparkContext.getCheckpointDir()
+    return f"{at.rstrip('/')}/textward-{name}-{uuid.uuid4().hex}"
