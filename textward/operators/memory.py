@@ -4,7 +4,7 @@ A row is learnt if guards behind the memory found something in it, so which rows
 depend on what the memory itself reports, and the whole replay is one ordered self-join: each row
 against the last ``capacity`` rows stored before it.
 
-The join is exact and doesn't meet on common trigrams. Elements of a signature are (trigram,
+The join is exact (up to equal 64-bit hashes of elements) and doesn't meet on common trigrams. Elements of a signature are (trigram,
 occurrence) pairs; two signatures of likeness t or more share an element among the rarest
 n - ceil(t n) + 1 of each (n its own number of elements), so those are what the join meets on, with a
 filter on sizes, and only pairs that met are measured. Signatures without trigrams are equal to each other.
@@ -13,9 +13,14 @@ Copies meet once: the join is between different signatures, and a row looks up t
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import UNICODE_SPACE, lowered
 from ..schema import CUSTOM, META, added, metadata, none, threat
@@ -33,45 +38,85 @@ def signature(text: Column) -> Column:
     return F.when(n >= 3, F.transform(shifted, lambda g: F.concat(g["a"], g["b"], g["c"]))).otherwise(F.array().cast("array<string>"))
 
 
-def numbered(df: DataFrame, grams: str, keys: list[str]) -> DataFrame:
-    """keys, gram, nth: a row for each element."""
-    each = df.select(*keys, F.explode(grams).alias("gram"))
-    counts = each.groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    return counts.select(*keys, "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+@F.pandas_udf(ArrayType(LongType()))
+def elements(grams: pd.Series) -> pd.Series:
+    """Each trigram with its number among the equal ones, as one long: the three code points side by side, mixed with the number. Null for null."""
+    return grams.map(lambda g: None if g is None else _elements(g))
+
+
+def _elements(grams: Sequence[str]) -> np.ndarray:
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, 3)
+    code = np.sort(points[:, 0] << np.uint64(42) | points[:, 1] << np.uint64(21) | points[:, 2])
+    new = np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0)) if len(code) else np.zeros(0, np.int64)
+    nth = (np.arange(len(code)) - start).astype(np.uint64)
+    z = code * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xD1B54A32D192ED03)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ z >> np.uint64(31)).view(np.int64)
+
+
+#: Elements whose frequencies the order of prefixes knows; the others are rarer and stand before them.
+KNOWN = 1 << 16
+
+
+def common(each: DataFrame, most: int = KNOWN) -> DataFrame:
+    """(element, df) of the ``most`` most frequent of rows (elements), at least twice there: what decides the order of prefixes."""
+    counts = each.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    return counts.where("df > 1").orderBy(F.col("df").desc(), "element").limit(most)
+
+
+def prefix(frequent: Sequence[tuple[int, int]], threshold: float) -> Callable[[Column], Column]:
+    """A column function: of an array of elements the first n - ceil(threshold n) + 1 in the order that is fixed by (element, df) pairs, KNOWN at most.
+
+    Two arrays of likeness ``threshold`` or more share one of their prefixes, whatever the order; with common elements last few others do.
+    """
+    known = np.array(sorted(frequent), np.int64).reshape(-1, 2)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def first(each: pd.Series) -> pd.Series:
+        def one(e: np.ndarray) -> np.ndarray:
+            e = np.asarray(e, np.int64)
+            at = np.searchsorted(known[:, 0], e)
+            df = np.zeros(len(e), np.int64)
+            inside = at < len(known)
+            hit = known[at[inside], 0] == e[inside]
+            df[np.nonzero(inside)[0][hit]] = known[at[inside][hit], 1]
+            return e[np.lexsort((e, df))[: len(e) - math.ceil(threshold * len(e) - 1e-9) + 1]] if len(e) else e
+
+        return each.map(one)
+
+    return first
+
+
+def measured(met: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(new_id, old_id, similarity) of pairs at or above the threshold; a and b have id, elements."""
+    both = met.join(a.select(F.col("id").alias("new_id"), F.col("elements").alias("x")), "new_id").join(b.select(F.col("id").alias("old_id"), F.col("elements").alias("y")), "old_id")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("new_id", "old_id", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def fits(n: Column, m: Column, threshold: float) -> Column:
+    """Whether arrays of n and m elements can be of that likeness."""
+    return (n >= F.lit(threshold) * m - 1e-9) & (m >= F.lit(threshold) * n - 1e-9)
 
 
 def pairs(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(new_id, old_id, similarity) of the pairs at or above the threshold.
 
-    Both frames have id, grams, first, last, a row for each different signature; only those whose ranges overlap are measured.
+    Both frames have id, elements, first, last, a row for each different signature; only those whose ranges overlap are measured.
+    What is shuffled: counts of elements, a fifth of each signature's elements (at 0.8), and whole signatures for the pairs that met.
+    The driver gets KNOWN frequencies at most.
     """
-    cols = {"n": F.size("grams")}
-    a, b = new.withColumns(cols), old.withColumns(cols)
-    ea, eb = numbered(a, "grams", ["id", "n", "first", "last"]), numbered(b, "grams", ["id", "n", "first", "last"])
-    rank = ea.select("gram", "nth").unionByName(eb.select("gram", "nth")).groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(e: DataFrame) -> DataFrame:
-        rare = Window.partitionBy("id").orderBy("df", "gram", "nth")
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        return e.join(rank, ["gram", "nth"]).withColumn("k", F.row_number().over(rare)).where(F.col("k") <= keep)
-
-    def elements(e: DataFrame) -> DataFrame:
-        return e.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.concat_ws("\0", "gram", "nth")).alias("e"))
-
-    pa, pb = prefix(ea).alias("a"), prefix(eb).alias("b")
-    fits = (
-        (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9)
-        & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
-        & (F.col("b.first") <= F.col("a.last"))
-        & (F.col("b.last") >= F.col("a.first"))
-    )
-    met = pa.join(pb, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.nth") == F.col("b.nth")) & fits).select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id")).distinct()
-    both = met.join(elements(ea).select(F.col("id").alias("new_id"), F.col("n").alias("nx"), F.col("e").alias("x")), "new_id").join(elements(eb).select(F.col("id").alias("old_id"), F.col("n").alias("ny"), F.col("e").alias("y")), "old_id")
-    shared = F.size(F.array_intersect("x", "y"))
-    likes = both.select("new_id", "old_id", (shared / (F.col("nx") + F.col("ny") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    frequent = [(r.element, r.df) for r in common(new.select("elements").unionByName(old.select("elements"))).collect()]
+    of = prefix(frequent, threshold)
+    each = lambda df: df.select("id", F.size("elements").alias("n"), "first", "last", F.explode(of(F.col("elements"))).alias("e"))
+    a, b = each(new).alias("a"), each(old).alias("b")
+    meets = (F.col("a.e") == F.col("b.e")) & fits(F.col("a.n"), F.col("b.n"), threshold) & (F.col("b.first") <= F.col("a.last")) & (F.col("b.last") >= F.col("a.first"))
+    met = a.join(b, meets).select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id")).distinct()
     # signatures without trigrams are equal: at most one row on each side
-    nothing = a.where("n = 0").select(F.col("id").alias("new_id"), "n").join(b.where("n = 0").select(F.col("id").alias("old_id"), "n"), "n")
-    return likes.unionByName(nothing.select("new_id", "old_id", F.lit(1.0).alias("similarity")))
+    empty = F.size("elements") == 0
+    nothing = new.where(empty).select(F.col("id").alias("new_id"), F.lit(0).alias("k")).join(old.where(empty).select(F.col("id").alias("old_id"), F.lit(0).alias("k")), "k")
+    return measured(met, new, old, threshold).unionByName(nothing.select("new_id", "old_id", F.lit(1.0).alias("similarity")))
 
 
 def sign_of(grams: Column) -> Column:
@@ -85,10 +130,11 @@ def matches(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD, capaci
     ``old`` has seq, grams; ``new`` has id, grams and, with a capacity, seq: only the ``capacity`` old rows right before it count.
     Copies are one signature to ``pairs``, so n copies of an attack make n rows and no pairs of each other.
     """
-    new, old = new.withColumn("sign", sign_of(F.col("grams"))), old.withColumn("sign", sign_of(F.col("grams")))
+    signed = {"sign": sign_of(F.col("grams")), "elements": elements("grams")}  # the trigrams themselves go no further
+    new, old = new.withColumns(signed).drop("grams"), old.withColumns(signed).drop("grams")
     reach = (F.greatest(F.lit(0), F.col("seq") - capacity), F.col("seq") - 1) if capacity else (F.lit(-(2**62)), F.lit(2**62))
-    asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    held = old.groupBy(F.col("sign").alias("id")).agg(F.first("grams").alias("grams"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("elements").alias("elements"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    held = old.groupBy(F.col("sign").alias("id")).agg(F.first("elements").alias("elements"), F.min("seq").alias("first"), F.max("seq").alias("last"))
     like = pairs(asked, held, threshold).withColumnRenamed("new_id", "sign")
     if capacity:
         return in_reach(new, old, like, capacity)
@@ -206,4 +252,4 @@ def learned_rows(analysed: DataFrame) -> DataFrame:
     return analysed.where(m["memory_stored"]).select(F.col("output").alias("text"), m["memory_learnt"]["type"].alias("type"), m["memory_learnt"]["severity"].alias("severity"))
 
 
-__all__ = ["Memory", "in_reach", "learned", "learned_rows", "learnt", "matches", "pairs", "positions", "replay", "sign_of", "signature"]
+__all__ = ["Memory", "common", "elements", "fits", "in_reach", "learned", "learned_rows", "learnt", "matches", "measured", "pairs", "positions", "prefix", "replay", "sign_of", "signature"]

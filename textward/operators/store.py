@@ -17,40 +17,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import CUSTOM
-from .memory import CAPACITY, THRESHOLD, in_reach, numbered, pairs, positions, sign_of, signature
+from .memory import CAPACITY, THRESHOLD, common, elements, fits, in_reach, measured, pairs, positions, prefix, sign_of, signature
 
 ROWS = "seq long, id long, sign string, kind string, severity double"
-SIGNS = "sign string, elements array<string>, part int"
-POSTINGS = "gram string, nth int, sign string, n int, part int"
-ORDER = "gram string, nth int, df long"
+SIGNS = "sign string, elements array<bigint>, part int"
+POSTINGS = "element long, sign string, n int, part int"
+ORDER = "element long, df long"
 FOUND = "id long, matched long, similarity double, kind string, severity double"
 
 
-def with_elements(signs: DataFrame) -> DataFrame:
-    """(sign, elements) of signatures (sign, grams): each trigram with its number among the equal ones."""
-    each = numbered(signs, "grams", ["sign"]).groupBy("sign").agg(F.collect_list(F.concat_ws("\0", "gram", "nth")).alias("elements"))
-    return each.unionByName(signs.where(F.size("grams") == 0).select("sign", F.array().cast("array<string>").alias("elements")))
-
-
-def exploded(signs: DataFrame) -> DataFrame:
-    """(sign, n, gram, nth) of signatures (sign, elements)."""
-    each = signs.select("sign", F.size("elements").alias("n"), F.explode("elements").alias("e"))
-    return each.select("sign", "n", F.substring("e", 1, 3).alias("gram"), F.expr("substring(e, 5)").cast("int").alias("nth"))
-
-
-def frequencies_of(signs: DataFrame) -> DataFrame:
-    return exploded(signs).groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("df"))
-
-
 def prefixes(signs: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """(sign, n, gram, nth): the rarest elements of each signature; two that are like share one of them. Elements that ``order`` doesn't have come first."""
-    rare = Window.partitionBy("sign").orderBy(F.coalesce("df", F.lit(0)), "gram", "nth")
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    ranked = exploded(signs).join(order, ["gram", "nth"], "left").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= keep)
-    return ranked.select("sign", "n", "gram", "nth")
+    """(element, sign, n): the rarest elements of each signature (sign, elements); two that are like share one of them. ``order`` has KNOWN rows at most."""
+    rare = prefix([(r.element, r.df) for r in order.select("element", "df").collect()], threshold)
+    return signs.select(F.explode(rare(F.col("elements"))).alias("element"), "sign", F.size("elements").alias("n"))
 
 
 @dataclass
@@ -115,16 +97,16 @@ class Store:
         given = df.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(text).alias("text"), col(stored).alias("stored"), col(kind).alias("kind"), col(severity).cast("double").alias("severity"))
         rows = positions(given, "order", F.col("stored")).withColumn("seq", F.col("seq") + base).withColumn("grams", signature(F.col("text")))
         rows = rows.withColumn("sign", sign_of(F.col("grams"))).withColumn("kind", F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")))
-        rows = self._kept(rows.select("id", "seq", "stored", "sign", "grams", "kind", "severity"), "batches", version, batch)
+        rows = self._kept(rows.select("id", "seq", "stored", "sign", elements("grams").alias("elements"), "kind", "severity"), "batches", version, batch)
         fresh, old = rows.where("stored"), self._read(spark, "rows", ROWS, version, batches)
         if not batches:
-            self._write(frequencies_of(with_elements(fresh.select("sign", "grams").dropDuplicates(["sign"]))), "order", version, -1)
+            self._write(common(fresh.dropDuplicates(["sign"]).select("elements")), "order", version, -1)
         frequencies = self._read(spark, "order", ORDER, version, [-1])
         # a row a signature of the batch; first to last is the stretch of stored rows that its rows reach
-        signs = rows.groupBy("sign").agg(F.first("grams").alias("grams"), F.greatest(F.lit(0), F.min("seq") - self.capacity).alias("first"), (F.max("seq") - 1).alias("last"), F.min(F.when(F.col("stored"), F.col("seq"))).alias("from"), F.max(F.when(F.col("stored"), F.col("seq"))).alias("to"))
-        signs = self._kept(signs.join(with_elements(signs.select("sign", "grams")), "sign"), "asked", version, batch)
+        signs = rows.groupBy("sign").agg(F.first("elements").alias("elements"), F.greatest(F.lit(0), F.min("seq") - self.capacity).alias("first"), (F.max("seq") - 1).alias("last"), F.min(F.when(F.col("stored"), F.col("seq"))).alias("from"), F.max(F.when(F.col("stored"), F.col("seq"))).alias("to"))
+        signs = self._kept(signs, "asked", version, batch)
         own = signs.where("to IS NOT NULL")
-        within = pairs(signs.select(F.col("sign").alias("id"), "grams", "first", "last"), own.select(F.col("sign").alias("id"), "grams", F.col("from").alias("first"), F.col("to").alias("last")), self.threshold)
+        within = pairs(signs.select(F.col("sign").alias("id"), "elements", "first", "last"), own.select(F.col("sign").alias("id"), "elements", F.col("from").alias("first"), F.col("to").alias("last")), self.threshold)
         like = within.select(F.col("new_id").alias("sign"), "old_id", "similarity")
         if batches:
             like = like.unionByName(self._like(signs.select("sign", "elements"), frequencies, version, batches)).distinct()
@@ -139,23 +121,20 @@ class Store:
         self._write(fresh.select("seq", "id", "sign", "kind", "severity"), "rows", version, batch)
         self._write(new, "signs", version, batch, "part")
         added = prefixes(self._read(spark, "signs", SIGNS, version, [batch]), frequencies, self.threshold)
-        self._write(added.select("gram", "nth", "sign", "n", self._part("gram", "nth")), "postings", version, batch, "part")
+        self._write(added.select("element", "sign", "n", self._part("element")), "postings", version, batch, "part")
         self._mark(spark, version, batch, base + fresh.count())
         return spark.read.schema(FOUND).parquet(f"{self.path}/v={version}/found/batch={batch}")
 
     def _like(self, asked: DataFrame, frequencies: DataFrame, version: int, batches: list[int]) -> DataFrame:
         """(sign, old_id, similarity) of asked and stored signatures: those that meet on an element are measured."""
-        spark, t = asked.sparkSession, F.lit(self.threshold)
+        spark = asked.sparkSession
         mine = prefixes(asked, frequencies, self.threshold)
-        parts = [r.part for r in mine.select(self._part("gram", "nth")).distinct().collect()]
-        theirs = self._read(spark, "postings", POSTINGS, version, batches, parts).select("gram", "nth", F.col("sign").alias("old_id"), F.col("n").alias("m"))
-        fits = (F.col("n") >= t * F.col("m") - 1e-9) & (F.col("m") >= t * F.col("n") - 1e-9)
-        met = mine.join(theirs, ["gram", "nth"]).where(fits).select("sign", "old_id").distinct()
-        met = met.withColumnRenamed("old_id", "o").select("sign", F.col("o").alias("old_id"), self._part("o"))
-        held = self._read(spark, "signs", SIGNS, version, batches, [r.part for r in met.select("part").distinct().collect()]).select(F.col("sign").alias("old_id"), F.col("elements").alias("theirs"))
-        both = met.drop("part").join(asked, "sign").join(held, "old_id")
-        shared = F.size(F.array_intersect("elements", "theirs"))
-        likes = both.select("sign", "old_id", (shared / (F.size("elements") + F.size("theirs") - shared)).alias("similarity")).where(F.col("similarity") >= t)
+        parts = [r.part for r in mine.select(self._part("element")).distinct().collect()]
+        theirs = self._read(spark, "postings", POSTINGS, version, batches, parts).select("element", F.col("sign").alias("old_id"), F.col("n").alias("m"))
+        met = mine.join(theirs, "element").where(fits(F.col("n"), F.col("m"), self.threshold)).select(F.col("sign").alias("new_id"), "old_id").distinct()
+        parts = [r.part for r in met.select(F.col("old_id").alias("o")).select(self._part("o")).distinct().collect()]
+        held = self._read(spark, "signs", SIGNS, version, batches, parts).select(F.col("sign").alias("id"), "elements")
+        likes = measured(met, asked.select(F.col("sign").alias("id"), "elements"), held, self.threshold).withColumnRenamed("new_id", "sign")
         nothing = asked.where(F.size("elements") == 0).select("sign", F.col("sign").alias("old_id"), F.lit(1.0).alias("similarity"))
         return likes.unionByName(nothing)
 
@@ -171,9 +150,9 @@ class Store:
         self._write(rows, "rows", new, at)
         self._write(signs, "signs", new, at, "part")
         signs = self._read(spark, "signs", SIGNS, new, [at])
-        self._write(frequencies_of(signs), "order", new, -1)
+        self._write(common(signs.select("elements")), "order", new, -1)
         order = self._read(spark, "order", ORDER, new, [-1])
-        self._write(prefixes(signs, order, self.threshold).select("gram", "nth", "sign", "n", self._part("gram", "nth")), "postings", new, at, "part")
+        self._write(prefixes(signs, order, self.threshold).select("element", "sign", "n", self._part("element")), "postings", new, at, "part")
         found = spark.read.schema(FOUND).parquet(f"{self.path}/v={version}/found/batch={at}")
         self._write(found, "found", new, at)  # the last batch may be asked for again
         self._mark(spark, new, at, base)
