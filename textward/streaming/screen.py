@@ -96,6 +96,7 @@ STATE = "texts array<string>, kinds array<string>, severities array<double>"
 def remembered(stream: DataFrame, tenant: str = "tenant", order: str = "seq", threshold: float = THRESHOLD, capacity: int = CAPACITY) -> DataFrame:
     """Of rows (tenant, seq, text, stored, kind, severity): the best match among what was stored before each.
 
+    For sessions without RocksDB: a batch reads its keys' whole stores. ``remember.remembered`` reads only what its rows touch.
     ``stored`` says that guards behind the memory found something, ``kind`` and ``severity`` what is
     to be remembered of it.
     """
