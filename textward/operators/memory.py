@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from ..functions.text import UNICODE_SPACE, lowered
 from ..schema import CUSTOM, META, added, metadata, none, threat
@@ -29,6 +29,12 @@ from .guard import Guard
 THRESHOLD, CAPACITY = 0.8, 10_000
 
 
+def plain(text: Column) -> Column:
+    """The trimmed lower-case text that trigrams are taken of; texts too short for any are empty, and so alike."""
+    s = F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
+    return F.when(F.char_length(s) >= 3, s).otherwise("")
+
+
 def signature(text: Column) -> Column:
     """Array of trigrams (with repeats) of the trimmed lower-case text."""
     s = F.regexp_replace(lowered(text), rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
@@ -39,14 +45,15 @@ def signature(text: Column) -> Column:
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def elements(grams: pd.Series) -> pd.Series:
-    """Each trigram with its number among the equal ones, as one long: the three code points side by side, mixed with the number. Null for null."""
-    return grams.map(lambda g: None if g is None else _elements(g))
+def elements(texts: pd.Series) -> pd.Series:
+    """Each trigram of a plain text with its number among the equal ones, as one long."""
+    return texts.map(_elements)
 
 
-def _elements(grams: Sequence[str]) -> np.ndarray:
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, 3)
-    code = np.sort(points[:, 0] << np.uint64(42) | points[:, 1] << np.uint64(21) | points[:, 2])
+def _elements(text: str) -> np.ndarray:
+    """The three code points side by side, mixed with the number; in no order, all different."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.sort(points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:])
     new = np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
     start = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0)) if len(code) else np.zeros(0, np.int64)
     nth = (np.arange(len(code)) - start).astype(np.uint64)
@@ -55,44 +62,67 @@ def _elements(grams: Sequence[str]) -> np.ndarray:
     return (z ^ z >> np.uint64(31)).view(np.int64)
 
 
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of two plain texts: elements that they share over all that either has; 1 for two empty ones."""
+    known: dict[str, np.ndarray] = {}  # of this batch: a text is often in several pairs
+
+    def of(t: str) -> np.ndarray:
+        if t not in known:
+            known[t] = np.sort(_elements(t))
+        return known[t]
+
+    def one(s: str, t: str) -> float:
+        x, y = of(s), of(t)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        both = len(x) + len(y) - shared
+        return shared / both if both else 1.0
+
+    return pd.Series([one(s, t) for s, t in zip(a, b, strict=True)], dtype="float64")
+
+
 #: Elements whose frequencies the order of prefixes knows; the others are rarer and stand before them.
 KNOWN = 1 << 16
 
 
 def common(each: DataFrame, most: int = KNOWN) -> DataFrame:
-    """(element, df) of the ``most`` most frequent of rows (elements), at least twice there: what decides the order of prefixes."""
-    counts = each.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    """(element, df) of the ``most`` most frequent in rows (plain), at least twice there: what decides the order of prefixes."""
+    counts = each.select(F.explode(elements("plain")).alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("df"))
     return counts.where("df > 1").orderBy(F.col("df").desc(), "element").limit(most)
 
 
 def prefix(frequent: Sequence[tuple[int, int]], threshold: float) -> Callable[[Column], Column]:
-    """A column function: of an array of elements the first n - ceil(threshold n) + 1 in the order that is fixed by (element, df) pairs, KNOWN at most.
+    """A column function: of a plain text the first n - ceil(threshold n) + 1 elements in the order that is fixed by (element, df) pairs, KNOWN at most.
 
-    Two arrays of likeness ``threshold`` or more share one of their prefixes, whatever the order; with common elements last few others do.
+    Two texts of likeness ``threshold`` or more share one of their prefixes, whatever the order; with common elements last few others do.
     """
     known = np.array(sorted(frequent), np.int64).reshape(-1, 2)
 
+    def one(text: str) -> np.ndarray:
+        e = _elements(text)
+        at = np.searchsorted(known[:, 0], e)
+        df = np.zeros(len(e), np.int64)
+        inside = at < len(known)
+        hit = known[at[inside], 0] == e[inside]
+        df[np.nonzero(inside)[0][hit]] = known[at[inside][hit], 1]
+        return e[np.lexsort((e, df))[: len(e) - math.ceil(threshold * len(e) - 1e-9) + 1]] if len(e) else e
+
     @F.pandas_udf(ArrayType(LongType()))
-    def first(each: pd.Series) -> pd.Series:
-        def one(e: np.ndarray) -> np.ndarray:
-            e = np.asarray(e, np.int64)
-            at = np.searchsorted(known[:, 0], e)
-            df = np.zeros(len(e), np.int64)
-            inside = at < len(known)
-            hit = known[at[inside], 0] == e[inside]
-            df[np.nonzero(inside)[0][hit]] = known[at[inside][hit], 1]
-            return e[np.lexsort((e, df))[: len(e) - math.ceil(threshold * len(e) - 1e-9) + 1]] if len(e) else e
-
-        return each.map(one)
+    def first(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
 
     return first
 
 
 def measured(met: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(new_id, old_id, similarity) of pairs at or above the threshold; a and b have id, elements."""
-    both = met.join(a.select(F.col("id").alias("new_id"), F.col("elements").alias("x")), "new_id").join(b.select(F.col("id").alias("old_id"), F.col("elements").alias("y")), "old_id")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("new_id", "old_id", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(new_id, old_id, similarity) of pairs at or above the threshold; a and b have id, plain."""
+    both = met.join(a.select(F.col("id").alias("new_id"), F.col("plain").alias("x")), "new_id").join(b.select(F.col("id").alias("old_id"), F.col("plain").alias("y")), "old_id")
+    return both.select("new_id", "old_id", likeness("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def size_of(text: Column) -> Column:
+    """Number of elements of a plain text."""
+    return F.greatest(F.char_length(text) - 2, F.lit(0))
 
 
 def fits(n: Column, m: Column, threshold: float) -> Column:
@@ -103,38 +133,31 @@ def fits(n: Column, m: Column, threshold: float) -> Column:
 def pairs(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(new_id, old_id, similarity) of the pairs at or above the threshold.
 
-    Both frames have id, elements, first, last, a row for each different signature; only those whose ranges overlap are measured.
-    What is shuffled: counts of elements, a fifth of each signature's elements (at 0.8), and whole signatures for the pairs that met.
+    Both frames have id, plain, first, last, a row for each different text; only those whose ranges overlap are measured.
+    What is shuffled: counts of elements, a fifth of each text's elements (at 0.8), and whole texts for the pairs that met.
     The driver gets KNOWN frequencies at most.
     """
-    frequent = [(r.element, r.df) for r in common(new.select("elements").unionByName(old.select("elements"))).collect()]
+    frequent = [(r.element, r.df) for r in common(new.select("plain").unionByName(old.select("plain"))).collect()]
     of = prefix(frequent, threshold)
-    each = lambda df: df.select("id", F.size("elements").alias("n"), "first", "last", F.explode(of(F.col("elements"))).alias("e"))
+    each = lambda df: df.select("id", size_of(F.col("plain")).alias("n"), "first", "last", F.explode(of(F.col("plain"))).alias("e"))
     a, b = each(new).alias("a"), each(old).alias("b")
     meets = (F.col("a.e") == F.col("b.e")) & fits(F.col("a.n"), F.col("b.n"), threshold) & (F.col("b.first") <= F.col("a.last")) & (F.col("b.last") >= F.col("a.first"))
     met = a.join(b, meets).select(F.col("a.id").alias("new_id"), F.col("b.id").alias("old_id")).distinct()
-    # signatures without trigrams are equal: at most one row on each side
-    empty = F.size("elements") == 0
-    nothing = new.where(empty).select(F.col("id").alias("new_id"), F.lit(0).alias("k")).join(old.where(empty).select(F.col("id").alias("old_id"), F.lit(0).alias("k")), "k")
+    # empty texts are equal: at most one row on each side
+    nothing = new.where("plain = ''").select(F.col("id").alias("new_id"), "plain").join(old.where("plain = ''").select(F.col("id").alias("old_id"), "plain"), "plain")
     return measured(met, new, old, threshold).unionByName(nothing.select("new_id", "old_id", F.lit(1.0).alias("similarity")))
 
 
-def sign_of(grams: Column) -> Column:
-    """A digest of a signature: sorted, since likeness doesn't depend on order; a trigram and its separator always take four characters."""
-    return F.md5(F.concat_ws("\0", F.sort_array(grams)))
-
-
 def matches(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD, capacity: int | None = None) -> DataFrame:
     """(id, matched, similarity): for each new row the seq of its most similar old row, of equals the one stored first.
 
-    ``old`` has seq, grams; ``new`` has id, grams and, with a capacity, seq: only the ``capacity`` old rows right before it count.
-    Copies are one signature to ``pairs``, so n copies of an attack make n rows and no pairs of each other.
+    ``old`` has seq, plain; ``new`` has id, plain and, with a capacity, seq: only the ``capacity`` old rows right before it count.
+    Copies are one text to ``pairs``, so n copies of an attack make n rows and no pairs of each other.
     """
-    signed = {"sign": sign_of(F.col("grams")), "elements": elements("grams")}  # the trigrams themselves go no further
-    new, old = new.withColumns(signed).drop("grams"), old.withColumns(signed).drop("grams")
+    new, old = new.withColumn("sign", F.md5("plain")), old.withColumn("sign", F.md5("plain"))
     reach = (F.greatest(F.lit(0), F.col("seq") - capacity), F.col("seq") - 1) if capacity else (F.lit(-(2**62)), F.lit(2**62))
-    asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("elements").alias("elements"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    held = old.groupBy(F.col("sign").alias("id")).agg(F.first("elements").alias("elements"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    asked = new.withColumns({"lo": reach[0], "hi": reach[1]}).groupBy(F.col("sign").alias("id")).agg(F.first("plain").alias("plain"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    held = old.groupBy(F.col("sign").alias("id")).agg(F.first("plain").alias("plain"), F.min("seq").alias("first"), F.max("seq").alias("last"))
     like = pairs(asked, held, threshold).withColumnRenamed("new_id", "sign")
     if capacity:
         return in_reach(new, old, like, capacity)
@@ -198,8 +221,8 @@ def positions(df: DataFrame, order: str, stored: Column, parts: int = PARTS) ->
 def replay(df: DataFrame, key: str, order: str, text: str, stored: Column, kind: Column, severity: Column, threshold: float = THRESHOLD, capacity: int = CAPACITY) -> DataFrame:
     """Rows of df by arrival: key, matched key, similarity, and the stored type and severity."""
     rows = positions(df.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(text).alias("text"), stored.alias("stored"), kind.alias("kind"), severity.alias("severity")), "order", F.col("stored"))
-    rows = rows.withColumn("grams", signature(F.col("text")))
-    found = matches(rows.select("id", "grams", "seq"), rows.where("stored").select("seq", "grams"), threshold, capacity)
+    rows = rows.withColumn("plain", plain(F.col("text")))
+    found = matches(rows.select("id", "plain", "seq"), rows.where("stored").select("seq", "plain"), threshold, capacity)
     stored_rows = rows.where("stored").select(F.col("seq").alias("matched"), F.col("id").alias("old_id"), F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")).alias("kind"), "severity")
     return found.join(stored_rows, "matched").select(F.col("id").alias(key), F.col("old_id").alias("matched"), "similarity", "kind", "severity")
 
@@ -223,9 +246,9 @@ class Memory(Guard):
         threshold = self.threshold or THRESHOLD
         if self.store is not None:
             old = self.store.orderBy(F.col("seq").desc()).limit(self.capacity or CAPACITY)
-            asked = df.where(~F.col("halted")).select(F.col(self.key).alias("id"), signature(F.col("input")).alias("grams"))
+            asked = df.where(~F.col("halted")).select(F.col(self.key).alias("id"), plain(F.col("input")).alias("plain"))
             known = old.select(F.col("seq").alias("matched"), "type", "severity")
-            hit = matches(asked, old.select("seq", signature(F.col("text")).alias("grams")), threshold).join(known, "matched")
+            hit = matches(asked, old.select("seq", plain(F.col("text")).alias("plain")), threshold).join(known, "matched")
             hit = hit.select(F.col("id").alias("_id"), "similarity", F.col("type").alias("_type"), F.col("severity").alias("_severity"))
             df = df.join(hit, F.col(self.key) == F.col("_id"), "left")
             kind = F.when(F.coalesce("_type", F.lit("")) == "", CUSTOM).otherwise(F.col("_type"))
@@ -252,4 +275,4 @@ def learned_rows(analysed: DataFrame) -> DataFrame:
     return analysed.where(m["memory_stored"]).select(F.col("output").alias("text"), m["memory_learnt"]["type"].alias("type"), m["memory_learnt"]["severity"].alias("severity"))
 
 
-__all__ = ["Memory", "common", "elements", "fits", "in_reach", "learned", "learned_rows", "learnt", "matches", "measured", "pairs", "positions", "prefix", "replay", "sign_of", "signature"]
+__all__ = ["Memory", "common", "elements", "fits", "in_reach", "learned", "learned_rows", "learnt", "matches", "measured", "pairs", "plain", "positions", "prefix", "replay", "signature", "size_of"]

@@ -20,19 +20,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import CUSTOM
-from .memory import CAPACITY, THRESHOLD, common, elements, fits, in_reach, measured, pairs, positions, prefix, sign_of, signature
+from .memory import CAPACITY, THRESHOLD, common, fits, in_reach, measured, pairs, plain, positions, prefix, size_of
 
 ROWS = "seq long, id long, sign string, kind string, severity double"
-SIGNS = "sign string, elements array<bigint>, part int"
+SIGNS = "sign string, plain string, part int"
 POSTINGS = "element long, sign string, n int, part int"
 ORDER = "element long, df long"
 FOUND = "id long, matched long, similarity double, kind string, severity double"
 
 
 def prefixes(signs: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """(element, sign, n): the rarest elements of each signature (sign, elements); two that are like share one of them. ``order`` has KNOWN rows at most."""
+    """(element, sign, n): the rarest elements of each signature (sign, plain); two that are like share one of them. ``order`` has KNOWN rows at most."""
     rare = prefix([(r.element, r.df) for r in order.select("element", "df").collect()], threshold)
-    return signs.select(F.explode(rare(F.col("elements"))).alias("element"), "sign", F.size("elements").alias("n"))
+    return signs.select(F.explode(rare(F.col("plain"))).alias("element"), "sign", size_of(F.col("plain")).alias("n"))
 
 
 @dataclass
@@ -95,27 +95,27 @@ class Store:
             raise ValueError(f"batch {batch} comes after batch {batches[-1]}")
         col = lambda c: F.col(c) if isinstance(c, str) else c
         given = df.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(text).alias("text"), col(stored).alias("stored"), col(kind).alias("kind"), col(severity).cast("double").alias("severity"))
-        rows = positions(given, "order", F.col("stored")).withColumn("seq", F.col("seq") + base).withColumn("grams", signature(F.col("text")))
-        rows = rows.withColumn("sign", sign_of(F.col("grams"))).withColumn("kind", F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")))
-        rows = self._kept(rows.select("id", "seq", "stored", "sign", elements("grams").alias("elements"), "kind", "severity"), "batches", version, batch)
+        rows = positions(given, "order", F.col("stored")).withColumn("seq", F.col("seq") + base).withColumn("plain", plain(F.col("text")))
+        rows = rows.withColumn("sign", F.md5("plain")).withColumn("kind", F.when(F.coalesce("kind", F.lit("")) == "", CUSTOM).otherwise(F.col("kind")))
+        rows = self._kept(rows.select("id", "seq", "stored", "sign", "plain", "kind", "severity"), "batches", version, batch)
         fresh, old = rows.where("stored"), self._read(spark, "rows", ROWS, version, batches)
         if not batches:
-            self._write(common(fresh.dropDuplicates(["sign"]).select("elements")), "order", version, -1)
+            self._write(common(fresh.dropDuplicates(["sign"]).select("plain")), "order", version, -1)
         frequencies = self._read(spark, "order", ORDER, version, [-1])
         # a row a signature of the batch; first to last is the stretch of stored rows that its rows reach
-        signs = rows.groupBy("sign").agg(F.first("elements").alias("elements"), F.greatest(F.lit(0), F.min("seq") - self.capacity).alias("first"), (F.max("seq") - 1).alias("last"), F.min(F.when(F.col("stored"), F.col("seq"))).alias("from"), F.max(F.when(F.col("stored"), F.col("seq"))).alias("to"))
+        signs = rows.groupBy("sign").agg(F.first("plain").alias("plain"), F.greatest(F.lit(0), F.min("seq") - self.capacity).alias("first"), (F.max("seq") - 1).alias("last"), F.min(F.when(F.col("stored"), F.col("seq"))).alias("from"), F.max(F.when(F.col("stored"), F.col("seq"))).alias("to"))
         signs = self._kept(signs, "asked", version, batch)
         own = signs.where("to IS NOT NULL")
-        within = pairs(signs.select(F.col("sign").alias("id"), "elements", "first", "last"), own.select(F.col("sign").alias("id"), "elements", F.col("from").alias("first"), F.col("to").alias("last")), self.threshold)
+        within = pairs(signs.select(F.col("sign").alias("id"), "plain", "first", "last"), own.select(F.col("sign").alias("id"), "plain", F.col("from").alias("first"), F.col("to").alias("last")), self.threshold)
         like = within.select(F.col("new_id").alias("sign"), "old_id", "similarity")
         if batches:
-            like = like.unionByName(self._like(signs.select("sign", "elements"), frequencies, version, batches)).distinct()
+            like = like.unionByName(self._like(signs.select("sign", "plain"), frequencies, version, batches)).distinct()
         like = self._kept(like, "like", version, batch)
         known = old.where(F.col("seq") >= base - self.capacity).select("seq", "id", "sign", "kind", "severity").unionByName(fresh.select("seq", "id", "sign", "kind", "severity"))
         found = in_reach(rows.select("id", "sign", "seq"), known.select("sign", "seq"), like, self.capacity)
         told = found.join(known.select(F.col("seq").alias("matched"), F.col("id").alias("old"), "kind", "severity"), "matched")
         self._write(told.select("id", F.col("old").alias("matched"), "similarity", "kind", "severity"), "found", version, batch)
-        here = own.select("sign", "elements", self._part("sign"))
+        here = own.select("sign", "plain", self._part("sign"))
         parts = [r.part for r in here.select("part").distinct().collect()]  # self.parts numbers at most
         new = here.join(self._read(spark, "signs", SIGNS, version, batches, parts).select("sign"), "sign", "left_anti")
         self._write(fresh.select("seq", "id", "sign", "kind", "severity"), "rows", version, batch)
@@ -133,9 +133,9 @@ class Store:
         theirs = self._read(spark, "postings", POSTINGS, version, batches, parts).select("element", F.col("sign").alias("old_id"), F.col("n").alias("m"))
         met = mine.join(theirs, "element").where(fits(F.col("n"), F.col("m"), self.threshold)).select(F.col("sign").alias("new_id"), "old_id").distinct()
         parts = [r.part for r in met.select(F.col("old_id").alias("o")).select(self._part("o")).distinct().collect()]
-        held = self._read(spark, "signs", SIGNS, version, batches, parts).select(F.col("sign").alias("id"), "elements")
-        likes = measured(met, asked.select(F.col("sign").alias("id"), "elements"), held, self.threshold).withColumnRenamed("new_id", "sign")
-        nothing = asked.where(F.size("elements") == 0).select("sign", F.col("sign").alias("old_id"), F.lit(1.0).alias("similarity"))
+        held = self._read(spark, "signs", SIGNS, version, batches, parts).select(F.col("sign").alias("id"), "plain")
+        likes = measured(met, asked.select(F.col("sign").alias("id"), "plain"), held, self.threshold).withColumnRenamed("new_id", "sign")
+        nothing = asked.where(F.col("plain") == "").select("sign", F.col("sign").alias("old_id"), F.lit(1.0).alias("similarity"))
         return likes.unionByName(nothing)
 
     def compact(self, spark: SparkSession) -> None:
@@ -145,12 +145,12 @@ class Store:
         version, batches, base = marks[-1].version, [m.batch for m in marks], marks[-1].stored
         rows = self._read(spark, "rows", ROWS, version, batches).where(F.col("seq") >= base - self.capacity)
         kept = rows.select("sign").distinct()
-        signs = self._read(spark, "signs", SIGNS, version, batches).dropDuplicates(["sign"]).join(kept, "sign", "left_semi").select("sign", "elements", "part")
+        signs = self._read(spark, "signs", SIGNS, version, batches).dropDuplicates(["sign"]).join(kept, "sign", "left_semi").select("sign", "plain", "part")
         new, at = version + 1, batches[-1]
         self._write(rows, "rows", new, at)
         self._write(signs, "signs", new, at, "part")
         signs = self._read(spark, "signs", SIGNS, new, [at])
-        self._write(common(signs.select("elements")), "order", new, -1)
+        self._write(common(signs.select("plain")), "order", new, -1)
         order = self._read(spark, "order", ORDER, new, [-1])
         self._write(prefixes(signs, order, self.threshold).select("element", "sign", "n", self._part("element")), "postings", new, at, "part")
         found = spark.read.schema(FOUND).parquet(f"{self.path}/v={version}/found/batch={at}")
