@@ -418,3 +418,15 @@ def test_stream_memory_expires_by_timer(spark, tmp_path):
     finally:
         spark.conf.unset(ROCKS[0])
     assert {r.seq: r.matched for r in spark.sql("SELECT seq, matched FROM expiring").collect()} == {1: False, 2: False}
+
+
+def test_signature_hash_of_known_texts(spark):
+    from textward.functions.text import fnv1a
+
+    known = {"": 0xCBF29CE484222325, "a": 0xAF63DC4C8601EC8C, "foobar": 0x85944171F73967E8}
+    plain = lambda b: __import__("functools").reduce(lambda h, x: (h ^ x) * 0x100000001B3 % 2**64, b, 0xCBF29CE484222325)
+    texts = [*known, "é日本🙂", "x" * 3000, "\0\xff"]
+    got = {r.t: r.h % 2**64 for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv1a(F.col("t")).alias("h")).collect()}
+    assert all(got[t] == h for t, h in known.items()) and all(got[t] == plain(t.encode()) for t in texts)
+    h, n = spark.createDataFrame([("  FooBar\n",), (None,)], "t string").select(*memory.hashed(F.col("t"))).collect()[0]
+    assert (h % 2**64, n) == (known["foobar"], 6)

@@ -99,3 +99,24 @@ def byte_clip(s: Column, most: int) -> Column:
     raw = F.encode(s, "UTF-8")
     cut = [F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(4)]
     return F.when(F.octet_length(s) <= most, s).otherwise(F.coalesce(*cut, F.lit("")))
+
+
+# Start and multiplier of the 64-bit FNV-1a hash, the multiplier without its highest bit (2^40).
+FNV_START, FNV_REST = 0xCBF29CE484222325, 0x1B3
+
+
+def fnv1a(s: Column) -> Column:
+    """64-bit FNV-1a of the UTF-8 bytes, as a signed long. In two halves of 32 bits, none of whose products overflows a long, also under ANSI."""
+    low = F.lit(0xFFFFFFFF)
+    # the bytes go along with the halves: a lambda that looked them up outside would make them anew for each place
+    half = lambda lo, hi, data: F.struct(lo.alias("lo"), hi.alias("hi"), data.alias("data"))
+
+    def step(h: Column, at: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(F.conv(F.hex(F.substring(h["data"], at, F.lit(1))), 16, 10).cast("long"))
+        part = lo * F.lit(FNV_REST)
+        # times 2^40 is the low half, eight bits up in the high half
+        return half(part.bitwiseAND(low), (h["hi"] * F.lit(FNV_REST) + F.shiftright(part, 32) + F.shiftleft(lo, 8)).bitwiseAND(low), h["data"])
+
+    start = half(F.lit(FNV_START & 0xFFFFFFFF).cast("long"), F.lit(FNV_START >> 32).cast("long"), F.encode(s, "UTF-8"))
+    places = F.when(F.octet_length(s) > 0, F.sequence(F.lit(1), F.octet_length(s))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))

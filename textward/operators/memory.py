@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from ..functions.text import UNICODE_SPACE, lowered
+from ..functions.text import UNICODE_SPACE, fnv1a, lowered
 from ..schema import CUSTOM, META, added, metadata, none, threat
 from .guard import Guard
 
@@ -35,6 +35,12 @@ def plain(text: Column) -> Column:
     return F.when(F.char_length(s) >= 3, s).otherwise("")
 
 
+def hashed(text: Column) -> tuple[Column, Column]:
+    """Of the trimmed lower-case text the 64-bit FNV-1a hash, as a signed long, and its number of code points."""
+    s = F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
+    return fnv1a(s), F.char_length(s)
+
+
 def signature(text: Column) -> Column:
     """Array of trigrams (with repeats) of the trimmed lower-case text."""
     s = F.regexp_replace(lowered(text), rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
@@ -275,4 +281,4 @@ def learned_rows(analysed: DataFrame) -> DataFrame:
     return analysed.where(m["memory_stored"]).select(F.col("output").alias("text"), m["memory_learnt"]["type"].alias("type"), m["memory_learnt"]["severity"].alias("severity"))
 
 
-__all__ = ["Memory", "common", "elements", "fits", "in_reach", "learned", "learned_rows", "learnt", "matches", "measured", "pairs", "plain", "positions", "prefix", "replay", "signature", "size_of"]
+__all__ = ["Memory", "common", "elements", "fits", "hashed", "in_reach", "learned", "learned_rows", "learnt", "matches", "measured", "pairs", "plain", "positions", "prefix", "replay", "signature", "size_of"]

@@ -402,6 +402,17 @@ def signature_sizes(spark, sf_dir):
     return s.select("id", F.size("g").cast("long").alias("trigrams"), F.size(F.array_distinct("g")).cast("long").alias("kinds"))
 
 
+@query(
+    _SIGNED + ", x AS (SELECT id, length(s) AS n, hex(encode(s)) AS x FROM s), b AS (SELECT id, n, list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || substr(x, (2 * i - 1)::BIGINT, 2))::HUGEINT) AS b FROM x), "
+    "h AS (SELECT id, n, list_reduce(list_concat([14695981039346656037::HUGEINT], b), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) AS h FROM b) "
+    "SELECT id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash, n::INT AS length FROM h"
+)
+def signature_hashes(spark, sf_dir):
+    s = _signed(spark, sf_dir)
+    hash_, length = memory.hashed(F.col("t"))
+    return s.select("id", hash_.alias("hash"), length.alias("length"))
+
+
 _REPLAY = (
     "rows AS (SELECT id, stored, count(*) FILTER (stored) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - stored::INT AS seq FROM s), "
     "p AS (SELECT a.id AS id, b.id AS matched, sum(least(a.n, b.n)) AS shared FROM g a JOIN g b USING (gram) JOIN rows ra ON ra.id = a.id JOIN rows rb ON rb.id = b.id "
