@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from ..schema import constant
+
 with warnings.catch_warnings():
     warnings.simplefilter("ignore", DeprecationWarning)
     from re import _constants as sre, _parser as parser
@@ -118,7 +120,7 @@ def first_matches(s: Column, numbers: Column, patterns: list[str]) -> Column:
 
     The pattern is looked up by its number, so that the plan doesn't grow with the patterns.
     """
-    java = F.array(*[F.lit(to_java(p)) for p in patterns])
+    java = constant([to_java(p) for p in patterns])
     of = lambda k: F.element_at(java, k + 1)
     found = F.transform(F.filter(numbers, lambda k: F.rlike(s, of(k))), lambda k: F.struct(k.alias("k"), F.regexp_substr(s, of(k)).alias("hit"), F.octet_length(F.split(s, of(k), 2)[0]).alias("start")))
     return F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["hit"].alias("hit"), x["start"].alias("start"), (x["start"] + F.octet_length(x["hit"])).alias("end")))

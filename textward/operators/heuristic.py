@@ -10,7 +10,7 @@ from ..functions import literals, regex, text
 from ..functions.fuzzy import fuzzy_keywords
 from ..rules.contexts import RULES
 from ..rules.patterns import PATTERNS
-from ..schema import CUSTOM, EA, IO, UNSAFE, added, metadata, none, threat
+from ..schema import CUSTOM, EA, IO, THREAT, UNSAFE, added, constant, metadata, none, threat
 from .guard import Guard
 
 # Severity floors of the presets.
@@ -44,7 +44,7 @@ def bank(s: Column, gates: Column, patterns: list[Pattern], name: str = "heurist
     """A threat for the first match of each pattern; ``gates`` are the numbers of those that may match (``literals.gated``)."""
     if not patterns:
         return none()
-    about = F.array(*[F.struct(F.lit(p.kind).alias("kind"), F.lit(float(p.severity)).alias("severity"), F.lit(p.message).alias("message")) for p in patterns])
+    about = constant([{"kind": p.kind, "severity": float(p.severity), "message": p.message} for p in patterns])
 
     def one(x: Column) -> Column:
         p = F.element_at(about, x["k"] + 1)
@@ -91,7 +91,7 @@ def spaced_letters(s: Column) -> Column:
 
 def contexts(form: Column) -> Column:
     """Contextual rules over the fuzzy form. Gates count: without one, the conditions don't apply."""
-    each = F.array(*[threat(kind, severity, message, "heuristic") for kind, severity, message, _, _ in RULES])
+    each = constant([dict(zip(THREAT.names, (kind, float(severity), message, "heuristic", "", 0, 0), strict=True)) for kind, severity, message, _, _ in RULES])
     return F.transform(literals.context_numbers(form), lambda k: F.element_at(each, k + 1))
 
 

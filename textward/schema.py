@@ -30,11 +30,34 @@ UNSAFE = 0.5
 META = "meta_"
 
 
+def _constant(value: object) -> str:
+    """SQL text of a constant. Strings with signs that parsers read are written as their bytes."""
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {_constant(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(_constant, value)) + ")"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, str):
+        return f"cast(X'{value.encode('utf-8', 'surrogatepass').hex()}' as string)" if set(value) & set("\\'$") else f"'{value}'"
+    return str(value)
+
+
+def constant(value: object) -> Column:
+    """A column of one constant: text, number, list of constants, or dict, a struct.
+
+    Tables of constants are parsed at once from one text: made sign by sign, a column each, they took longer than small queries run.
+    """
+    return F.expr(_constant(value))
+
+
 def threat(kind: Column | str, severity: Column | float, message: Column | str, guard: str, match: Column | str = "", start: Column | int = 0, end: Column | int = 0) -> Column:
     """One threat; start and end are byte offsets. Plain strings and numbers are literals."""
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = (lit(kind), lit(severity).cast("double"), lit(message), F.lit(guard), lit(match), lit(start).cast("int"), lit(end).cast("int"))
-    return F.struct(*[v.alias(f.name) for v, f in zip(values, THREAT.fields, strict=True)])
+    values = (kind, severity if isinstance(severity, Column) else float(severity), message, guard, match, start, end)
+    if not any(isinstance(v, Column) for v in values):
+        return constant(dict(zip(THREAT.names, values, strict=True)))
+    typed = [v.cast(f.dataType) if isinstance(v, Column) and not isinstance(f.dataType, StringType) else v if isinstance(v, Column) else F.lit(v) for v, f in zip(values, THREAT.fields, strict=True)]
+    return F.struct(*[v.alias(f.name) for v, f in zip(typed, THREAT.fields, strict=True)])
 
 
 def none() -> Column:
