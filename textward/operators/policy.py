@@ -1,14 +1,19 @@
-"""Task policies: which tasks a text asks for, and which of them the application forbids."""
+"""Task policies: which tasks a text asks for, and which of them the application forbids.
+
+A ``Policy`` is one for all rows. With ``TablePolicy`` each row names its own, and policies are a table (policy, task, allowed,
+severity): what a policy forbids are the tasks of its rows that disallow, less those of its rows that allow. The table may be
+of any size; it comes down to one row a policy, with at most the known tasks, and Spark sends that round only if it is small.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..rules.policies import POLICIES, TASK_RULES
-from ..schema import added, compact, metadata, threat
+from ..rules.policies import POLICIES, TASK_RULES, TASKS
+from ..schema import added, compact, metadata, none, threat
 from .guard import Guard
 
 
@@ -61,3 +66,51 @@ class Policy(Guard):
         any_found = F.size("_found") > 0
         df = metadata(added(df, F.col("_found")), {"policy_detected": F.when(any_found, True), "policy_name": F.when(any_found, F.lit(name))})
         return df.drop("_form", "_raw", "_found")
+
+
+RULES = "policy string, task string, allowed boolean, severity double"
+
+
+def built_in(spark: SparkSession) -> DataFrame:
+    """The built-in policies as a table."""
+    rows = [(name, task, k == 1, None) for name, lists in POLICIES.items() for k, each in enumerate(lists) for task in each]
+    return spark.createDataFrame(rows, RULES)
+
+
+def forbidden(policies: DataFrame) -> DataFrame:
+    """(policy, tasks, severity): a row for each policy that forbids a known task. The severity is the greatest that its rows name, else null."""
+    known = policies.where(F.col("policy").isNotNull() & F.col("task").isin(TASKS)).select("policy", "task", "allowed", "severity")
+    allowed = known.where("allowed").select("policy", "task")
+    left = known.where("not coalesce(allowed, false)").join(allowed, ["policy", "task"], "left_anti")
+    return left.groupBy("policy").agg(F.sort_array(F.collect_set("task")).alias("tasks"), F.max("severity").alias("severity"))
+
+
+@dataclass
+class TablePolicy(Guard):
+    """``key`` names the column with each row's policy; ``policies`` is a table as ``RULES`` says.
+
+    Defined results: a null or unknown policy forbids nothing; a task both allowed and disallowed is allowed; a null ``allowed``
+    disallows; repeated rows count once; tasks that no rule knows are ignored; a null or zero severity is the guard's; an empty
+    table forbids nothing. It also runs on streams, with a table that is not one.
+    """
+
+    policies: DataFrame
+    key: str = "policy"
+    severity: float = 0.75
+    name = "policy"
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        names = df.columns
+        own = [f"_{self.key}_{c}" for c in ("policy", "tasks", "severity", "form", "raw", "asked")]  # none of them is the key
+        name, banned, severity, form, raw, asked = (F.col(f"`{c}`") for c in own)
+        table = forbidden(self.policies)
+        df = df.join(table.select(*[F.col(c).alias(o) for c, o in zip(table.columns, own, strict=False)]), F.col(f"`{self.key}`") == name, "left")
+        df = df.withColumns({own[3]: text.policy_form(F.col("input")), own[4]: text.lowered(F.col("input"))})
+        all_asked = F.array_compact(F.array(*tasks(form, raw)))
+        df = df.withColumn(own[5], F.when(banned.isNotNull(), F.filter(all_asked, lambda t: F.array_contains(banned, t["task"]))))
+        level = F.when(severity > 0, severity).otherwise(self.severity or 0.75)
+        message = F.concat(F.lit("task is disallowed by "), name, F.lit(" policy: "))
+        found = F.transform(asked, lambda t: threat(t["type"], level, F.concat(message, t["task"]), self.name, t["phrase"]))
+        any_found = F.size(asked) > 0
+        df = metadata(added(df, F.coalesce(found, none())), {"policy_detected": F.when(any_found, True), "policy_name": F.when(any_found, name)})
+        return df.select(*[F.col(f"`{c}`") for c in [*names, *(c for c in df.columns if c not in names and not c.startswith("_"))]])

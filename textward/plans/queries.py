@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import literals, regex, text, vectors
 from ..functions.fuzzy import KEYWORDS, allowed, fuzzy_keywords
-from ..operators import heuristic, judge, marking, memory, output, redteam, sanitize
+from ..operators import heuristic, judge, marking, memory, output, policy, redteam, sanitize
 from ..operators.policy import tasks
 from ..rules.characters import CONFUSABLES, INVISIBLE, LEET, SUSPICIOUS
 from ..rules.contexts import RULES
@@ -381,6 +381,32 @@ for _name in POLICIES:
     query(_policy_sql(_name))(_policy(_name))
 
 
+#: Each row's policy is its language's, or its source's where there is no such language.
+_BY_LANG = {"en": "rag", "fr": "support", "de": "coding", "es": "translation"}
+_POLICY_OF = "CASE lang " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _BY_LANG.items()) + " ELSE source END"
+_TASK_TESTS = " UNION ALL ".join(
+    f"SELECT doc_id, policy, {k} AS k, {q(task)} AS task, {q(phrase)} AS phrase FROM f WHERE " + " AND ".join([*[f"contains(f, {q(p)})" for p in parts], *[f"contains(lower(t), {q(p)})" for p in raw]])
+    for k, (task, _, phrase, parts, raw) in enumerate(TASK_RULES)
+)
+_RULE_ROWS = ", ".join(f"({q(n)}, {q(t)}, {str(k == 1).lower()})" for n, lists in POLICIES.items() for k, each in enumerate(lists) for t in each)
+
+
+@query(
+    f"WITH s AS (SELECT s.*, d.policy FROM ({_SEEDED}) s JOIN (SELECT doc_id, {_POLICY_OF} AS policy FROM documents) d USING (doc_id)), f AS (SELECT doc_id, policy, t, {_POLICY_FORM} AS f FROM s), a AS ({_TASK_TESTS}), "
+    f"p AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS p(policy, task, allowed)), banned AS (SELECT DISTINCT policy, task FROM p WHERE NOT allowed AND (policy, task) NOT IN (SELECT (policy, task) FROM p WHERE allowed)), "
+    "x AS (SELECT * FROM a JOIN banned USING (policy, task) QUALIFY row_number() OVER (PARTITION BY doc_id, task ORDER BY k) = 1) "
+    "SELECT doc_id, policy, 'task is disallowed by ' || policy || ' policy: ' || task AS message, phrase FROM x"
+)
+def policy_by_row(spark, sf_dir):
+    """Threats of texts whose rows name their policy."""
+    from .pipeline import Pipeline
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = d.select("doc_id", F.expr(_POLICY_OF).alias("policy"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _phrase(F.col("doc_id"))).alias("t"))
+    found = Pipeline([policy.TablePolicy(policy.built_in(spark))]).analyze(d, "t").select("doc_id", "policy", F.explode("threats").alias("x"))
+    return found.select("doc_id", "policy", F.col("x.message").alias("message"), F.col("x.match").alias("phrase"))
+
+
 # --- memory ---
 
 _SIGNED = (
