@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textward.llm import audit, middles, nearest
+from textward.llm import audit, extraction, middles, nearest
 
 DOCS = "doc_id long, text string, source string, output_ string, `a.b` int"
 
@@ -193,3 +193,33 @@ def test_parts_are_balanced_and_keep_neighbours_together():
     part = nearest.balanced_parts(near, 4)
     assert np.bincount(part, minlength=4).max() <= int(np.ceil(400 / 4 * 1.05))
     assert (part[np.repeat(np.arange(400), 5)] == part[near.ravel()]).mean() > 0.6
+
+
+STORY = " ".join(f"The {w} stood by the old stone wall, and nobody knew why it had come." for w in "dog cat cow hen fox owl".split())
+
+
+def read(html):
+    return extraction.taken(extraction.parse(html), None)
+
+
+def test_extraction_keeps_what_stands_beside_the_body():
+    for before, after in (("<h1>Title</h1>", ""), ("<p>Lead</p>", ""), ("", "<div class=more><p>The end</p></div>"), ("<div><h2>Title</h2><p>Lead</p></div>", "<blockquote>Said</blockquote><ul><li>one<li>two</ul>")):
+        got = read(f"<nav>Menu</nav><div id=a>{before}<div class=body>{STORY} {STORY}</div>{after}</div><footer>Foot</footer>").split("\n")
+        assert f"{STORY} {STORY}" in got and "Menu" not in got and "Foot" not in got
+        assert all(x in got for x in ("Title", "Lead", "The end", "Said", "one", "two") if f">{x}" in before + after)
+    assert read(f"<body><nav>Menu</nav><div><a href=x>{STORY}</a></div></body>") == STORY  # all of the text is in links
+    assert read(f"<div><div class=body>{STORY}</div><div><a href=x>More to read</a></div></div>") == STORY
+
+
+def test_extraction_reads_names_in_parts():
+    for name in "post-comments__list user-comment-list reader-responses ad-300x250 advert2 AdBox cookieBanner outbrain comment-1234 ad_slot_2".split():
+        assert read(f'<div><div class=body><p>{STORY}</p></div><div class="{name}"><p>Noise</p></div></div>') == STORY, name
+    for name in "ad-hoc adHoc no-sidebar search-result col-md-8 post-1 comment-policy-essay overflow-hidden h2 300x250 iPad lg:hidden".split():
+        assert read(f'<article><p>{STORY}</p><div class="{name}"><p>Kept</p></div></article>').endswith("\nKept"), name
+
+
+def test_extraction_leaves_out_at_any_depth():
+    for depth in (3, extraction.DEPTH - 3, extraction.DEPTH, 4 * extraction.DEPTH):
+        inner = "<p>one</p><div class=comments><div>Noise</div><section>Noise<nav>Noise</nav></section><p>Noise</p></div><p>two</p><nav><div>Noise</div></nav><p>three</p>"
+        got = read(f"<article><p>{STORY}</p>{'<div>' * depth}{inner}{'</div>' * depth}<p>end</p></article>").split("\n")
+        assert " ".join(got[1:]) == "one two three end", depth

@@ -5,15 +5,19 @@ path of the best one: the chain of tags and classes from the root, digits genera
 the votes of each host, one a page; then every page is read again and its text taken from the elements on its
 host's winning path, or from its own best container where it has none.
 
+Where no article or main element marks it, the best container grows to the parents that hold more of the article beside it: headings, paragraphs, lists,
+tables, quotations, or a quarter of text more. Text in links counts only on pages that have no other.
+
 Left out everywhere: scripts, styles and other raw or control elements, menus, headers, footers,
 sidebars, forms, and elements whose class, id or role names an advert, notice, menu, sidebar, share
 bar or reader comments. Compound names count by their last part, or by their first if the others only say where or what
-kind of box (``ad-slot``, not ``ad-hoc``, ``no-sidebar`` or ``search-result``). A form, or an element
+kind of box (``ad-slot``, not ``ad-hoc``, ``no-sidebar`` or ``search-result``); capitals within a name and double marks part it too, and
+numbers and sizes don't count (``AdBox``, ``ad-300x250``, ``post-comments__list``). A form, or an element
 that is named so, but holds more than half of the page's text is kept, unless it is hidden or named for comments, adverts or
 consent. Of a header in an article the headings are kept. Blocks are joined by a newline; white space within a block is one space.
 
 Tags are read as browsers do: values without quotes may hold quotes, and a tag, quote or comment that is never closed ends
-with the page. Reading is linear in the page; what is nested deeper than ``DEPTH`` counts as part of the element there.
+with the page. Reading is linear in the page. What is nested deeper than ``DEPTH`` counts as part of the element there, but what is left out at any size is left out at any depth.
 
 Defined results: null or empty html gives an empty text; a null url counts as the host ""; unclosed
 and stray tags are repaired in the usual way; very long pages are read whole; of paths with as many votes the one with more
@@ -48,19 +52,22 @@ ENDS = {
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " sidebar side-bar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments commentlist respond disqus replies"
-    " share sharing social related recommended newsletter subscribe signup login search toolbar skip-link widget complementary contentinfo search-form hidden".split()
+    " share sharing social related recommended newsletter subscribe signup login search toolbar skip-link widget complementary contentinfo search-form hidden responses outbrain taboola".split()
 )
 #: Parts that make a compound name one of the page's layout, and parts that only say where or what kind of box.
-LAYOUT = frozenset("no not non has have with without".split())
+LAYOUT = frozenset("no not non has have with without overflow".split())
 BOXES = frozenset(
     "area bar block body bottom box buttons col column container content desktop end first footer group head header holder icons inner inline item items label last left"
     " link links list main mobile outer page panel primary right row secondary section site slot space start text thread title top unit widget widgets wrap wrapper zone form posts".split()
 )
 #: Names that are left out at any size.
-ALWAYS = frozenset("comment comments commentlist respond disqus replies hidden ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
+ALWAYS = frozenset("comment comments commentlist respond disqus replies hidden ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr responses outbrain taboola".split())
 _AFTER = BOXES | NOISE
 DEPTH = 512
 _HEADER = frozenset(["header"])
+_MARKS, _CAPITAL, _DIGITS, _SIZE = (re.compile(x) for x in (r"[-_]+", r"(?<=[a-z0-9])(?=[A-Z])", r"(?<=[a-z])\d+$", r"\d+(?:x\d+)?"))
+#: What says that text beside the best container belongs to the article.
+PROSE = HEADINGS | frozenset("p li dd dt pre blockquote figcaption td th".split())
 _NAME, _GAP, _KEY, _IS, _BARE = (re.compile(x) for x in (r"</?([a-zA-Z][^\s/>]*)", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 
 
@@ -99,13 +106,24 @@ class Page:
         return at
 
 
+def _parts(name: str) -> list[str]:
+    """Words of a name: parted at marks and at capitals after small letters, without numbers and sizes."""
+    words = _MARKS.split(_CAPITAL.sub("-", name).lower())
+    return [w for w in (_DIGITS.sub("", w) for w in words if not _SIZE.fullmatch(w)) if w]
+
+
 def _named(name: str, names: frozenset[str]) -> bool:
-    parts = name.lower().replace("_", "-").split("-")
-    if "-".join(parts) in names:
+    parts = _parts(name)
+    if not parts:
+        return False
+    if name.lower() in names or "-".join(parts) in names:
         return True
     if len(parts) == 1 or LAYOUT.intersection(parts):
         return False
-    return parts[-1] in names or parts[0] in names and _AFTER.issuperset(parts[1:])
+    core = len(parts)  # the kind of box at the end doesn't count where comments or adverts are named
+    while core > 1 and parts[core - 1] in BOXES:
+        core -= 1
+    return parts[-1] in names or parts[core - 1] in names and parts[core - 1] in ALWAYS or parts[0] in names and _AFTER.issuperset(parts[1:])
 
 
 def _noise(attributes: dict[str, str], names: frozenset[str] = NOISE) -> bool:
@@ -174,6 +192,7 @@ def _next(marks: Iterator, jump: int | None) -> tuple | None:
 def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
     """The page, with the elements that start at ``spared`` whatever their names."""
     page, links, flat = Page(), 0, Counter()
+    saved: list[tuple[int, Counter]] = []  # by the depth of an element that is left out: the elements beyond DEPTH around it
     # tag, element, left out, depth of the nearest block, raw and control elements around, articles around, whether it is an article's header
     stack: list[tuple[str, int, bool, int, int, int, bool]] = [("html", 0, False, 0, 0, 0, False)]
     opened: Counter = Counter()
@@ -193,7 +212,9 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, flat
+        while saved and saved[-1][0] >= depth:
+            flat = saved.pop()[1]
         for tag, *_ in stack[depth:]:
             links -= tag == "a"
             opened[tag] -= 1
@@ -255,10 +276,14 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
                 if tag == "br":
                     text.append(" ")
             elif not (slash and tag not in BLOCKS):
-                if len(stack) >= DEPTH:
+                _, node, out, block, around, articles, header = stack[-1]
+                deep = len(stack) >= DEPTH
+                if deep and (out or not (tag in SKIPPED or attributes and _noise(attributes, ALWAYS))):
                     flat[tag] += 1
                 else:
-                    _, node, out, block, around, articles, header = stack[-1]
+                    if deep:  # left out at any depth; what is open in it is counted apart
+                        saved.append((len(stack), flat))
+                        flat = Counter()
                     named = start not in spared and tag not in ("html", "body") and (tag == "form" or bool(attributes) and _noise(attributes))
                     # an article's header is left out but for its headings
                     heads = articles > 0 and (tag == "header" or named and tag in CONTAINERS and _noise(attributes, _HEADER) and not _noise(attributes, NOISE - _HEADER))
@@ -287,10 +312,12 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
 def best(page: Page) -> tuple[str, float]:
     """Path and score of the container with the most text outside links. An article or main element around it stands for it, or else a parent with more."""
     scores: Counter = Counter()
-    whole = [0] * len(page.labels)
+    whole, prose = [0] * len(page.labels), [0] * len(page.labels)
+    alone = all(linked >= len(text) for _, text, linked in page.blocks)
     for node, text, linked in page.blocks:
-        worth = len(text) - linked
+        worth = len(text) - (0 if alone else linked)
         whole[node] += worth
+        prose[node] += worth if page.tags[node] in PROSE else 0
         while node >= 0 and page.tags[node] not in CONTAINERS:
             node = page.parents[node]
         while node >= 0 and worth >= 1:
@@ -301,16 +328,17 @@ def best(page: Page) -> tuple[str, float]:
         return "", 0.0
     for node in range(len(whole) - 1, 0, -1):
         whole[page.parents[node]] += whole[node]
+        prose[page.parents[node]] += prose[node]
     top = max(scores, key=lambda n: (scores[n], -n))
     score, node, marked = scores[top], top, False
     while node >= 0:
         if page.tags[node] in ("article", "main"):
             top, marked = node, True
         node = page.parents[node]
-    if not marked:  # the parent of several children with text: one that adds a quarter or more to the best of them
+    if not marked:  # the parent of several children with text: one that adds prose or a quarter to the best of them
         node = page.parents[top]
         while node >= 0:
-            if page.tags[node] in CONTAINERS and 4 * whole[node] >= 5 * whole[top]:
+            if page.tags[node] in CONTAINERS and (4 * whole[node] >= 5 * whole[top] or prose[node] > prose[top]):
                 top = node
             node = page.parents[node]
     return page.path(top), float(score)
