@@ -566,6 +566,13 @@ def taint_combine(spark, sf_dir):
     return t.groupBy("conv_id").agg(both.alias("x")).select("conv_id", F.md5("x.value").alias("value"), F.col("x.trust_level").alias("level"))
 
 
+@query(f"SELECT role, md5(string_agg(t, '' ORDER BY conv_id, turn, t)) AS value, min({_LEVEL})::INT AS level FROM ({_TALK}) GROUP BY role")
+def taint_combine_roles(spark, sf_dir):
+    """Few and large groups, each put together in many tasks."""
+    t = _levels(spark, sf_dir).select("role", F.struct("conv_id", "turn").alias("at"), marking.tainted(F.col("t"), F.col("level"), F.lit("chat")).alias("x"))
+    return marking.combined_groups(t, ["role"], "at", "x").select("role", F.md5("combined.value").alias("value"), F.col("combined.trust_level").alias("level"))
+
+
 @query(
     f"SELECT conv_id, turn, {_LEVEL} >= 2 AS usable, greatest({_LEVEL}, 1)::INT AS elevated, [{', '.join(map(q, TRUST))}][{_LEVEL} + 1] AS name FROM ({_TALK})"
 )
