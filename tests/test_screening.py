@@ -141,6 +141,28 @@ def test_memory_replay_against_brute_force(spark):
         assert {g.id: (g.matched, round(g.similarity, 9)) for g in got} == want and len(got) == len(want)
 
 
+def test_memory_of_like_syllables(spark, monkeypatch):
+    """Texts of few syllables, which share all their trigrams with others: within reach pairs are found by vectors, in several stretches; none is met for a shared trigram."""
+    r = random.Random(5)
+    syllables = ["the", "an", "er", "on", "ed", "in"]
+    texts = ["".join(r.choice(syllables) + r.choice(["", " "]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts = [t if k % 3 or not k else texts[max(0, k - r.randint(1, 900))] + " once more" for k, t in enumerate(texts)]
+    monkeypatch.setattr(memory, "pairs", None)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").repartition(4)
+    got = memory.replay(df, "id", "id", "text", F.lit(True), F.lit("custom"), F.lit(0.7), capacity=700).collect()
+    signs, want = [Counter(s[k : k + 3] for k in range(len(s) - 2)) for s in (t.strip() for t in texts)], {}
+    for k, a in enumerate(signs):
+        for old in range(max(0, k - 700), k):
+            b = signs[old]
+            n, m = a.total(), b.total()
+            if min(n, m) >= 0.8 * max(n, m):
+                shared = (a & b).total() if n else 0
+                sim = shared / (n + m - shared) if n + m else 1.0
+                if sim >= 0.8 and (k not in want or sim > want[k][1]):
+                    want[k] = (old, sim)
+    assert len(want) > 300 and {g.id: (g.matched, round(g.similarity, 9)) for g in got} == {k: (o, round(x, 9)) for k, (o, x) in want.items()}
+
+
 def test_stream_store_against_plain_loop():
     from textward.streaming.screen import Store, grams
 
