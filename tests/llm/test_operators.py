@@ -370,6 +370,14 @@ def test_deduplicated_repeated_keys(spark):
     assert got == [(0, a), (0, a), (1, a), (1, b), (3, "c")]
 
 
+def test_bpe_flat_ids():
+    """Ids go out as numbers, not through their decimal text."""
+    e = bpe.encoder(tokenizer_path("byte_bpe_50k.json"))
+    for t in ("", "some words, some words", "caf\u00e9 \u6f22\u5b57 <|endoftext|> x", *(f"n{k} " * 3 for k in range(5))):
+        ids, back = e.flat(t)
+        assert np.frombuffer(ids, np.int32).tolist() == e.encode(t) == e.library.encode(t, add_special_tokens=False).ids and back == t == e.decode(e.encode(t))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

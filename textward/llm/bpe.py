@@ -78,7 +78,7 @@ class PrefixEncoder:
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes, bytes, bytes]] = {}
 
     def merged(self, word: bytes) -> list[bytes]:
         """BPE by its definition: apply the earliest merge until none is left. Only for short strings."""
@@ -117,12 +117,12 @@ class PrefixEncoder:
             end = start[end] - 1
         return ids[::-1]
 
-    def _word(self, word: str) -> tuple[int, bytes, bytes]:
-        """Of a pre-token: number of ids, ids in decimal each with a comma after it, decoded bytes."""
+    def _word(self, word: str) -> tuple[int, bytes, bytes, bytes]:
+        """Of a pre-token: number of ids, ids in decimal each with a comma after it, decoded bytes, ids of 32 bits each."""
         ids = self.pretoken(word.encode())
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        got = self.known[word] = len(ids), "".join(f"{i}," for i in ids).encode(), b"".join([self.bytes[i] for i in ids])
+        got = self.known[word] = len(ids), "".join(f"{i}," for i in ids).encode(), b"".join([self.bytes[i] for i in ids]), array("i", ids).tobytes()
         return got
 
     def words(self, text: str) -> list[str]:
@@ -131,21 +131,26 @@ class PrefixEncoder:
         library = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [w.translate(self.alphabet).encode("latin-1").decode() for w, _ in library]
 
-    def pieces(self, text: str) -> list[tuple[int, bytes, bytes]]:
+    def pieces(self, text: str) -> list[tuple[int, bytes, bytes, bytes]]:
         """The text's pre-tokens and special tokens, encoded."""
         parts = self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]
-        out: list[tuple[int, bytes, bytes]] = []
+        out: list[tuple[int, bytes, bytes, bytes]] = []
         known, word = self.known, self._word
         for k, part in enumerate(parts):
             if k % 2:
                 i = self.special[part]
-                out.append((1, b"%d," % i, self.bytes[i]))
+                out.append((1, b"%d," % i, self.bytes[i], array("i", [i]).tobytes()))
             else:
                 out += [known.get(w) or word(w) for w in self.words(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in p[1].decode().split(",")[:-1]]
+        return array("i", self.flat(text)[0]).tolist()
+
+    def flat(self, text: str) -> tuple[bytes, str]:
+        """The ids, of 32 bits each, and the text that they decode to."""
+        found = self.pieces(text)
+        return b"".join([p[3] for p in found]), b"".join([p[2] for p in found]).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
@@ -155,7 +160,7 @@ class PrefixEncoder:
         found = self.pieces(text)
         if not found:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        n, ids, raw = zip(*found, strict=True)
+        n, ids, raw, _ = zip(*found, strict=True)
         back = b"".join(raw)
         try:
             back.decode()
@@ -209,13 +214,13 @@ def encoded(df: DataFrame, path: str, text: str = "text", out: str = "ids", exac
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                flat, ends, same = array("i"), [0], []
+                flat, ends, same = bytearray(), [0], []
                 for t in b.column(text):
                     t = t.as_py() or ""
-                    ids = e.encode(t)
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    same.append(e.decode(ids) == t if exact else None)
+                    ids, back = e.flat(t)
+                    flat += ids
+                    ends.append(len(flat) // 4)
+                    same.append(back == t if exact else None)
                 cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True) if n not in made}
                 cols[out] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
                 if exact:
