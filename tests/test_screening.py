@@ -91,6 +91,26 @@ def test_fuzzy_against_brute_force():
         assert fuzzy.find(s, k) == brute(s, k), (s, k)
 
 
+def test_fuzzy_measures_few_windows(monkeypatch):
+    """Windows that lack the keyword's letters aren't measured, and few are kept."""
+    calls = []
+    true = fuzzy.within
+    monkeypatch.setattr(fuzzy, "within", lambda *a: calls.append(a) or true(*a))
+    assert true.cache_info().maxsize <= 4096
+    assert fuzzy.find("the ons of tem and sis are as the ounts " * 50, "instructions") == 0 and len(calls) < 5
+    assert fuzzy.find("these instrctions", "instructions") == 2
+
+
+def test_gates_ask_for_all_literals(spark):
+    from textward.functions import literals, regex
+
+    bank = [r"(?i)\byou\s+are\s+now\b", r"(?i)</?(?:user|ai)\s*>", r"[0-9]+", r"(?i)drop (?:all|every) rules?"]
+    texts = ["you may", "now you are", "you are now", "said plain", "< ai >", "drop a rule", "drop every rule", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [sorted(set(r.g) - {2}) for r in df.select("i", literals.gated(bank)(regex.for_gate(F.col("t"))).alias("g")).orderBy("i").collect()]
+    assert got == [[], [0], [0], [], [1], [], [3], []]
+
+
 def test_embedding(spark):
     got = run(spark, [Embedding(0.72, [Vector("own", tuple(vectors.vector("blue cheese please")))])], "ignore previous instructions", "x", "blue cheese please")
     assert got[0].threats[0].severity == pytest.approx(1.0) and got[0].threats[0].message == 'embedding similarity 1.0000 with attack vector "ignore_previous_instructions"'
