@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, bwt, digests, extraction, mixing, repeats, search, sharding, simhash, token_files, toxicity
+from textward.llm import bpe, bwt, digests, extraction, mixing, repeats, search, sharding, simhash, suffixes, token_files, toxicity
 from textward.llm.common import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string"
@@ -120,6 +120,28 @@ def test_suffix_order():
         assert prefix.tolist()[1:] == [common(a, b) for a, b in zip(order, order[1:], strict=False)]
 
 
+def test_windows_of_a_group_are_sorted_some_times_only(monkeypatch):
+    r = random.Random(2)
+    base = bytes(r.choice(b"ab\0") for _ in range(300))
+    strings = [base[k : k + r.randint(5, 40)] for k in (r.randint(0, 260) for _ in range(400))]
+    groups, values = np.array([r.randint(0, 3) for _ in strings], np.uint32), np.array([r.randint(0, 999) for _ in strings])
+    n = np.array([len(s) for s in strings])
+    text, least = b"".join(strings), {}
+    for s, g, v in zip(strings, groups, values, strict=True):
+        for a in range(len(s) - 9):
+            least[g, s[a : a + 10]] = min(v, least.get((g, s[a : a + 10]), v))
+    want = [least[g, s[a : a + 10]] for s, g in zip(strings, groups, strict=True) for a in range(len(s) - 9)]
+    for some in (1, 1 << 18):
+        monkeypatch.setattr(suffixes, "SORTED", some)
+        assert suffixes.least_of_equal(np.frombuffer(text, np.uint8), np.cumsum(n) - n, n, values, groups, 10)[0].tolist() == want
+    # windows whose neighbours share all bytes aren't sorted again
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda x, **kw: sizes.append(len(x)) or sort(x, **kw))
+    long = bytes(r.randint(0, 255) for _ in range(5000)) * 2
+    out, _ = suffixes.least_of_equal(np.frombuffer(long, np.uint8), np.array([0, 5000]), np.array([5000, 5000]), np.array([2, 1]), np.zeros(2, np.uint32), 50)
+    assert (out == 1).all() and sum(sizes) <= 1.1 * len(out)
+
+
 def test_digests(docs, empty):
     texts = {r[0]: r[1] or "" for r in rows()}
     order = sorted(texts, reverse=True)

@@ -14,6 +14,7 @@ date in the same way. Whose suffix a record is follows at the end from the trans
 record with symbol c leads to the k-th suffix that begins with c.
 
 Files are unlinked scratch of one task, gone with it; they hold nothing that another task reads.
+It is the order to any depth; ``repeats`` needs it to the width of a window only and sorts by ``suffixes``.
 """
 
 from __future__ import annotations
@@ -208,45 +209,3 @@ def fields(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Common prefix with the record above, length, string."""
     f = records.view(np.uint8).reshape(len(records), 8)
     return f[:, _PREFIX].copy(), f[:, _LENGTH].copy(), (records >> np.uint64(_STRING)).astype(np.int64)
-
-
-def least_of_equal(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of at least ``width`` bytes, and each of its windows of that width, the least value of the strings with an equal window.
-
-    Returns the windows' results, string after string, and the first of each string.
-    """
-    windows = np.maximum(lengths - width + 1, 0)
-    first = np.concatenate(([0], np.cumsum(windows)))
-    out = np.zeros(first[-1], values.dtype)
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # of the group that goes on: places, values
-
-    def close() -> None:
-        if held:
-            low = min(int(v.min()) for _, v in held)
-            for places, _ in held:
-                out[places] = low
-            held.clear()
-
-    for records in suffix_order(text, starts, lengths):
-        prefix, length, string = fields(records)
-        long = length >= width
-        if not long.any():
-            continue
-        # shorter suffixes never share so much, so leaving them out joins no groups
-        prefix, length, string = prefix[long], length[long].astype(np.int64), string[long]
-        places, value = first[string] + lengths[string] - length, values[string]
-        heads = np.flatnonzero(prefix < width)
-        if len(heads) == 0:
-            held.append((places, value))
-            continue
-        if heads[0] > 0:
-            held.append((places[: heads[0]], value[: heads[0]]))
-        close()
-        last = heads[-1]
-        if len(heads) > 1:
-            inner = slice(heads[0], last)
-            low = np.minimum.reduceat(value[inner], heads[:-1] - heads[0])
-            out[places[inner]] = np.repeat(low, np.diff(heads))
-        held.append((places[last:], value[last:]))
-    close()
-    return out, first

@@ -9,10 +9,10 @@ smaller id. The collection is too large for one suffix order, so it is dealt out
    more, and which document with an equal text has the smallest id; only that one goes on, for all windows of the
    others start in it too. The question has a number of about three bytes an anchor; the answer has one byte.
 3. The windows whose anchors are repeated, in runs with the same anchor, go to the anchor's bin as
-   strings, each different string once a chunk with its smallest id. Each bin builds the Burrows-Wheeler
-   transform and common prefixes of its strings (``bwt``), where equal windows are neighbours that share
+   strings, each different string once a chunk with its smallest id. Each bin sorts the suffixes of its strings
+   by anchor and first ``width`` bytes (``suffixes``), where equal windows are neighbours that share
    ``width`` bytes, and answers each window's smallest id. A string that is alone with its anchor shares no window
-   with another string and stays out of the transform: its windows' smallest id is its own.
+   with another string and stays out of the order: its windows' smallest id is its own.
 4. Each chunk marks the bytes to remove.
 
 A shuffle partition has several bins, one after the other in a task. Chunks and bins grow with the square root of the
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from . import bwt
+from . import suffixes
 from .common import handing_back, mixed_numbers, partitions, text_bytes, written
 
 #: Of a passage that is repeated, a short anchor makes longer and fewer strings, which overlap less.
@@ -53,7 +53,7 @@ CHUNK_DOCUMENTS = 8192
 #: From so many documents on, an anchor's windows are dealt out by their whole content.
 HOT = 1000
 #: Bytes whose anchors are found at a time; their positions have to fit in the hashes' low bits.
-_STEP, _LOW = 1 << 20, 21
+_STEP, _LOW = 1 << 16, 21
 _NONE = np.iinfo(np.int64).max
 _BYTES = mixed_numbers(977, 256) | np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -130,26 +130,28 @@ class Runs:
 def runs(x: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Runs:
     firsts, lasts, docs, anchors = [], [], [], []
     total = len(x)
+    # where runs end whatever their anchor: documents begin, and their last windows have begun
+    edges = np.unique(np.concatenate((offsets, np.maximum(offsets[1:] - width + 1, offsets[:-1]))))
+    low = np.uint64((1 << _LOW) - 1)
     for at in range(0, max(0, total - width + 1), _STEP):
         part = x[at : min(total, at + _STEP + width - 1)]
         n = len(part) - width + 1
         h = _hashes(part, ANCHOR)
-        low = np.uint64((1 << _LOW) - 1)
-        h = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        h &= ~low
+        h |= np.arange(len(h), dtype=np.uint64)
         best = _least(h, width - ANCHOR + 1)[:n]
-        # the document of each window, and whether the window ends in it
-        place = np.arange(at, at + n)
-        doc = np.searchsorted(offsets, place, "right") - 1
-        fits = place + width <= offsets[doc + 1]
         change = np.ones(n, bool)
-        change[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]) | (fits[1:] != fits[:-1])
+        np.not_equal(best[1:], best[:-1], out=change[1:])
+        lo, hi = np.searchsorted(edges, (at, at + n))
+        change[edges[lo:hi] - at] = True
         start = np.flatnonzero(change)
         stop = np.append(start[1:], n) - 1
-        good = fits[start]
-        start, stop = start[good], stop[good]
+        doc = np.searchsorted(offsets, start + at, "right") - 1
+        good = start + at + width <= offsets[doc + 1]
+        start, stop, doc = start[good], stop[good], doc[good]
         firsts.append(start + at)
         lasts.append(stop + at)
-        docs.append(doc[start])
+        docs.append(doc)
         anchors.append(best[start] >> np.uint64(_LOW))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return Runs(join(firsts, np.int64), join(lasts, np.int64), join(docs, np.int64), join(anchors, np.uint64))
@@ -312,8 +314,6 @@ def _judge_windows(rows: list[dict], width: int) -> Iterator[tuple]:
         asked.append((r["chunk"], r["bin"], np.array(mine, np.int64)))
     lengths, low = np.array([len(s) for s in known], np.int64), np.array(least, np.int64)
     text = np.frombuffer(b"".join(known), np.uint8)
-    if (text == 0).any():  # 0 ends strings there; 255 is in no UTF-8 text
-        text = np.where(text == 0, np.uint8(255), text)
     starts = np.cumsum(lengths) - lengths
     known.clear()
     windows = lengths - width + 1
@@ -321,7 +321,7 @@ def _judge_windows(rows: list[dict], width: int) -> Iterator[tuple]:
     found = np.repeat(low, windows)
     _, of, times = np.unique(np.array(anchor, np.uint32), return_inverse=True, return_counts=True)
     if len(company := np.flatnonzero(times[of] > 1)):
-        part, at = bwt.least_of_equal(text, starts[company], lengths[company], low[company], width)
+        part, at = suffixes.least_of_equal(text, starts[company], lengths[company], low[company], of[company], width)
         found[np.repeat(first[company] - at[:-1], windows[company]) + np.arange(len(part))] = part
     for chunk, b, mine in asked:
         n = windows[mine]
