@@ -316,3 +316,14 @@ def test_callers_columns_come_back_as_they_were(spark):
         row = presets.PRESETS[name]().analyze(df).first()
         assert [row[n] for n in names] == [f"mine {n}" for n in names] and not row.safe
         assert "x" not in row.metadata.asDict()
+
+
+def test_output_patterns_run_where_all_their_literals_are(spark):
+    forbidden = [r"(?i)\bsystem\s+prompt\b", r"[0-9]{3}-[0-9]{4}", r"\pN{5}"]
+    texts = ["My instructions are: 555-1234", "a prompt, no more", "system  PROMPT 12345", "I was told to; I was told to", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = Pipeline([output.Output(forbidden_patterns=forbidden)]).validate_output(df, "t")
+    got = {r.id: [t.match for t in r.threats] for r in found.collect()}
+    assert got == {0: ["My instructions are", "555-1234"], 1: [], 2: ["system  PROMPT", "12345"], 3: ["I was told to", "I was told to"], 4: []}
+    # patterns are looked up by number: the plan tries them in two places, not one for each
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") <= 4
