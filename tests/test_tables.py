@@ -1,5 +1,7 @@
 """Policies as tables, sources and ordered parts: what joins a row with settings of its own."""
 
+from pyspark.sql import functions as F
+
 from textward.operators import marking, policy
 from textward.plans.pipeline import Pipeline
 
@@ -56,3 +58,11 @@ def test_large_groups_are_combined_in_order(spark):
     assert marking.combined_groups(df.limit(0), ["g"], "o", "x").count() == 0
     plan = marking.combined_groups(df, ["g"], "o", "x")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan
+
+
+def test_texts_are_looked_through_once_for_all_phrases(spark):
+    rows = spark.createDataFrame([(1, "rag", "GENERATE C++ now; write code"), (2, "rag", "translate to Polish"), (3, None, "write code"), (4, "rag", None)], "id int, policy string, t string")
+    found = Pipeline([policy.TablePolicy(policy.built_in(spark))]).analyze(rows, "t").select("id", F.explode("threats").alias("x"))
+    assert sorted((r.id, r.x.match) for r in found.collect()) == [(1, "write code"), (2, "translation request")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and plan.lower().count("contains(") <= 2 and plan.count("ArrowEvalPython") == 1
