@@ -441,6 +441,23 @@ def test_search(spark, docs, empty):
     assert search.more_like_search(empty, empty).count() == 0
 
 
+def test_search_by_first_shards(spark, monkeypatch):
+    """A few shards set the limits of the others, and nothing is lost or ranked otherwise by that."""
+    r = random.Random(11)
+    words = [f"w{int(300 * r.random() ** 3)}" for _ in range(4000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice((3, 30, 90)))) for _ in range(120)]
+    texts += [texts[k] for k in range(0, 120, 7)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    ask = lambda: sorted((x.query_id, x["rank"], x.doc_id, x.score) for x in search.more_like_search(docs, docs.where("doc_id % 4 = 0"), 6).collect())
+    whole, kept_written, tables = ask(), search.written, []
+    monkeypatch.setattr(search, "written", lambda df, name, *a: tables.append((name, out := kept_written(df, name, *a))) or out)
+    monkeypatch.setattr(search, "SHARD_BYTES", 900)
+    monkeypatch.setattr(search, "FIRST", 3)
+    assert ask() == whole and [name for name, _ in tables] == ["index", "queries", "first"]
+    shards, first = tables[0][1].count(), tables[2][1]
+    assert shards > 20 and first.count() <= 3 * len({q for q, *_ in whole})
+
+
 def test_search_asks_for_whole_texts(spark, docs):
     texts = {r[0]: search.words(r[1]) for r in rows()}
     mean = sum(map(len, texts.values())) / len(texts)
