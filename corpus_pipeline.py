@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five words, Jaccard 0.8 or more."""
-    return simhash.deduplicated(docs)
+    """One document of each group: five words, Jaccard 0.8 or more; of those left, one of each class of fingerprints."""
+    return simhash.deduplicated(docs, classes=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -385,6 +385,32 @@ def test_deduplicated_meets_every_pair(spark, empty, monkeypatch):
     assert simhash.deduplicated(empty).count() == 0
 
 
+def by_fingerprint_alone():
+    """A text and its copy, whose fingerprints are linked though they are less alike than 0.8."""
+    r = random.Random(21)
+    while True:
+        base = [f"v{r.randrange(2000)}" for _ in range(400)]
+        copy = [*base]
+        for j in r.sample(range(0, 400, 5), 10):
+            copy[j] = f"v{r.randrange(2000)}"
+        a, b = " ".join(base), " ".join(copy)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3 and simhash.jaccard(a, b) < 0.8:
+            return a, b
+
+
+def test_deduplicated_by_classes(spark, monkeypatch):
+    """Classes of fingerprints take away rows that no likeness of sets does; without them these stay."""
+    import corpus_pipeline
+
+    a, b = by_fingerprint_alone()
+    other = " ".join(f"u{k}" for k in range(300))
+    df = spark.createDataFrame([(1, other), (2, b), (3, a), (4, other + " more"), (5, b), (6, "c")], "doc_id long, text string")
+    kept_ids = lambda: sorted(x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, "").collect())
+    assert kept_ids() == [1, 2, 6]
+    monkeypatch.setattr(simhash, "grouped", lambda docs, *_: docs.withColumn("component_id", docs["doc_id"]))
+    assert kept_ids() == [1, 2, 3, 6]
+
+
 def test_deduplicated_repeated_keys(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a + " more"), (2, b), (3, "c"), (None, a), (None, a)], "doc_id long, text string")

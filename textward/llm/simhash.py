@@ -444,6 +444,13 @@ def _losers(edges: DataFrame) -> DataFrame:
             return gone
 
 
+def _later_of_class(near: DataFrame, gone: DataFrame) -> DataFrame:
+    """Of classes (lead, row), whose first row is lead: the rows not gone that have a lesser one of their class that isn't gone."""
+    left = near.union(near.select("lead", F.col("lead").alias("row")).distinct()).join(gone, "row", "left_anti")
+    heads = left.groupBy("lead").agg(F.min("row").alias("head"))
+    return left.join(heads, "lead").where("row <> head").select("row")
+
+
 def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     """given (all columns of df), text, and row: a number for each row with a key, in the order of keys."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")).select("given", F.col("given")[key].alias("key"), F.col("given")[text].cast("string").alias("text"))
@@ -454,8 +461,10 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     return written(packed.orderBy("key", F.xxhash64("text")).withColumn("row", number).select("given", "text", "row"), "rows")
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, parts: int = 1, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, parts: int = 1, words: int = 5, similarity: float = 0.8, classes: bool = False) -> DataFrame:
     """df without near-duplicates: in the order of the key, a row goes if it is alike (word shingles, Jaccard) to one that stays.
+    With ``classes``, one row of each class of fingerprints (``grouped`` over all rows) stays of those left: copies whose
+    shingles are much the same by number, though their sets differ by more.
 
     Every alike pair is met. Shingles have one order, rare ones first; two sets of that likeness share
     some of their first (1 - similarity) x size + 1 (prefix filter; exact up to collisions of 64-bit hashes),
@@ -473,23 +482,25 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     first = written(sets.where("same is not null").groupBy("same").agg(F.min("row").alias("row")).select("row"), "first")
     copies = written(sets.select("row").join(first, "row", "left_anti"), "copies")
     step = written(_buckets(sets.select("row", "size", "firsts").join(first, "row", "left_semi").select(F.explode("firsts").alias("h"), "row", "size")), "buckets")
-    prints = written(sets.select(F.col("row").alias("doc_id"), "fp").join(step.select(F.col("row").alias("doc_id")).distinct(), "doc_id", "left_semi"), "fingerprints")
+    prints = written(sets.select(F.col("row").alias("doc_id"), "fp").join(first.select(F.col("row").alias("doc_id")), "doc_id", "left_semi"), "fingerprints")
     discard(sets, first)
     near = grouped(prints, radius, parts).where("doc_id <> component_id").select(F.col("component_id").alias("lead"), F.col("doc_id").alias("row"))
     near, gone = written(near, "near"), copies
+    discard(prints)
+    proposed = near
     while True:
         leads = written(step.groupBy("row").agg(F.min("lead").alias("lead")).where("row = lead").select("lead"), "leads")
         pairs = _possible(step.where("row <> lead").join(leads, "lead", "left_semi"), similarity)
-        if near is not None:
-            pairs = pairs.union(near.join(leads, "lead", "left_semi"))
+        if proposed is not None:
+            pairs = pairs.union(proposed.join(leads, "lead", "left_semi"))
         alike = _alike(pairs, rows, words, similarity)
         lost = written(alike.select("row").distinct(), "lost")
         gone = gone.union(lost)
         decided = lost.union(leads.select(F.col("lead").alias("row")))
         after = written(_buckets(step.join(decided, "row", "left_anti")), "buckets")
         some = lost.count() >= leads.count()
-        discard(step, alike, near, leads)
-        step, near = after, None
+        discard(step, alike, leads)
+        step, proposed = after, None
         most = step.agg(F.max("place")).first()[0]
         if most is None or most < LARGE or not some:
             break
@@ -497,4 +508,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
         gone = gone.union(_losers(_alike(_all_possible(step, similarity), rows, words, similarity)))
     discard(step)
     gone = written(gone.distinct(), "gone")
+    if classes:
+        gone = written(gone.union(_later_of_class(near, gone)), "gone")
+    discard(near)
     return whole.join(ids_sent_round(gone), "row", "left_anti").select("given.*")
