@@ -46,14 +46,14 @@ def opened(mode: str, threats: Column, s: Column, least: float = 0.2, most: floa
 def cache_key(model: Column, policy: Column, s: Column, threats: Column) -> Column:
     """Equal for requests that differ only in case and white space."""
     plain = F.array_join(text.words(text.lowered(s)), " ")
-    signals = F.transform(threats, lambda t: F.concat(F.lit("\0"), F.format_string("%s:%.3f:%s:%s", t["type"], t["severity"], t["guard"], t["message"])))
+    signals = F.transform(threats, lambda t: F.concat(F.lit("\0"), F.format_string("%s:%s:%s:%s", t["type"], text.fixed(t["severity"], 3), t["guard"], t["message"])))
     return F.sha2(F.concat(model, F.lit("\0"), policy, F.lit("\0"), plain, F.array_join(signals, "")), 256)
 
 
 def prompt(policy: Column, threats: Column, s: Column, marker: str = "CLASSIFY_INPUT") -> Column:
     """A prompt that asks for a decision in JSON. The marker around the input is the caller's."""
     given = F.trim(F.coalesce(policy, F.lit("")))
-    signals = F.transform(threats, lambda t: F.format_string("- %s severity=%.2f guard=%s message=%s\n", t["type"], t["severity"], t["guard"], t["message"]))
+    signals = F.transform(threats, lambda t: F.format_string("- %s severity=%s guard=%s message=%s\n", t["type"], text.fixed(t["severity"], 2), t["guard"], t["message"]))
     return F.concat(
         F.lit(PROMPT_HEAD), F.when(given == "", DEFAULT_POLICY).otherwise(given), F.lit("\n\nExisting local signals:\n"),
         F.when(F.size(threats) == 0, "- none\n").otherwise(F.array_join(signals, "")), F.lit(f"\nInput to classify:\n<<<{marker}\n"), s, F.lit(f"\n{marker}\n"),
