@@ -484,6 +484,30 @@ def test_search_by_first_shards(spark, monkeypatch):
     assert shards > 20 and first.count() <= 3 * len({q for q, *_ in whole})
 
 
+def test_blocks_multiply_only_terms_that_they_have():
+    """Documents of two languages: a block holds rows of the terms of its own, and the k best equal plain sums."""
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(3)
+    texts = [" ".join(r.choices([f"{'ab'[d % 2]}{k}" for k in range(60)], k=400)) for d in range(4 * search.SPAN)]
+    row = dict(zip([c.split()[0] for c in search.SHARD.split(", ")[1:]], map(zstandard.ZstdCompressor().compress, search._index(list(enumerate(texts)))), strict=True))
+    terms = sorted({t for x in texts for t in search.words(x)})
+    weights = np.array([1 + r.random() for _ in terms])
+    shard = search.Shard(row, pa.array(terms, pa.binary()), weights, 40.0)
+    asked = [sorted({terms.index(t) for t in search.words(x)}) for x in texts[:50]]
+    q, ids, scores = shard.together(np.repeat(np.arange(50), [len(x) for x in asked]), np.concatenate(asked), np.zeros(50), 5)
+    for k, numbers in enumerate(asked):
+        plain = []
+        for d, x in enumerate(texts):
+            ws, norm = search.words(x), search.K1 * (1 - search.B + search.B * len(search.words(x)) / 40.0)
+            plain.append((-sum(weights[n] * ws.count(terms[n]) * (search.K1 + 1) / (ws.count(terms[n]) + norm) for n in numbers if terms[n] in ws), d))
+        got = sorted(zip(-scores[q == k], ids[q == k], strict=True))[:5]
+        assert [d for _, d in got] == [d for _, d in sorted(plain)[:5]] and np.allclose([s for s, _ in got], [s for s, _ in sorted(plain)[:5]])
+    rows = [x.shape[0] for x in shard._prepared()[4]]
+    assert len(rows) == 4 and sum(rows) <= 0.75 * 4 * len(terms)
+
+
 def test_search_asks_for_whole_texts(spark, docs):
     texts = {r[0]: search.words(r[1]) for r in rows()}
     mean = sum(map(len, texts.values())) / len(texts)
